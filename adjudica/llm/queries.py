@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
-from . import language_id, mixing, near_dedup, token_blocks, url_filter
+from . import html_extract, language_id, line_dedup, mixing, near_dedup, secrets, token_blocks, url_filter, webp
 from .common import sweep, table
 from .oracles import SQL
 
@@ -27,6 +27,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(spark, table(spark, sf_dir, "documents")))
+
+
+def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -35,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.near_lines(spark, table(spark, sf_dir, "documents")))
+
+
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.tokenize(spark, table(spark, sf_dir, "documents"))
 
