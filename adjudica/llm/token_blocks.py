@@ -17,9 +17,12 @@ sorts first. An empty table gives no shard and no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -143,33 +146,80 @@ def decode_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [int(x) if k else None for x, k in zip(doc_ids, ok, strict=True)], lengths.astype(np.int64), out.reshape(-1)[:total]
 
 
+def _u4(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Memo(dict):
+    """What encode gives for a piece, remembered in two generations."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece) or self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
-    """Ids of a text as little-endian u32 bytes. Texts are cut where the pre-tokenizer always cuts, and pieces are remembered."""
+    """Ids of a text as little-endian u32 bytes.
+
+    Texts are cut only where the byte-level pre-tokenizer always cuts, so the pieces' ids are the text's: before a single
+    space between other characters, around a single newline between other characters, and between letters and the
+    punctuation that ends a piece. What the tokenizer gives for a piece is remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-        class Pieces(dict):
-            def __missing__(memo, piece: str) -> bytes:
-                got = self.older.get(piece) or self.whole(" " + piece)
-                if len(memo) >= MEMO:
-                    self.older = dict(memo)
-                    memo.clear()
-                if len(piece) <= 64:
-                    memo[piece] = got
-                return got
-
-        self.older: dict[str, bytes] = {}
-        self.pieces = Pieces()
+        self.spaced, self.bare = Memo(self.after_space), Memo(self.plain)
+        self.newline = self.whole("\n")
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = dict(zip([*shown, *hidden], map(chr, [*shown, *range(256, 256 + len(hidden))]), strict=True))
+        self.one_piece = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tokenizer.normalizer is None
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _u4(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, text: str) -> bytes:
+        """Of letters, after a space or not: always one piece, so the tokenizer's model can be asked at once."""
+        if not self.one_piece:
+            return self.whole(text)
+        return _u4([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
+
+    def after_space(self, piece: str) -> bytes:
+        return self.word(" " + piece) if piece.isalpha() else self.parts(piece, self.spaced) or self.whole(" " + piece)
+
+    def plain(self, piece: str) -> bytes:
+        return self.word(piece) if piece.isalpha() else self.parts(piece, self.bare) or self.whole(piece)
+
+    def parts(self, piece: str, memo: Memo) -> bytes | None:
+        """The ids of a piece from its parts' in the memos, or None if it has none. The piece neither begins nor ends with white space."""
+        if "\n" in piece:
+            head, *lines = piece.split("\n")
+            if all(x.split() == [x] for x in (head, *lines)):
+                return memo[head] + b"".join(self.newline + self.bare[x] for x in lines)
+            return None
+        stem = piece.rstrip(".,;:!?")
+        if stem != piece and stem.isalpha():
+            return memo[stem] + self.bare[piece[len(stem) :]]
+        return None
 
     def __call__(self, text: str) -> bytes:
         first, *rest = cut(text)
-        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest)) if rest else self.whole(first)
+        return self.whole(first) + b"".join(map(self.spaced.__getitem__, rest)) if rest else self.whole(first)
 
 
 @lru_cache(2)
