@@ -1,21 +1,345 @@
-"""Registered queries of the engine's own operators, with their DuckDB oracles."""
+"""Registered queries of the engine's own operators over the driver tables, with their DuckDB oracles.
+
+A query runs its operator over whole tables. Arrays are returned as joined text, so that engines compare alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bind
+from .functions import scoring, text, vocab
+from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, selection, snapshot
+from .oracles import ORACLES
+from .plans import review
+from .sinks import report
+from .sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOP = 13_000
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def score_findings(spark: SparkSession, d: str) -> DataFrame:
+    got = ranking.scored(bind.with_evidence(bind.findings(spark, d)))
+    names = [f"{x}_score" for x in ("severity", "confidence", "evidence", "blast", "security", "regression")]
+    fid = text.finding_id(F.col("file").cast("string"), F.col("start_line"), F.col("category"), F.col("title"))
+    return _long(got.select("id", fid.alias("finding_id"), *names, "composite_score"), *names)
+
+
+def protected_top(spark: SparkSession, d: str) -> DataFrame:
+    got = ranking.protected_top(ranking.scored(bind.with_evidence(bind.findings(spark, d))), TOP, ["id"], "low")
+    return got.select("id", "severity", "composite_score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
+    return protected_top(spark, sf_dir)
+
+
+def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    df = bind.findings(spark, d)
+    parts = [ranking.zero_filled(spark, df, c, dom).select(F.lit(c).alias("by"), F.col(c).alias("value"), "n") for c, dom in (("severity", vocab.SEVERITIES), ("category", vocab.CATEGORIES), ("reviewer", (*vocab.REVIEWERS, "critic")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def nav_list(spark: SparkSession, d: str) -> DataFrame:
+    got = ranking.nav_list(ranking.scored(bind.with_evidence(bind.findings(spark, d))).where("file <= 5"), ["id"])
+    return _long(got, "severity_level", "detail")
+
+
+def overlap_clusters(spark: SparkSession, d: str) -> DataFrame:
+    got = linkage.overlap_clusters(bind.findings(spark, d), ["id"])
+    return got.groupBy("file", "cluster").agg(F.count("*").alias("members"), F.min("id").alias("first_id"), F.max("end_line").cast("long").alias("end_line"))
+
+
+def merge_clusters(spark: SparkSession, d: str) -> DataFrame:
+    df = linkage.overlap_clusters(bind.findings(spark, d), ["id"]).withColumns({"severity_level": scoring.severity_level(F.col("severity")), "evidence_key": F.concat_ws(":", F.col("file").cast("string"), F.col("start_line").cast("string"), F.col("end_line").cast("string"))})
+    got = linkage.survive(df, ["file", "cluster"])
+    return _long(got.select("file", "cluster", "severity_level", "confidence", "start_line", "end_line", "members", "rep_id", "title", F.array_join("reviewers", ",").alias("reviewers"), F.array_join("evidence_keys", ",").alias("evidence_keys")), "severity_level", "start_line", "end_line")
+
+
+def consolidate(spark: SparkSession, d: str) -> DataFrame:
+    df = bind.findings(spark, d)
+    inside = intervals.innermost(df, bind.symbols(df), "file", "start_line", ["id"]).withColumnRenamed("r_id", "symbol")
+    rows = df.join(inside, "id", "left").withColumn("norm_title", text.normalize_title(F.col("title")))
+    return linkage.consolidate(rows, ["id"]).select("id", "cluster")
+
+
+def innermost_symbol(spark: SparkSession, d: str) -> DataFrame:
+    df = bind.findings(spark, d)
+    return intervals.innermost(df, bind.symbols(df), "file", "start_line", ["id"])
+
+
+def hunk_overlap(spark: SparkSession, d: str) -> DataFrame:
+    df = bind.findings(spark, d).select("id", "file", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    return intervals.overlapping(df, bind.hunks(spark, d), "file", tolerance=1).groupBy("id").agg(F.count("*").alias("n_hunks"))
+
+
+def coalesce_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _long(intervals.coalesce_lines(bind.findings(spark, d), ["file"], "start_line"), "start", "end")
+
+
+def normalize_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_title(F.regexp_replace("text", r"[^\x00-\x7F]", "~"))).alias("title_md5"))
+
+
+def redact_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("text_md5"))
+
+
+def token_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+def path_classes(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return bind.paths(spark, d).select(
+        "doc_id", text.normalize_path(p).alias("norm"), text.is_binary_path(p).alias("is_binary"), text.is_generated_path(p).alias("is_generated"), text.is_ignored_dir(p).alias("is_ignored"),
+        text.is_doc_file(p).alias("is_doc"), text.is_test_file(p).alias("is_test"), text.layer(p).alias("layer"), text.language(p).alias("language"),
+    )
+
+
+def hash_keys(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.create_map(F.lit("src"), F.col("source"), F.lit("lang"), F.col("lang"))
+    key = text.compose_key(F.lit("v1"), F.col("lang"), F.col("source"), text.content_hash(F.col("text")), F.lit("cfg"))
+    return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content"), text.symbol_id(F.col("source"), F.col("lang"), F.lit("function")).alias("symbol"), text.cache_key(parts).alias("cache_key"), F.size(text.parse_key(key)).cast("long").alias("parts"))
+
+
+def production_files(spark: SparkSession, d: str) -> DataFrame:
+    got = bind.paths(spark, d).where(text.is_test_file(F.col("path"))).select("path").distinct()
+    return got.select("path", F.array_join(text.production_candidates(F.col("path")), ",").alias("candidates"))
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    """Findings with the validation columns of the gate, by rules over the binding."""
+    df = bind.with_evidence(bind.findings(spark, d))
+    hits = hunk_overlap(spark, d).select("id", F.lit(True).alias("v_direct"))
+    df = df.join(hits, "id", "left")
+    return df.withColumns(
+        {
+            "v_direct": F.coalesce("v_direct", F.lit(False)),
+            "v_valid": F.col("quantity") % 5 != 0,
+            "v_n_valid": F.col("n_evidence"),
+            "v_n_invalid": F.when(F.col("quantity") % 5 == 0, 1).otherwise(0),
+            "v_strength": F.col("quantity"),
+            "v_fabricated": F.col("quantity") % 25 == 0,
+            "failure_mechanism": F.when(F.col("quantity") % 3 == 0, F.concat(F.lit("unknown "), F.col("message"))).otherwise(F.col("message")),
+            "impact": F.col("message"),
+            "trigger": F.when(F.col("quantity") % 4 == 0, F.lit("edge case: x")).otherwise(F.concat(F.lit("when "), F.col("title"))),
+            "introduced_by_patch": F.when(F.col("quantity") % 6 == 0, F.lit("pre_existing")).when(F.col("quantity") % 6 == 1, F.lit("introduced_by_patch")),
+            "critic_decision": F.when(F.col("quantity") % 11 == 0, F.lit("rejected")),
+            "n_contradictions": F.when(F.col("quantity") % 13 == 0, 1).otherwise(0),
+            "suggested_disposition": F.lit("blocking"),
+        }
+    )
+
+
+def decision_gate(spark: SparkSession, d: str) -> DataFrame:
+    got = gate.gated(_validated(spark, d))
+    return got.select("id", "final_disposition", "downgraded", F.array_join("failed_checks", ",").alias("failed"), F.size("passed_checks").cast("long").alias("n_passed"))
+
+
+def gate_summary(spark: SparkSession, d: str) -> DataFrame:
+    got = gate.gated(_validated(spark, d))
+    return ranking.zero_filled(spark, got, "final_disposition", vocab.DISPOSITIONS)
+
+
+def exit_code(spark: SparkSession, d: str) -> DataFrame:
+    return _long(gate.exit_code(gate.gated(_validated(spark, d)), "high"), "exit_code")
+
+
+def hard_floor(spark: SparkSession, d: str) -> DataFrame:
+    df = _validated(spark, d).withColumns({"suggested_fix": F.when(F.col("quantity") % 7 == 0, F.concat(F.lit("todo: "), F.col("title"))).otherwise(F.concat(F.lit("replace "), F.col("title"))), "path": F.when(F.col("part") % 9 == 0, F.lit("tests/a.py")).otherwise(F.lit("src/a.py")), "in_diff": F.col("v_direct"), "grounded": F.col("v_valid")})
+    return gate.floor(df, 0.6).select("id", "dropped_by")
+
+
+def patch_attribution(spark: SparkSession, d: str) -> DataFrame:
+    df = _validated(spark, d)
+    q = F.col("quantity")
+    flags = {
+        "file_deleted": F.col("file") % 10 == 0, "file_changed": F.col("file") % 10 != 1, "in_diff_file": F.col("file") % 10 != 2, "removed_claim": q % 2 == 0, "fix_claim": q % 7 == 0, "has_added": F.col("file") % 10 != 3,
+        "has_deleted": F.col("file") % 3 == 0, "hits_added": F.col("v_direct"), "evidence_hits_added": q % 10 == 9, "hits_deleted": q % 4 == 0, "causal": q % 5 == 1, "supporting": q % 5 == 2, "direct_tier": q % 5 == 3,
+    }
+    return gate.attributed(df.withColumns(flags)).select("id", "attribution")
+
+
+def evidence_validation(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    items = bind.paths(spark, d).join(docs, "doc_id").withColumns(
+        {
+            "group_id": F.expr("doc_id div 4"), "start": (F.col("n_chars") % 97).cast("int"), "end": (F.col("n_chars") % 89).cast("int"), "total_lines": F.when(F.col("doc_id") % 5 != 0, F.lit(80)),
+            "causal_link": F.when(F.col("doc_id") % 3 == 0, F.lit("calls it")), "explanation": F.lit(None).cast("string"), "file_deleted": F.col("doc_id") % 17 == 0, "file_exists": F.col("doc_id") % 19 != 0,
+            "file_changed": F.col("doc_id") % 2 == 0, "has_added": F.col("doc_id") % 4 != 2, "hits_added": F.col("doc_id") % 8 == 0, "anchor_valid": F.col("doc_id") % 23 != 0, "primary_in_diff": F.col("doc_id") % 6 == 0,
+        }
+    )
+    got = evidence.validate_findings(evidence.validate_items(items), ["group_id"])
+    return _long(got.select("group_id", "v_n_valid", "v_n_invalid", "v_strength", "v_valid", "v_direct", "v_fabricated"), "v_strength")
+
+
+def context_selection(spark: SparkSession, d: str) -> DataFrame:
+    types = F.array(*map(F.lit, vocab.CANDIDATE_SCORE))
+    docs = table(spark, d, "documents").select(F.expr("cast(doc_id div 50 as long)").alias("g"), F.col("doc_id").alias("id"), types[(F.col("doc_id") % 8).cast("int")].alias("type"), text.estimate_tokens(F.col("text")).alias("cost"))
+    docs = docs.withColumn("score", scoring.lookup(F.col("type"), vocab.CANDIDATE_SCORE, 0))
+    got = selection.select_context(docs, "g")
+    return _long(got.select("g", F.array_join("picked", ",").alias("picked"), "candidate_count", "selected_count", "candidate_tokens", "selected_tokens", "selection_ratio"), "candidate_count", "selected_count")
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers call the suppliers of their orders."""
+    pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return pairs.select(F.col("l_suppkey").alias("s"), F.col("o_custkey").alias("c")).distinct()
+
+
+def _callers(spark: SparkSession, d: str) -> DataFrame:
+    sup = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("s"), F.col("n_nationkey").alias("sn"), F.col("n_regionkey").alias("sr"))
+    cus = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("c"), F.col("n_nationkey").alias("cn"), F.col("n_regionkey").alias("cr"), (F.col("c_mktsegment") == "MACHINERY").alias("is_test"))
+    return _edges(spark, d).join(sup, "s").join(cus, "c").withColumn("score", graph.proximity(F.col("sn") == F.col("cn"), F.col("sr") == F.col("cr"), F.col("is_test")))
+
+
+def nearest_callers(spark: SparkSession, d: str) -> DataFrame:
+    return _long(graph.nearest(_callers(spark, d), "s", "score", ["c"]).select("s", "c", "score", "rank"), "score", "rank")
+
+
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    imports = table(spark, d, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey")).distinct()
+    got = graph.dependents(_edges(spark, d), imports, "s")
+    return got.select("s", F.col("dependents").cast("long").alias("dependents"), scoring.blast_radius(F.col("dependents")).cast("long").alias("blast"))
+
+
+def reciprocal_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d).select(F.concat(F.lit("c"), F.col("c").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("dst"), F.lit("calls").alias("kind"))
+    return graph.reciprocal(e).groupBy("src", "kind").agg(F.count("*").alias("n"))
+
+
+def dependency_classes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    spec = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("@org/"), F.col("source"), F.lit("/x"))).when(F.col("doc_id") % 3 == 1, F.concat(F.col("source"), F.lit("/index.ts"))).otherwise(F.concat(F.lit("lib"), F.col("lang"), F.lit("/a/b")))
+    imports = docs.select(F.col("lang").alias("src"), spec.alias("specifier"))
+    files = docs.where("doc_id % 2 = 0").select(F.concat("source", F.lit("/index.ts")).alias("path")).distinct()
+    own = docs.where("lang = 'fr'").select(F.concat(F.lit("@org/"), "source").alias("name")).distinct()
+    return graph.classify_imports(imports, files, own)
+
+
+def cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") % 500 + F.col("o_custkey") % 3).alias("dst"))
+    return graph.in_cycle(e.where("src % 5 = dst % 5"))
+
+
+def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")
+    base = docs.where("doc_id % 7 <> 0").select(path, F.md5("text").alias("oid"), F.lit("100644").alias("mode"))
+    head = docs.where("doc_id % 11 <> 0").select(path, F.when(F.col("doc_id") % 3 == 0, F.md5(F.upper("text"))).otherwise(F.md5("text")).alias("oid"), F.when(F.col("doc_id") % 13 == 0, "100755").otherwise("100644").alias("mode"))
+    return base, head
+
+
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.tree_diff(*_trees(spark, d)).select("path", "status")
+
+
+def status_matrix(spark: SparkSession, d: str) -> DataFrame:
+    base, head = _trees(spark, d)
+    return _long(snapshot.status_matrix(base, head, base.where("path not like '%5'")), "head", "workdir", "stage")
+
+
+def content_verdict(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text").join(bind.paths(spark, d), "doc_id")
+    return docs.select("doc_id", snapshot.verdict(F.col("path"), F.col("text")).alias("verdict"))
+
+
+def text_diffs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    old = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("old"), F.regexp_replace("text", r"\n([^\n]*)\n", "\n$1 changed\n").alias("new"))
+    got = snapshot.with_diff(old)
+    return got.select("path", F.md5("diff").alias("diff_md5"), F.size(F.split("diff", "\n")).cast("long").alias("n_lines"))
+
+
+def diff_intervals(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    line = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit(" "), x)).when(i % 4 == 1, F.concat(F.lit("-"), x)).otherwise(F.concat(F.lit("+"), x))
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    diff = F.concat(F.lit("--- a/"), "source", F.lit("\n+++ b/"), "source", F.lit("\n@@ -5,9 +7,9 @@\n"), body)
+    return _long(snapshot.diff_intervals(docs.select("doc_id", diff.alias("diff")), "doc_id"), "start", "end")
+
+
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    tools = F.array(*map(F.lit, payloads.FIELDS))
+    tool = tools[(F.col("event_id") % 7).cast("int")]
+    body = F.to_json(F.struct(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("filename"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("fileName"), F.get_json_object("props", "$.k").cast("int").alias("line"), F.get_json_object("props", "$.k").cast("int").alias("line_number"), F.when(F.col("event_id") % 2 == 0, "error").otherwise("warning").alias("severity"), F.col("event_type").alias("message"), F.col("event_type").alias("issue_text"), F.lit("E501").alias("code")))
+    got = payloads.normalize_diagnostics(ev.select(F.col("event_id").alias("id"), tool.alias("tool"), body.alias("json")))
+    return _long(got.select("id", "file", "line", "severity", "message", "source", "rule"), "line")
+
+
+def diagnostic_dedup(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select("user_id", "event_type", (F.col("value") * 0).alias("zero"), "event_id")
+    return linkage.first_of(ev.drop("zero"), ["user_id", "event_type"], ["event_id"])
+
+
+def payload_repair(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    k = F.col("event_id") % 5
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure: "), F.regexp_replace("props", '"', "'"))).when(k == 2, F.regexp_replace("props", r"\}$", ",}")).when(k == 3, F.concat(F.lit('{"a":['), "props", F.lit(',{"b":'))).otherwise(F.lit("no payload"))
+    return ev.select("event_id", payloads.repaired(raw).alias("json"))
+
+
+def lru_replay(spark: SparkSession, d: str) -> DataFrame:
+    acc = table(spark, d, "events").select(F.col("event_type").alias("cache"), F.col("user_id").alias("key"), (F.octet_length("props") * 10 + F.col("user_id") % 50).alias("size_bytes"), "ts", F.col("event_id").alias("id"))
+    return caches.replay(acc, 5000)
+
+
+def fifo_replay(spark: SparkSession, d: str) -> DataFrame:
+    acc = table(spark, d, "events").select(F.col("event_type").alias("cache"), F.col("user_id").alias("key"), (F.octet_length("props") * 10 + F.col("user_id") % 50).alias("size_bytes"), "ts", F.col("event_id").alias("id"))
+    return caches.replay(acc, 5000, "fifo")
+
+
+def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    df = bind.findings(spark, d)
+    expected = df.where("id % 1000 <= 2 and part % 3 = 0").select("fixture", "file", "category", F.col("id").alias("expected_id"), F.col("start_line").alias("e_start"), F.col("end_line").alias("e_end"), F.lit("medium").alias("e_severity"), F.lit(0.6).alias("min_confidence"), F.array(F.substring("title", 1, 3)).alias("keywords"))
+    return df, expected
+
+
+def fixture_metrics(spark: SparkSession, d: str) -> DataFrame:
+    df, expected = _evaluation(spark, d)
+    return evaluate.fixture_metrics(df, expected, evaluate.matched(df, expected))
+
+
+def scorecard(spark: SparkSession, d: str) -> DataFrame:
+    m = fixture_metrics(spark, d)
+    results = m.withColumn("latency", (F.col("fixture") * 37) % 1009)
+    return evaluate.scorecard(results)
+
+
+def sarif(spark: SparkSession, d: str) -> DataFrame:
+    df = bind.findings(spark, d)
+    out = report.sarif_results(df.select("category", "severity", "message", F.col("file").cast("string").alias("file"), "start_line", "end_line"))
+    return out.groupBy(F.get_json_object("value", "$.ruleId").alias("rule_id"), F.get_json_object("value", "$.level").alias("level")).agg(F.count("*").alias("n"))
+
+
+def quiet_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.quiet_lines(bind.findings(spark, d))
+
+
+def review_plan(spark: SparkSession, d: str) -> DataFrame:
+    return review.adjudicate(spark, d)
+
+
+_OWN = (
+    score_findings, protected_top, summary_counts, nav_list, overlap_clusters, merge_clusters, consolidate, innermost_symbol, hunk_overlap, coalesce_lines, normalize_titles, redact_texts, token_estimates, path_classes, hash_keys,
+    production_files, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
+    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, review_plan,
+)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in _OWN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
