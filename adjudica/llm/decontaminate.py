@@ -1,11 +1,11 @@
 """Operator 9, benchmark decontamination with a positional inverted index.
 
 Benchmark items become windows of consecutive words. A first pass over the corpus counts the benchmark's terms; each
-window's rarest term is its anchor. A second pass stores the index: postings (term, document, position) of benchmark
+window's rarest term is its anchor (for proximity matches, its few rarest terms are). A second pass stores the index: postings (term, document, position) of benchmark
 terms. Postings further from every anchor's occurrence than a window reaches can't belong to a match, so they are left
 out; nothing else is. A search starts from the anchors' lists, which give candidate starts by their offsets in the
 windows, and intersects them with the offset-adjusted lists of the other terms: a start at which all terms agree is an
-exact phrase, one with ``near_terms`` of them at least is a proximity match (words replaced in place).
+exact phrase, one with ``near_terms`` of them at least (if given) is a proximity match, words replaced in place.
 
 The benchmark's vocabulary is broadcast to the corpus passes if it has at most ``vocabulary_bound`` terms; beyond that
 the passes count and post all terms, and joins select.
@@ -138,29 +138,32 @@ def _vocabulary(benchmark: DataFrame, bound: int) -> dict[bytes, int] | None:
     return None if len(got) > bound else {bytes(r["word"]): term(bytes(r["word"])) for r in got}
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int, vocabulary_bound: int, near_terms: int, scope: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int, vocabulary_bound: int, near_terms: int | None, scope: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stored documents (row, doc_id, n_words), the stored windows, and the matches (row, window, start, size, exact)."""
     item_windows = store(spark, windows(benchmark, size), "windows", scope)
     distinct = item_windows.groupBy("window").agg(F.first("terms").alias("terms"))
     known = _vocabulary(benchmark, vocabulary_bound)
     vocabulary = None if known is None else spark.sparkContext.broadcast(known)
     counts = store(spark, term_counts(docs, vocabulary), "counts", scope)
-    spread = distinct.select("window", F.posexplode("terms").alias("offset", "term"))
-    rare = spread.join(counts, "term").groupBy("window").agg(F.min_by(F.struct("term", "offset"), F.struct("n", "term", "offset")).alias("a"), F.count("*").alias("found"), F.max("offset"))
-    # A window one of whose terms is nowhere in the corpus can't occur exactly; its anchor is still the rarest term that is.
+    spread = distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    # Any near_terms of a window's terms agree at a near match, so one of its size - near_terms + 1 rarest does.
+    few = 1 if near_terms is None else size - near_terms + 1
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, few)
+    rare = spread.join(counts, "term").groupBy("window").agg(ranked.alias("a"), F.count("*").alias("found"), F.first("size").alias("size"))
+    # A window with a term that the corpus lacks has no exact match.
+    rare = rare.where((F.col("found") == F.col("size")) | F.lit(near_terms is not None) & (F.col("found") >= F.lit(near_terms))).select("window", F.explode("a").alias("a"))
     anchored = store(spark, rare.select("window", F.col("a.term").alias("term"), F.col("a.offset").alias("offset")), "anchors", scope)
     anchors = None if known is None else spark.sparkContext.broadcast({r["term"] for r in anchored.select("term").distinct().collect()})
     stored = store(spark, index(docs, vocabulary, anchors, size - 1), "index", scope)
     postings = stored.where(F.size("terms") > 0).select("row", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("row", F.col("p.terms").alias("term"), F.col("p.places").alias("place"))
     starts = postings.join(anchored, "term").select("row", "window", (F.col("place") - F.col("offset")).alias("start")).where("start >= 0")
-    rest = spread.join(anchored.select("window", F.col("offset").alias("_anchor")), "window").where("offset <> _anchor").drop("_anchor")
-    sizes = distinct.select("window", F.size("terms").alias("size"))
-    lists = rest.groupBy("window").agg(F.collect_list(F.struct("term", "offset")).alias("rest"))
-    candidates = store(spark, starts.join(sizes, "window").join(lists, "window", "left"), "candidates", scope)
-    wanted = candidates.select("row", "window", "start", F.explode("rest").alias("r")).select("row", "window", "start", F.col("r.term").alias("term"), (F.col("start") + F.col("r.offset")).alias("place"))
-    agreed = wanted.join(postings, ["row", "term", "place"]).groupBy("row", "window", "start").agg(F.count("*").alias("n"))
-    found = candidates.select("row", "window", "start", "size").join(agreed, ["row", "window", "start"], "left").withColumn("agree", F.coalesce("n", F.lit(0)) + 1)
-    found = found.where((F.col("agree") == F.col("size")) | (F.col("agree") >= near_terms))
+    if few > 1:
+        starts = starts.distinct()
+    whole = distinct.select("window", "terms", F.size("terms").alias("size"))
+    candidates = store(spark, starts.join(whole, "window"), "candidates", scope)
+    wanted = candidates.select("row", "window", "start", "size", F.posexplode("terms").alias("offset", "term")).withColumn("place", F.col("start") + F.col("offset"))
+    agreed = wanted.join(postings, ["row", "term", "place"]).groupBy("row", "window", "start", "size").agg(F.count("*").alias("agree"))
+    found = agreed.where((F.col("agree") == F.col("size")) | F.lit(near_terms is not None) & (F.col("agree") >= F.lit(near_terms)))
     return stored.select("row", "doc_id", "n_words"), item_windows.select("item_id", "window"), found.select("row", "window", "start", "size", (F.col("agree") == F.col("size")).alias("exact"))
 
 
@@ -178,7 +181,7 @@ def _covered(spans: F.Column) -> F.Column:
     )
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, vocabulary_bound: int = 1_000_000, near_terms: int = 8, scope: str = "op") -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, vocabulary_bound: int = 1_000_000, near_terms: int | None = None, scope: str = "op") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (windows met only nearly) for each document."""
     documents, items, found = matches(spark, docs, benchmark, size, vocabulary_bound, near_terms, scope)
     found = store(spark, found, "found", scope)
