@@ -5,11 +5,13 @@ and its smallest id goes on alone. SuperMinHash gives each element one pseudo-ra
 step j an element offers register p(j) the value j + u, so values of later steps are larger and a document stops as
 soon as all its registers hold values of earlier steps. Bands of registers make buckets.
 
-Pairs are never enumerated within a bucket. First each member is compared with the bucket's smallest and largest
-member, the likeliest pair of each class first; links found make components by union-find as a distributed min-label
-propagation with pointer jumping. Then, in buckets that still hold several components, the members outside the largest
-one are compared with the members of other components. Every comparison that counts is made on full shingle sets; the
-registers' estimate only discards pairs more than six standard errors below the threshold.
+Rows are never paired within a bucket. First each class is compared with one member of its buckets: the likeliest of
+their most popular members (those that meet most others in all their buckets, as the origin of a group of copies does)
+and smallest members. Links found make components by union-find as a distributed min-label propagation with pointer
+jumping. Then, in buckets that still hold several components, the members outside the largest one meet the members of
+other components in blocks of ``BLOCK`` signatures; a block pair is one row, and only pairs whose estimate isn't five
+standard errors or more below the threshold leave it, each from its first common bucket. Every comparison that counts is
+made on full shingle sets.
 
 Defined results: null or empty text, or text without words, has an empty set, 0 shingles and its own id as component.
 Text of fewer words than a shingle has one shingle, the whole sequence. Rows of the same doc_id are one document. A
@@ -30,7 +32,12 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, batches, slices, store, utf8
 
 BANDS, ROWS = 24, 4
-REGISTERS = BANDS * ROWS
+#: Registers of a signature; the first BANDS * ROWS make the bands, all serve the estimate.
+REGISTERS = 256
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 64
+#: Elements whose permutations are held at once.
+ELEMENTS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x100000001B3
@@ -117,14 +124,22 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def superminhash(elements: np.ndarray, end: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """Registers, (texts, m): the step in the upper and the random part in the lower 32 bits."""
+    """Registers, (texts, m): the step in the upper and the random part in the lower 32 bits.
+
+    A register is a minimum over the elements, so a very large set is done in parts.
+    """
+    if len(end) == 1 and len(elements) > ELEMENTS:
+        parts = [superminhash(elements[a : a + ELEMENTS], np.array([min(ELEMENTS, len(elements) - a)]), m) for a in range(0, len(elements), ELEMENTS)]
+        return np.minimum.reduce(parts)
     n = len(end)
     size = np.diff(end, prepend=0)
     best = np.full(n * m, np.iinfo(np.uint64).max, np.uint64)
     of = np.repeat(np.arange(n), size)
-    order = np.tile(np.arange(m, dtype=np.uint8), (len(elements), 1))
+    order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(elements), 1))
     at = np.arange(len(elements))
     for j in range(m):
+        if not len(at):
+            break
         r = mix(elements[at] + np.uint64((j + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         k = j + ((r >> np.uint64(32)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)
         reg = order[at, k]
@@ -132,14 +147,12 @@ def superminhash(elements: np.ndarray, end: np.ndarray, m: int = REGISTERS) -> n
         np.minimum.at(best, of[at] * m + reg, np.uint64(j << 32) | (r & np.uint64(0xFFFFFFFF)))
         open_ = best.reshape(n, m).max(1) >= np.uint64((j + 1) << 32)
         at = at[open_[of[at]]]
-        if not len(at):
-            break
     return best.reshape(n, m)
 
 
 def bands(registers: np.ndarray) -> np.ndarray:
     """A bucket number for each band, (texts, BANDS)."""
-    parts = registers.reshape(len(registers), BANDS, ROWS)
+    parts = registers[:, : BANDS * ROWS].reshape(len(registers), BANDS, ROWS)
     h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
     for i in range(ROWS):
         h = mix(h * _STEP + parts[:, :, i])
@@ -152,7 +165,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(rows):
         for batch in batches(rows):
             ids, texts = batch.column("doc_id"), utf8(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES // 2):
                 el, end = shingle_sets(texts[a:b], words)
                 size = np.diff(end, prepend=0)
                 keys = [xxhash.xxh3_128_digest(el[e - s : e].tobytes()) if s else None for e, s in zip(end, size, strict=True)]
@@ -164,21 +177,50 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, buckets array<long>, registers binary")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs a < b whose registers agree in a share of least or more; with that share."""
+def _bytes(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, REGISTERS)
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the share of registers that agree."""
 
     def run(rows):
         for batch in batches(rows):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("_ra", "_rb"))
-            share = (x == y).mean(1)
-            keep = np.flatnonzero(share >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(share[keep])], names=["a", "b", "share"])
+            share = (_bytes(batch.column("_ra").to_pylist()) == _bytes(batch.column("_rb").to_pylist())).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
 
     one = classes.select(F.col("id").alias("a"), F.col("registers").alias("_ra"))
     two = classes.select(F.col("id").alias("b"), F.col("registers").alias("_rb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "_ra", "_rb").mapInArrow(run, "a long, b long, share double")
 
 
+def crossing(open_: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket of open_ (bucket, id, part, main, n) and whose registers
+    agree in a share of least or more. Members meet in blocks, so there is a row for each pair of blocks."""
+    full = open_.join(classes.select("id", "buckets", "registers"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    member = F.struct("id", "part", (F.col("part") == F.col("main")).alias("main"), "buckets", "registers")
+    held = full.groupBy("bucket", "block").agg(F.collect_list(member).alias("m"))
+    minor = full.where("part <> main").groupBy("bucket", "block").agg(F.collect_list(member).alias("minor"))
+
+    def run(rows):
+        for batch in batches(rows):
+            found: list[tuple[int, int]] = []
+            for bucket, one, two in zip(batch.column("bucket").to_pylist(), batch.column("minor").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                x, y = (_bytes([k["registers"] for k in side]) for side in (one, two))
+                (ix, px, bx), (iy, py, by) = ([np.array([k[c] for k in side], np.int64) for c in ("id", "part", "buckets")] for side in (one, two))
+                main = np.array([k["main"] for k in two])
+                ok = (px[:, None] != py) & (main | (ix[:, None] < iy))
+                for i in range(len(x)):
+                    at = np.flatnonzero(ok[i])
+                    at = at[(x[i] == y[at]).mean(1) >= least]
+                    shared = bx[i] == by[at]
+                    at = at[bx[i][shared.argmax(1)] == bucket] if len(at) else at
+                    found += [(int(ix[i]), int(k)) for k in iy[at]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return minor.select("bucket", "minor").join(held.select("bucket", "m"), "bucket").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets satisfy 100 * intersection >= percent * union."""
 
@@ -228,31 +270,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     real = sketch.where("set_key is not null")
     classes = store(spark, real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets"), F.first("registers").alias("registers")), "classes", scope)
     member = classes.where("id is not null").select("id", F.explode("buckets").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
     crowd = store(spark, member.join(shared, "bucket"), "crowd", scope)
-    least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-
-    star = crowd.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    pairs = store(spark, likely(star, classes, least), "pairs", scope)
+    popular = crowd.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = crowd.select("bucket", "id").join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", (-F.col("id")).alias("k"))).alias("hub"))
+    star = crowd.join(hubs, "bucket").select(F.col("id").alias("a"), F.explode(F.array("hub", "low")).alias("b")).where("a <> b").distinct()
+    pairs = likely(star, classes)
     named = crowd.select("id").distinct()
     texts = store(spark, docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi"), "texts", scope)
 
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
-    first = store(spark, confirmed(best, texts, words, percent), "links", scope)
+    goal = percent / 100
+    least = goal - 5 * math.sqrt(goal * (1 - goal) / REGISTERS)
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"), F.max("share").alias("share")).where(F.col("share") >= least)
+    first = store(spark, confirmed(best.select("a", "b"), texts, words, percent), "links", scope)
     part = components(spark, first, scope)
 
     at = F.coalesce("label", "id").alias("part")
-    placed = store(spark, crowd.select("bucket", "id").join(part, "id", "left").select("bucket", "id", at), "placed", scope)
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = store(spark, placed.join(mixed, "bucket"), "open", scope)
-    minor = open_.where("part <> main").select("bucket", F.col("id").alias("x"), F.col("part").alias("px"))
-    other = open_.select("bucket", F.col("id").alias("y"), F.col("part").alias("py"), (F.col("part") == F.col("main")).alias("_main"))
-    cross = minor.join(other, "bucket").where((F.col("px") != F.col("py")) & (F.col("_main") | (F.col("x") < F.col("y"))))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = cross.join(best, ["a", "b"], "left_anti")
-    second = confirmed(store(spark, likely(cross, classes, least), "pairs", scope), texts, words, percent)
-    links = store(spark, first.union(second), "links", scope)
+    placed = store(spark, crowd.select("bucket", "id", "n").join(part, "id", "left").select("bucket", "id", "n", at), "placed", scope)
+    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    cross = store(spark, crossing(placed.join(mixed, "bucket"), classes, least), "cross", scope)
+    links = store(spark, first.union(confirmed(cross, texts, words, percent)), "links", scope)
     final = components(spark, links, scope)
 
     owner = classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
