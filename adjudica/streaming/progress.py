@@ -21,6 +21,7 @@ def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window start, event_type, n, total) of events (ts, event_type, value)."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant, not a wall-clock time
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
