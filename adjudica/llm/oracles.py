@@ -31,4 +31,29 @@ select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(w.doc_id, coalesce(l
 from w left join n using (doc_id) left join low on low.a = w.doc_id
 """
 
-SQL = {"op9_decontaminate": OP9, "op10_near_dedup": OP10}
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: int, pattern: str, keep: str) -> str:
+    """Matches with their places: marked with private-use characters, split, and lengths summed."""
+    return f"""
+ select doc_id, owner, repo, {kind} kind, s, s + length(f) e, v from (
+  select doc_id, owner, repo, f, v, coalesce(sum(length(f) + length(r)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) + first_ s from (
+   select doc_id, owner, repo, i, first_, split_part(p, chr(57345), 1) f, split_part(split_part(p, chr(57345), 2), chr(57346), 1) v, split_part(p, chr(57346), 2) r from (
+    select doc_id, owner, repo, length(l[1]) first_, unnest(l[2:]) p, unnest(range(1, len(l))) i from (
+     select doc_id, owner, repo, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\0' || chr(57345) || '\\2' || chr(57346), 'g'), chr(57344)) l from t)))) where {keep}"""
+
+
+OP3 = f"""
+with t as (select doc_id, source owner, concat_ws(':', source, lang) repo, translate(coalesce(text, ''), chr(57344) || chr(57345) || chr(57346), '???') t from documents),
+base as ({_spans(0, _ASSIGN, "length(v) >= 8")} union all {_spans(1, "()(AKIA[A-Z0-9]+)", "length(v) >= 16")} union all {_spans(2, "()([0-9a-f]{32,})", "true")}),
+opaque as ({_spans(3, "()([A-Za-z0-9+/_-]{24,})", "regexp_matches(v, '[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]')")}),
+free as (select * from opaque o where not exists (select 1 from base b where b.doc_id = o.doc_id and b.s < o.e and o.s < b.e)),
+found as (select * from base union all select * from free),
+own as (select v, count(distinct owner) <= 1 and count(distinct (owner, repo)) <= 2 live from found group by 1),
+judged as (select doc_id, kind, s, e, live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s::bigint || ':' || e::bigint x from found join own using (v) where kind < 3 or live),
+g as (select doc_id, count(*) filter (kind = 0) a, count(*) filter (kind = 1) c, count(*) filter (kind = 2) h, string_agg(x, ',' order by s, kind, e) filter (kind < 3) b, string_agg(x, ',' order by s, kind, e) al, count(*) filter (live) li, count(*) filter (not live) ex from judged group by 1)
+select doc_id, coalesce(a, 0) n_assign, coalesce(c, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(al, '') spans, coalesce(li, 0) n_live, coalesce(ex, 0) n_example from documents left join g using (doc_id)
+"""
+
+SQL = {"op3_secret_scan": OP3, "op9_decontaminate": OP9, "op10_near_dedup": OP10}
