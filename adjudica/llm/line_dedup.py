@@ -8,7 +8,7 @@ probes, for each length L from its own down to its own less edits, the few subst
 leaves.
 
 Index keys of more than ``crowded`` texts (many variants of one line) aren't joined blindly: their rows carry the text,
-and the distance is tested inside the join, so only links leave it. Other candidates are verified by a banded
+and the distance is tested inside the join, so only links leave it. A signature of character counts spares most tests. Other candidates are verified by a banded
 bit-parallel edit distance, written as a fold over the characters between the pair's common prefix and suffix.
 
 Links make classes (min-label propagation). In each class the first line by (doc_id, place) is kept.
@@ -59,6 +59,29 @@ def probe_keys(text: Column, length: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
+#: Characters that a line's signature counts, and the bits of each count.
+COUNTED, COUNT_BITS = "eatinosr", 6
+
+
+def signature(text: Column) -> Column:
+    """The counts of a few characters, modulo 2**COUNT_BITS, in one word."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        n = (F.length(text) - F.length(F.replace(text, F.lit(c)))).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+        out = out.bitwiseOR(F.shiftleft(n.cast("long"), k * COUNT_BITS))
+    return out
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two signatures allow the distance: an edit changes two counts by one at most."""
+    mask = (1 << COUNT_BITS) - 1
+    total = F.lit(0)
+    for k in range(len(COUNTED)):
+        d = (F.shiftright(a, k * COUNT_BITS) - F.shiftright(b, k * COUNT_BITS)).bitwiseAND(F.lit(mask))
+        total = total + F.least(d, F.lit(mask + 1) - d)
+    return total <= 2 * edits
+
+
 def _common(a: Column, b: Column) -> Column:
     """Length of the common prefix."""
     most = F.least(F.length(a), F.length(b))
@@ -129,29 +152,25 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", F.posexplode("_lines").alias("place", "line"))
 
 
-def links(spark: SparkSession, texts: DataFrame, edits: int = 2, least: int = 20, crowded: int = 64, scope: str = "op") -> DataFrame:
+def links(spark: SparkSession, texts: DataFrame, edits: int = 2, least: int = 20, crowded: int = 16, scope: str = "op") -> DataFrame:
     """Pairs (a, b) of ids of texts (id, line, all different) within the distance, each once."""
     length = F.length("line")
-    long = texts.where(length >= max(least, edits + 1)).select("id", "line", length.alias("len"))
-    index = long.select("id", F.explode(index_keys(F.col("line"), F.col("len"), edits)).alias("key"))
-    probe = long.select("id", F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("p")).select("id", "p.key", "p.less")
+    long = texts.where(length >= max(least, edits + 1)).select("id", "line", length.alias("len"), signature(F.col("line")).alias("sig"))
+    index = long.select("id", "sig", F.explode(index_keys(F.col("line"), F.col("len"), edits)).alias("key"))
+    probe = long.select("id", "sig", F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("p")).select("id", "sig", "p.key", "p.less")
     hot = store(spark, index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "hot", scope)
-    cold = index.join(hot, "key", "left_anti").select("key", F.col("id").alias("a")).hint("shuffle_hash")
-    asked = probe.select("key", F.col("id").alias("b"), "less")
-    right = (F.col("a") != F.col("b")) & (F.col("less") | (F.col("a") < F.col("b")))
-    pairs = store(spark, cold.join(asked, "key").where(right).select("a", "b").distinct(), "pairs", scope)
+    cold = index.join(hot, "key", "left_anti").select("key", F.col("id").alias("a"), F.col("sig").alias("sa")).hint("shuffle_hash")
+    asked = probe.select("key", F.col("id").alias("b"), F.col("sig").alias("sb"), "less")
+    right = (F.col("a") != F.col("b")) & (F.col("less") | (F.col("a") < F.col("b"))) & may_be_near(F.col("sa"), F.col("sb"), edits)
+    pairs = store(spark, cold.join(asked, (cold["key"] == asked["key"]) & right).select("a", "b").distinct(), "pairs", scope)
 
     # Hot keys: texts are attached to their rows, and the join's own condition is the distance.
     named = index.join(hot, "key", "left_semi").select("id").union(probe.join(hot, "key", "left_semi").select("id")).union(pairs.select(F.col("a").alias("id"))).union(pairs.select("b")).distinct()
     known = store(spark, texts.select("id", "line").join(named, "id", "left_semi"), "named", scope)
-    again = known.where(F.length("line") >= max(least, edits + 1)).select("id", "line", length.alias("len"))
-    counts = F.array(*[F.length("line") - F.length(F.replace("line", F.lit(c))) for c in "eatinos "])
-    some = again.select("id", "line", counts.alias("c"), F.explode(index_keys(F.col("line"), F.col("len"), edits)).alias("key")).join(hot, "key", "left_semi")
-    ask = again.select("id", "line", counts.alias("c"), F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("p")).select("id", "line", "c", "p.key", "p.less").join(hot, "key", "left_semi")
-    some = some.select("key", F.col("id").alias("a"), F.col("line").alias("la"), F.col("c").alias("ca"))
-    ask = ask.select("key", F.col("id").alias("b"), F.col("line").alias("lb"), F.col("c").alias("cb"), "less")
-    spread = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = right & (spread <= 2 * edits) & (F.levenshtein("la", "lb", edits) >= 0)
+    again = known.where(F.length("line") >= max(least, edits + 1)).select("id", "line", length.alias("len"), signature(F.col("line")).alias("sig"))
+    some = again.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("sig").alias("sa"), F.explode(index_keys(F.col("line"), F.col("len"), edits)).alias("key")).join(hot, "key", "left_semi")
+    ask = again.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("sig").alias("sb"), F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("p")).select("b", "lb", "sb", "p.key", "p.less").join(hot, "key", "left_semi")
+    near = right & (F.levenshtein("la", "lb", edits) >= 0)
     crowd = some.join(ask, (some["key"] == ask["key"]) & near).select("a", "b").distinct()
 
     one = known.select(F.col("id").alias("a"), F.col("line").alias("la"))
@@ -160,7 +179,7 @@ def links(spark: SparkSession, texts: DataFrame, edits: int = 2, least: int = 20
     return checked.select("a", "b")
 
 
-def near_lines(spark: SparkSession, docs: DataFrame, edits: int = 2, least: int = 20, crowded: int = 64, scope: str = "op") -> DataFrame:
+def near_lines(spark: SparkSession, docs: DataFrame, edits: int = 2, least: int = 20, crowded: int = 16, scope: str = "op") -> DataFrame:
     """row, doc_id, place, class_id (hex digest of a text of the class), n_links (other texts within the distance), kept."""
     all_lines = lines(docs.select("doc_id", "text"))
     texts = all_lines.groupBy("line").agg(F.count("*").alias("n"))
