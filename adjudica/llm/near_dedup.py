@@ -9,9 +9,10 @@ Rows are never paired within a bucket. First each class is compared with one mem
 their most popular members (those that meet most others in all their buckets, as the origin of a group of copies does)
 and smallest members. Links found make components by union-find as a distributed min-label propagation with pointer
 jumping. Then, in buckets that still hold several components, the members outside the largest one meet the members of
-other components in blocks of ``BLOCK`` signatures; a block pair is one row, and only pairs whose estimate isn't five
-standard errors or more below the threshold leave it, each from its first common bucket. Every comparison that counts is
-made on full shingle sets.
+other components. Members of the buckets with one largest component meet in blocks of ``BLOCK`` documents: a pair of
+blocks is one row, its documents that share a bucket are compared in place, and at most one link for each two components
+leaves it. Estimates only spare comparisons that are five standard errors or more below the threshold; every comparison
+that counts is made on full shingle sets.
 
 Defined results: null or empty text, or text without words, has an empty set, 0 shingles and its own id as component.
 Text of fewer words than a shingle has one shingle, the whole sequence. Rows of the same doc_id are one document. A
@@ -194,31 +195,58 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "_ra", "_rb").mapInArrow(run, "a long, b long, share double")
 
 
-def crossing(open_: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket of open_ (bucket, id, part, main, n) and whose registers
-    agree in a share of least or more. Members meet in blocks, so there is a row for each pair of blocks."""
-    full = open_.join(classes.select("id", "buckets", "registers"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    member = F.struct("id", "part", (F.col("part") == F.col("main")).alias("main"), "buckets", "registers")
-    held = full.groupBy("bucket", "block").agg(F.collect_list(member).alias("m"))
-    minor = full.where("part <> main").groupBy("bucket", "block").agg(F.collect_list(member).alias("minor"))
+def _agree(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets satisfy 100 * intersection >= percent * union."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def crossing(open_: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between components that share a bucket of open_ (bucket, id, part, main), enough to join them."""
+    rows = open_.select("main", "id", "part").distinct()
+    count = rows.groupBy("main").agg(F.count("*").alias("n"))
+    full = rows.join(count, "main").join(classes.select("id", "buckets", "registers"), "id").join(texts, "id")
+    full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    member = F.struct("id", "part", "buckets", "registers", "text")
+    held = full.groupBy("main", "block").agg(F.collect_list(member).alias("m"))
+    minor = full.where("part <> main").groupBy("main", "block").agg(F.collect_list(member).alias("minor"))
+
+    def tile(main: int, one: list[dict], two: list[dict], found: list[tuple[int, int]]) -> None:
+        x, y = (_bytes([k["registers"] for k in side]) for side in (one, two))
+        (ix, px, bx), (iy, py, by) = ([np.array([k[c] for k in side], np.int64) for c in ("id", "part", "buckets")] for side in (one, two))
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def root(p: int) -> int:
+            while (q := parent.get(p, p)) != p:
+                p = q
+            return p
+
+        def elements(k: dict) -> np.ndarray:
+            if k["id"] not in sets:
+                sets[k["id"]] = shingle_sets([(k["text"] or "").encode("utf-8", "surrogatepass")], words)[0]
+            return sets[k["id"]]
+
+        for i in range(len(one)):
+            at = np.flatnonzero((py != px[i]) & ((py == main) | (ix[i] < iy)))
+            at = at[(by[at] == bx[i]).any(1)]
+            at = at[(y[at] == x[i]).mean(1) >= least]
+            for j in at:
+                a, b = root(int(px[i])), root(int(py[j]))
+                if a != b and _agree(elements(one[i]), elements(two[j]), percent):
+                    parent[a] = b
+                    found.append((int(ix[i]), int(iy[j])))
 
     def run(rows):
         for batch in batches(rows):
             found: list[tuple[int, int]] = []
-            for bucket, one, two in zip(batch.column("bucket").to_pylist(), batch.column("minor").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                x, y = (_bytes([k["registers"] for k in side]) for side in (one, two))
-                (ix, px, bx), (iy, py, by) = ([np.array([k[c] for k in side], np.int64) for c in ("id", "part", "buckets")] for side in (one, two))
-                main = np.array([k["main"] for k in two])
-                ok = (px[:, None] != py) & (main | (ix[:, None] < iy))
-                for i in range(len(x)):
-                    at = np.flatnonzero(ok[i])
-                    at = at[(x[i] == y[at]).mean(1) >= least]
-                    shared = bx[i] == by[at]
-                    at = at[bx[i][shared.argmax(1)] == bucket] if len(at) else at
-                    found += [(int(ix[i]), int(k)) for k in iy[at]]
+            for k in range(batch.num_rows):
+                tile(*(batch.column(c)[k].as_py() for c in ("main", "minor", "m")), found)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return minor.select("bucket", "minor").join(held.select("bucket", "m"), "bucket").mapInArrow(run, "a long, b long")
+    return minor.select("main", "minor").join(held.select("main", "m"), "main").select("main", "minor", "m").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -238,11 +266,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         memo[k] = shingle_sets([t], words)[0]
                         held += memo[k].nbytes
                     sets.append(memo[k])
-                x, y = sets
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                if _agree(*sets, percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
@@ -289,8 +313,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     placed = store(spark, crowd.select("bucket", "id", "n").join(part, "id", "left").select("bucket", "id", "n", at), "placed", scope)
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    cross = store(spark, crossing(placed.join(mixed, "bucket"), classes, least), "cross", scope)
-    links = store(spark, first.union(confirmed(cross, texts, words, percent)), "links", scope)
+    cross = crossing(placed.join(mixed, "bucket"), classes, texts, words, percent, least)
+    links = store(spark, first.union(cross), "links", scope)
     final = components(spark, links, scope)
 
     owner = classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
