@@ -32,6 +32,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Characters scored at once in a worker. Longer texts are scored in pieces of this length.
 PIECE = 400_000
+#: Languages that a model may have; more fail the call.
+LANGUAGES = 2_000
 #: Code points that separate texts in a buffer; no letter maps to it.
 EDGE = 0
 SPACE = 32
@@ -286,10 +288,13 @@ def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Model:
 def sampled(docs: DataFrame, allowed: F.Column, sample_rows: int, sample_chars: int) -> list[tuple[int, str, str]]:
     """A bounded sample of labelled rows: of each language, a share of rows by the hash of the id that gives sample_rows in expectation."""
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(share)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    if not counts:
+        return []
+    shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["n"]))]
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003))
     got = known.where((place < share * 1_000_003) & (F.length("text") <= sample_chars)).select(place.alias("place"), "text", "lang")
     return sorted((r["place"], r["text"], r["lang"]) for r in got.collect())
