@@ -20,6 +20,8 @@ by text hash, and equal rows in any order. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,8 @@ def plan(spark: SparkSession, blocks: dict[str, int], weights: dict[str, int]) -
     left, base, rows = dict(blocks), 0, []
     done = dict.fromkeys(blocks, 0)
     while active := sorted(s for s in left if left[s] > 0):
-        w = [weights[s] for s in active]
+        common = math.gcd(*(weights[s] for s in active))
+        w = [weights[s] // common for s in active]
         slots = _period(spark, w)
         places = [[] for _ in active]
         for t, i in enumerate(slots):
