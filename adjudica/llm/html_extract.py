@@ -6,13 +6,16 @@ corpus is counted: on how many pages of the host it is, how often it looks alike
 blocks that follow it on the page) and how often it says the same (content). The importance of a node is the entropy of
 these counts, normalised by the number of pages: near 0 for what is the same on every page, near 1 for what differs.
 
-Elements whose own name or class states their role decide at once, innermost first: navigation, headers, footers,
-sidebars, notices, adverts, forms and comments have importance 0, articles and main elements 1. Importance by entropy
-decides for blocks without such an ancestor, and only on pages that name no article. ``threshold`` is the least
-importance that stays.
+A block's importance is the lesser of its node's and of its own text's: 1 - log c / log n for a text on c pages, of n
+contents of its node, so that a sentence repeated in many articles counts as little as a repeated element.
 
-Blocks are joined in page order. Pages are parsed once; what is parsed is stored in the shared folder, and only blocks
-that need the tree's counts are shuffled, by node, never by host alone.
+Importance decides every block that no name states to be noise: those of least importance (``threshold``) are left out.
+Names are a prior. Articles and main elements count like ``PRIOR`` further contents of importance 1, which few pages
+can't outweigh. Navigation, headers, footers, sidebars, adverts, forms and comments are left out: they differ from page to
+page too, so that entropy can't speak for them.
+
+Blocks are joined in page order. Pages are parsed once; what is parsed is stored in the shared folder. Blocks are shuffled
+by node and text, never by host alone, and texts packed, by page.
 
 Defined results: null or empty html has the empty text, as has a page without content blocks. A null url is a host of
 its own. A host's only page keeps its unnamed blocks. Repeated rows are counted and extracted each. An empty table gives
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -51,6 +55,8 @@ NOISE_NAMES = frozenset("nav aside footer form header menu dialog button select
 NOISE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header menu modal nav navbar navigation newsletter notice pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_NAMES = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+#: So many contents of importance 1 stand behind a stated article.
+PRIOR = 8
 
 
 def host_of(url: str | None) -> str:
@@ -157,57 +163,72 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-PARSED = "row long, page_id long, url string, host string, texts array<string>, roles string, nodes array<long>, looks array<long>, says array<long>, named boolean"
+PARSED = "row long, page_id long, url string, texts binary, roles string, nodes array<long>, looks array<long>, says array<long>, firsts array<boolean>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row for each page: its blocks' texts (noise left out), roles, style nodes and hashes of looks and content."""
+    """One row for each page: its blocks' texts (noise left out; one compressed text of lines), roles, style nodes and
+    hashes of looks and content, and whether the page says the same at that node for the first time."""
 
     def run(rows):
         row = TaskContext.get().partitionId() << 36
         for batch in batches(rows):
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in range(9)]
             for page, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 found = blocks(source or "")
                 names = [p.rpartition("/")[2] for p, _, _ in found]
                 host = host_of(url)
                 keep = [k for k, (_, r, _) in enumerate(found) if r != "n"]
+                seen: set[tuple[str, str]] = set()
+                firsts = [(key := (found[k][0], found[k][2])) not in seen and not seen.add(key) for k in keep]
                 values = (
-                    row, page, url, host, [found[k][2] for k in keep], "".join(found[k][1] or "u" for k in keep),
+                    row, page, url, zlib.compress("\n".join(found[k][2] for k in keep).encode(), 1), "".join(found[k][1] or "u" for k in keep),
                     [_hash(f"{host} {found[k][0]}") for k in keep],
                     [_hash(" ".join(names[max(0, k - 1) : k + 2])) for k in keep],
-                    [_hash(found[k][2]) for k in keep], any(r == "c" for _, r, _ in found),
+                    [_hash(found[k][2]) for k in keep], firsts,
                 )
                 row += 1
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             longs = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), longs, longs, longs, pa.bool_())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), longs, longs, longs, pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in PARSED.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, PARSED)
 
 
-def importance(tree: DataFrame) -> DataFrame:
-    """node, importance: of every style node of every host, the larger of presentation's and content's normalised entropy."""
-    each = tree.select(F.explode(F.arrays_zip("nodes", "looks", "says")).alias("b")).select(F.col("b.nodes").alias("node"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.looks").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("b.says").alias("value")))).alias("f"))
-    counts = each.groupBy("node", "f.kind", "f.value").agg(F.count("*").alias("c"))
+def importance(spark: SparkSession, tree: DataFrame, below: float, scope: str = "op") -> DataFrame:
+    """node, says, n, importance: contents of less importance than ``below``. A node's is the larger of presentation's and
+    content's normalised entropy; n counts its contents."""
+    each = tree.select(F.explode(F.arrays_zip("nodes", "looks", "says", "firsts")).alias("b")).select(F.col("b.nodes").alias("node"), F.col("b.firsts").cast("int").alias("first"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("b.looks").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("b.says").alias("value")))).alias("f"))
+    counts = store(spark, each.groupBy("node", "f.kind", "f.value").agg(F.count("*").alias("c"), F.sum("first").alias("pages")), "counts", scope)
     sums = counts.groupBy("node", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
-    return sums.groupBy("node").agg(F.max(entropy).alias("importance"))
+    nodes = sums.groupBy("node").agg(F.max("n").alias("n"), F.max(entropy).alias("importance"))
+    own = F.when(F.col("n") > 1, 1 - F.log("pages") / F.log("n")).otherwise(1.0)
+    # A content on one page has importance 1 of its own: it is low by its node only.
+    said = counts.where("kind = 1").join(nodes.where("n > 1"), "node")
+    return said.select("node", F.col("value").alias("says"), "n", F.least("importance", own).alias("importance")).where(F.col("importance") < below)
 
 
 def extract(spark: SparkSession, pages: DataFrame, threshold: float = 0.4, scope: str = "op") -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     tree = store(spark, parsed(pages), "tree", scope)
-    weights = store(spark, importance(tree), "importance", scope)
-    ask = tree.where(~F.col("named") & (F.size("nodes") > 0)).select("row", F.posexplode("nodes").alias("k", "node"))
-    drop = ask.join(weights.where(F.col("importance") < threshold), "node").groupBy("row").agg(F.collect_set("k").alias("drop"))
-    # Only pages that asked are joined: the others' texts aren't shuffled.
-    none = F.array().cast("array<int>")
-    asked = ~F.col("named") & (F.size("nodes") > 0)
-    judged = tree.where(asked).join(drop, "row", "left").withColumn("drop", F.coalesce("drop", none))
-    every = judged.unionByName(tree.where(~asked).withColumn("drop", none))
-    kept = F.filter("texts", lambda t, i: F.when(F.col("named"), F.substring("roles", i + 1, F.lit(1)) == "c").otherwise(~F.array_contains("drop", i)))
-    text = F.array_join(kept, "\n")
-    return every.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    low = store(spark, importance(spark, tree, threshold, scope), "importance", scope)
+    ask = tree.select("row", "roles", F.posexplode(F.arrays_zip("nodes", "says")).alias("k", "b")).select("row", "k", F.col("b.nodes").alias("node"), F.col("b.says").alias("says"), (F.substring("roles", F.col("k") + 1, F.lit(1)) == "c").alias("stated"))
+    weighed = F.when(F.col("stated"), (PRIOR + F.col("n") * F.col("importance")) / (PRIOR + F.col("n"))).otherwise(F.col("importance"))
+    drop = ask.join(low, ["node", "says"]).where(weighed < threshold).groupBy("row").agg(F.collect_set("k").alias("drop"))
+    judged = tree.select("row", "page_id", "url", "texts").join(drop, "row", "left")
+
+    def kept(rows):
+        for batch in batches(rows):
+            texts = []
+            for packed, out in zip(batch.column("texts").to_pylist(), batch.column("drop").to_pylist(), strict=True):
+                text = zlib.decompress(packed).decode()
+                if out:
+                    gone = set(out)
+                    text = "\n".join(t for k, t in enumerate(text.split("\n")) if k not in gone)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return judged.select("page_id", "url", "texts", "drop").mapInArrow(kept, "page_id long, url string, text string, n_chars long")

@@ -48,6 +48,19 @@ def test_style_tree_drops_what_repeats(spark):
     assert (got[100].text, got[100].n_chars, got[101].text, got[102].text) == ("", 0, "", "only page")
 
 
+def test_importance_decides_named_pages_too(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    said = [(word(), word()) for _ in range(40)]
+    rows = [(i, f"http://a.example/{i}", f"<article><p>{said[i][0]}<p>{said[i][1]}<p>Read our terms<div class=legal>All rights</div></article>") for i in range(40)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<div class=text><p>{said[i][0]}</div><div class=post>{said[i][1]}</div><div class=low>All rights</div>") for i in range(40)]
+    rows += [(200 + i, f"http://c{i}.example/", "<article><p>the same on two pages</article>") for i in range(2)] + [(202 + i, "http://d.example/", "<article><p>the same on two pages</article>") for i in range(2)]
+    rows += [(300, "http://a.example/300", "<article>" + "<p>a refrain" * 30 + "</article>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == got[100 + i] == "\n".join(said[i]) for i in range(40))
+    assert {got[i] for i in range(200, 204)} == {"the same on two pages"} and got[300].count("a refrain") == 30
+
+
 # URLs
 
 
