@@ -49,7 +49,7 @@ def summary_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nav_list(spark: SparkSession, d: str) -> DataFrame:
-    got = ranking.nav_list(ranking.scored(bind.with_evidence(bind.findings(spark, d))).where("file <= 5"), ["id"])
+    got = ranking.nav_list(ranking.scored(bind.with_evidence(bind.findings(spark, d))), ["id"])
     return _long(got, "severity_level", "detail")
 
 
