@@ -22,10 +22,10 @@ select l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l
 from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey
 """
 
-#: Hunks of a file (supplier): the order-date days of every seventh order, three days long.
+#: Hunks of a file (supplier): the order-date days of its orders, three days long.
 HUNKS = """
 select distinct l_suppkey as file, {odays} as r_start, {odays} + 2 as r_end
-from {lineitem} join {orders} on l_orderkey = o_orderkey where o_orderkey % 7 = 0
+from {lineitem} join {orders} on l_orderkey = o_orderkey
 """
 
 #: Symbols of a file: windows of 90 days, and of 30 within every other of them.
