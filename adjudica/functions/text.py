@@ -92,6 +92,41 @@ def is_benign(text: Column) -> Column:
     return low.rlike("|".join(f"(?:{p})" for p in map(ascii_edges, vocab.BENIGN)))
 
 
+def type_assertion(code: Column) -> Column:
+    """Struct of the first ``x as T``: is_assertion, source, type, sink (the first dangerous one, or null), guarded, risk_level."""
+    hit = lambda k: F.regexp_extract(code, vocab.TYPE_ASSERTION, k)
+    found = code.rlike(vocab.TYPE_ASSERTION)
+    sink = F.when(found, F.coalesce(*[F.when(code.rlike(p), F.lit(n)) for n, p in vocab.DANGEROUS_SINKS.items()]))
+    named = [F.when(found, hit(k)).alias(n) for k, n in ((1, "source"), (2, "type"))]
+    guarded = found & code.rlike("|".join(vocab.GUARDS))
+    return F.struct(found.alias("is_assertion"), *named, sink.alias("sink"), guarded.alias("guarded"), F.when(sink.isNotNull(), "high").otherwise("safe").alias("risk_level"))
+
+
+def is_safe_subprocess(code: Column) -> Column:
+    """A subprocess call without a shell, whose list has no variable after the program unless arguments are validated."""
+    shell, valid = code.rlike(vocab.SHELL_TRUE), code.rlike("|".join(vocab.ARGUMENT_VALIDATION))
+    listed = F.regexp_extract(code, vocab.SUBPROCESS_LIST, 1)
+    quoted = lambda x: (x.startswith('"') & x.endswith('"')) | (x.startswith("'") & x.endswith("'"))
+    args = F.transform(F.split(listed, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    dynamic = F.exists(F.slice(args, 2, F.greatest(F.size(args), F.lit(1))), lambda x: (x != "") & ~quoted(x))
+    injected = shell & code.rlike(vocab.INTERPOLATION) & ~valid
+    return code.rlike(vocab.SUBPROCESS_CALL) & ~injected & F.when(listed != "", ~dynamic | valid).otherwise(~shell)
+
+
+def is_safe_idiom(code: Column) -> Column:
+    """Intentional throws, bounded loops, type assertions without a dangerous sink, safe subprocess calls."""
+    cast = type_assertion(code)
+    assertion = F.contains(code, F.lit(" as ")) & cast["is_assertion"] & cast["sink"].isNull()
+    return code.rlike("|".join(vocab.SAFE_IDIOMS)) | assertion | (F.contains(code, F.lit("subprocess.")) & is_safe_subprocess(code))
+
+
+def has_safe_snippet(text: Column) -> Column:
+    """Whether an inline or fenced code snippet of the text is a safe idiom."""
+    inline, fenced = (F.regexp_extract_all(text, F.lit(vocab.SNIPPET), F.lit(k)) for k in (1, 2))
+    both = F.transform(F.concat(inline, fenced), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.coalesce(F.exists(both, lambda x: (x != "") & is_safe_idiom(x)), F.lit(False))
+
+
 # Paths. Forward slashes; '..' isn't resolved.
 
 

@@ -46,6 +46,24 @@ TITLE_SYNONYMS = (
     (r"path\s*traversal|directory\s*traversal", "path traversal"),
 )
 
+SNIPPET = r"`([^`]+)`|```[\w]*\n([\s\S]*?)\n```"
+SAFE_IDIOMS = (
+    r"\bthrow\s+new\s+[A-Za-z0-9_]*(Error|Exception|NotFound|BadRequest|Unauthorized|Forbidden)\s*\(",
+    r"\braise\s+[A-Za-z0-9_]*(Error|Exception|NotFound|ValueError|KeyError)\s*\(",
+    r"\bfor\s*\(\s*(?:let|const|var)\s+[a-zA-Z0-9_]+\s*=\s*\d+;\s*[a-zA-Z0-9_]+\s*<\s*(?:[a-zA-Z0-9_.]+|\d+);\s*[a-zA-Z0-9_]+\+\+\s*\)",
+    r"\bfor\s+[a-zA-Z0-9_]+\s+in\s+range\s*\(\s*(?:\d+|len\([a-zA-Z0-9_]+\))\s*\)\s*:",
+)
+TYPE_ASSERTION = r"\b([a-zA-Z0-9_.\[\]()]+)\s+as\s+([A-Za-z0-9_<>\[\]]+)"
+DANGEROUS_SINKS = {
+    "eval": r"(?i)\beval\s*\(", "innerHTML": r"(?i)\b(innerHTML|outerHTML)\s*=", "dangerouslySetInnerHTML": "(?i)dangerouslySetInnerHTML", "document.write": r"(?i)document\.write\s*\(",
+    "child_process.exec": r"(?i)\b(exec|execSync)\s*\(", "Function constructor": r"(?i)\bnew\s+Function\s*\(",
+}
+GUARDS = (r"if\s*\(\s*!\s*([a-zA-Z0-9_.]+)\s*\)", r"if\s*\(\s*([a-zA-Z0-9_.]+)\s*===\s*(null|undefined)\s*\)", r"if\s*\(\s*typeof\s+([a-zA-Z0-9_.]+)", r"\.safeParse\s*\(", r"\.parse\s*\(", r"\?\?", r"\?\.", r"assert\s*\(")
+SHELL_TRUE = r"(?i)\bshell\s*=\s*True\b"
+SUBPROCESS_CALL = r"\bsubprocess\.(run|Popen|call|check_output|check_call)\s*\("
+SUBPROCESS_LIST = r"\bsubprocess\.(?:run|Popen|call)\s*\(\s*\[([^\]]+)\]"
+INTERPOLATION = r"f['\"][^'\"]*\{|format\(|%|\+"
+ARGUMENT_VALIDATION = (r"re\.(match|search|fullmatch)\s*\(", r"if\s+([a-zA-Z0-9_]+)\s+not\s+in\s+", r"if\s+not\s+([a-zA-Z0-9_]+)\.isalnum\(\)", r"shlex\.quote\s*\(", "(?i:whitelist|allowlist)")
 BENIGN = (
     r"\b(unsafe|unvalidated|unchecked|loose)\s+(type\s+)?(assertion|cast)\b",
     r"\btype\s+assertion\s+(is\s+)?(unsafe|unvalidated|unchecked)\b",

@@ -234,3 +234,17 @@ def test_streams(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("held").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select suppressed from held").first().suppressed == 2
+
+
+def test_floor_drops_findings_on_safe_idioms(spark):
+    said = {
+        "see `throw new NotFoundError('x')`": True, "see `raise ValueError('x')`": True, "see\n```ts\nfor (let i = 0; i < xs.length; i++) {}\n```": True, "see ```py\nfor i in range(len(xs)):\n  pass\n```": True,
+        "see `body as User`": True, "see `el.innerHTML = body as string`": False, "see `subprocess.run(['ls', '-l'])`": True, "see `subprocess.run(['ls', path])`": False, "see `subprocess.run(['ls', shlex.quote(path)])`": True,
+        "see `subprocess.run(cmd, shell=True)`": False, "see `subprocess.check_output(cmd)`": True, "raise ValueError( without marks": False, "see `x = 1` and `y as T`": True, "see `while (true) {}`": False, "": False,
+    }
+    df = spark.createDataFrame([(m, "plain title", "replace it by a bound parameter", 0.9, 1, "src/a.py", True, True) for m in said], "message string, title string, suggested_fix string, confidence double, n_evidence int, path string, in_diff boolean, grounded boolean")
+    assert {r.message: r.dropped_by == "benign" for r in gate.floor(df).collect()} == said
+    claimed = df.where("message = ''").withColumn("claim", F.lit("it says `a as B`"))
+    assert gate.floor(claimed).first().dropped_by == "benign"
+    got = spark.range(1).select(text.type_assertion(F.lit("if (!x) eval(x.y as Foo<T>)")).alias("t")).first().t
+    assert (got.type, got.sink, got.guarded, got.risk_level) == ("Foo<T>", "eval", True, "high")
