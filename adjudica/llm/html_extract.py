@@ -10,7 +10,8 @@ A block's importance is the lesser of its node's and of its own text's: 1 - log
 contents of its node, so that a sentence repeated in many articles counts as little as a repeated element.
 
 Importance decides every block that no name states to be noise: those of least importance (``threshold``) are left out.
-Names are a prior. Articles and main elements count like ``PRIOR`` further contents of importance 1, which few pages
+Names are a prior, the innermost that states a role: an article in a sidebar is content, an advert in an article noise, and
+what states both is left to the tree. Articles and main elements count like ``PRIOR`` further contents of importance 1, which few pages
 can't outweigh. Navigation, headers, footers, sidebars, adverts, forms and comments are left out: they differ from page to
 page too, so that entropy can't speak for them.
 
@@ -68,25 +69,29 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _role(name: str, attributes: str, inside: bool) -> str:
-    """'n' noise, 'c' content or '' for an element; headers and footers of an article are its own."""
-    if name in CONTENT_NAMES:
-        return "c"
-    if name in NOISE_NAMES and not (inside and name == "header"):
-        return "n"
+def _role(name: str, attributes: str, outer: str) -> str:
+    """'n' noise, 'c' content, 'h' hidden or '' for an element, which then has the role around it; headers and footers of an
+    article are its own. A word counts where it is a class or id by itself, or all words of a compound are noise; a compound
+    ends in what it is (main-content), but with both kinds of words (entry-header, has-sidebar) it states nothing."""
+    noise = content = False
     if attributes and name not in ("html", "body"):
-        words: set[str] = set()
         for m in _ATTRIBUTE.finditer(attributes):
             if m[1].lower() == "hidden":
                 if m[0].strip().lower() == "hidden":
-                    return "n"
+                    return "h"
                 continue
-            words.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-        if words & NOISE_WORDS:
-            return "n"
-        if words & CONTENT_WORDS and not inside:
-            return "c"
-    return ""
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                words = _WORDS.findall(token)
+                bad = sum(w in NOISE_WORDS for w in words)
+                noise |= 0 < bad == len(words)
+                content |= not bad and bool(words) and words[-1] in CONTENT_WORDS
+    if name in CONTENT_NAMES:
+        return "n" if noise and not content else "c"
+    if name in NOISE_NAMES and not (outer == "c" and name == "header"):
+        return "n"
+    if noise:
+        return "u" if content else "n"
+    return "c" if content and outer != "c" else ""
 
 
 def blocks(source: str) -> list[tuple[str, str, str]]:
@@ -101,7 +106,7 @@ def blocks(source: str) -> list[tuple[str, str, str]]:
             text = _SPACE.sub(" ", _html.unescape("".join(words))).strip()
             words.clear()
             if text:
-                out.append((stack[-1][1], stack[-1][2], text))
+                out.append((stack[-1][1], "n" if stack[-1][2] == "h" else stack[-1][2].replace("u", ""), text))
 
     def close(name: str, stop: frozenset[str] | set[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -147,7 +152,7 @@ def blocks(source: str) -> list[tuple[str, str, str]]:
         if name in VOID or m[3].endswith("/"):
             continue
         _, path, role = stack[-1]
-        own = "" if role == "n" else _role(name, m[3], role == "c")
+        own = "" if role == "h" else _role(name, m[3], role)
         style = ""
         if m[3] and "class" in m[3]:
             found = _ATTRIBUTE.search(m[3])

@@ -61,6 +61,16 @@ def test_importance_decides_named_pages_too(spark):
     assert {got[i] for i in range(200, 204)} == {"the same on two pages"} and got[300].count("a refrain") == 30
 
 
+def test_innermost_role_and_compound_words():
+    assert text_of("<div class='content has-sidebar'><article><p>a</article></div>") == "a"
+    assert text_of("<div class='post comments-open'><div class='entry-header'><h1>t</h1></div><p>a</div>") == "t\na"
+    assert text_of("<div class=sidebar><article><p>a</article><p>x</div><form><main>b</main>c</form>") == "a\nb"
+    assert text_of("<div class='ad'>x<div class='story'>a</div></div><article class='comment'>x</article><div class='cookie-banner'>x</div>") == "a"
+    assert text_of("<article>a<div hidden>x<div class=content>y</div></div><div class='post nav'>z</div></article>") == "a"
+    roles = [(r, t) for _, r, t in html_extract.blocks("<div class='post widget'>a</div><div class='post-meta'>b</div><div class='nav-menu'>c</div>")]
+    assert roles == [("", "a"), ("", "b"), ("n", "c")]
+
+
 # URLs
 
 
