@@ -207,6 +207,10 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
+#: Nats a character above the held-out texts' cross-entropy: half the way to the texts of a left-out language, within these.
+MIN_SLACK, SLACK = 0.02, 1.5
+
+
 def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Model:
     """rows: (a number, text, language). A fifth of them, by that number, calibrates; the rest is counted."""
     langs = sorted({r[2] for r in rows})
@@ -281,7 +285,13 @@ def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Model:
     if use.any():
         losses = [(-np.log(np.maximum(model.posterior(logp[use], s)[np.arange(use.sum()), truth[use]], 1e-9)).mean(), s) for s in (1, 2, 4, 8, 16)]
         model.sharpness = float(min(losses)[1])
-        model.limit = float(np.quantile(-logp[use].max(1), 0.999) + 1.5)
+        known = float(np.quantile(-logp[use].max(1), 0.999))
+        slack = SLACK
+        if len(langs) > 1:  # what the texts of each language cost the models of all others, as an unlearned language's would
+            others = logp[use].copy()
+            others[np.arange(use.sum()), truth[use]] = -np.inf
+            slack = min(max((float(np.quantile(-others.max(1), 0.01)) - known) / 2, MIN_SLACK), SLACK)
+        model.limit = known + slack
     return model
 
 
@@ -296,7 +306,7 @@ def sampled(docs: DataFrame, allowed: F.Column, sample_rows: int, sample_chars:
     shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["n"]))]
     share = F.element_at(F.create_map(*shares), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003))
-    got = known.where((place < share * 1_000_003) & (F.length("text") <= sample_chars)).select(place.alias("place"), "text", "lang")
+    got = known.where(place < share * 1_000_003).select(place.alias("place"), F.substring("text", 1, sample_chars).alias("text"), "lang")
     return sorted((r["place"], r["text"], r["lang"]) for r in got.collect())
 
 

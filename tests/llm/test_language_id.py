@@ -50,3 +50,23 @@ def test_pieces_do_not_change_much(monkeypatch):
     whole = m.judge(["the people of the world " * 50])[2][0]
     monkeypatch.setattr(L, "PIECE", 100)
     assert abs(m.judge(["the people of the world " * 50])[2][0] - whole) < 0.15
+
+
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").select("doc_id", F.substring("text", 1, 1500).alias("text"), "lang").collect()
+    by = {}
+    for r in sorted(docs):
+        by.setdefault(r.lang, []).append(r.text)
+    for out in by:
+        rows = [(i, t, x) for x in by if x != out for i, t in enumerate(by[x][: len(by[x]) * 3 // 4])]
+        m = L.fit(rows)
+        assert m.judge(by[out][:60])[3].mean() > 0.9, (out, m.limit)
+        for x in by:
+            if x != out:
+                assert not m.judge(by[x][len(by[x]) * 3 // 4 :])[3].any(), (out, x, m.limit)
+
+
+def test_long_texts_are_learned_from_in_part(spark):
+    docs = spark.createDataFrame([(i, "abc " * 1000, "xx") for i in range(20)], "doc_id long, text string, lang string")
+    got = L.sampled(docs, F.lit(True), 400, 100)
+    assert len(got) == 20 and {len(t) for _, t, _ in got} == {100}
