@@ -1,20 +1,24 @@
 """Operator 7, line dedup by a segment-partition edit join. DataFrame functions only.
 
-Lines of ``least`` characters or more whose edit distance is ``edits`` or less are linked; shorter lines are equal or
-not. Equal lines are one text, so the join runs over distinct texts. A text of length L is cut into edits + 1 even
-segments; each is indexed under (L, segment's number, segment). If two texts are within the distance, one segment of
-the shorter stands unchanged in the longer, at a place that the number of edits before and after it limits. A text thus
-probes, for each length L from its own down to its own less edits, the few substrings that the multi-match-aware rule
-leaves.
-
-Index keys of more than ``crowded`` texts (many variants of one line) aren't joined blindly: their rows carry the text,
-and the distance is tested inside the join, so only links leave it. A signature of character counts spares most tests. Other candidates are verified by a banded
-bit-parallel edit distance, written as a fold over the characters between the pair's common prefix and suffix.
+Two lines are linked if their edit distance is at most one for each ``per`` characters of the shorter, and ``edits`` at
+most: with 10 and 2, lines of 20 characters and more may differ by two edits, of 10 to 19 by one, shorter ones by none.
+Equal lines are one text, so the join runs over distinct texts. A text of length L is cut into edits + 1 even segments;
+each is indexed under (L, segment's number, segment). If two texts are within the distance, one segment of the shorter
+stands unchanged in the longer, at a place that the number of edits before and after it limits. A text thus probes, for
+each length L from its own down to its own less edits, the few substrings that the multi-match-aware rule leaves.
+
+One pass finds the keys that two texts share; rows of all others go no further. Index keys of more than ``crowded`` texts
+(many variants of one line) aren't joined blindly: their rows carry the text,
+and the distance is tested inside the join, so only links leave it. A signature of character counts spares most tests.
+All candidates are verified by a banded bit-parallel edit distance, written as a fold over the characters between the
+pair's common prefix and suffix.
 
 Links make classes (min-label propagation). In each class the first line by (doc_id, place) is kept.
 
 Defined results: null and empty texts hold one empty line, whose class is all empty lines; empty lines are always kept.
-Lines of a null doc_id sort first. Repeated rows are lines of their own. An empty table gives no rows.
+Lines of a null doc_id sort first. Repeated rows are lines of their own; ties of doc_id go by row number, then place. Extra
+columns aren't read. A line of any length is one text; only pairs that share a segment are held together. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,34 +33,40 @@ from .near_dedup import components
 _STEPS = [1 << k for k in range(20, -1, -1)]
 
 
-def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a text of this length: even, longer ones last."""
+def _key(text: Column, length: Column, edits: int, i: Column, shift: Column) -> Column:
+    """The key of segment i (from 0) of texts of this length, read from the text with its start shifted. Segments are even,
+    longer ones last."""
     n = edits + 1
-    short = F.floor(length / n).cast("int")
-    longer = length % n  # so many of the last segments are one longer
-    before = F.greatest(F.lit(0), F.lit(i) - (n - longer))
-    return (short * i + before + 1).cast("int"), (short + F.when(F.lit(i) >= n - longer, 1).otherwise(0)).cast("int")
+    short = (length / n).cast("int")
+    over = F.greatest(F.lit(0), i - (n - length % n))  # so many longer segments are before this one
+    size = short + F.when(i >= n - length % n, 1).otherwise(0)
+    return F.xxhash64(length, i, F.substring(text, (short * i + over + shift + 1).cast("int"), size.cast("int")))
+
+
+def _rows(table: list[tuple[int, ...]], *names: str) -> Column:
+    return F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in table]))
 
 
-def index_keys(text: Column, length: Column, edits: int) -> Column:
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(length, edits, i)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(text, start, size)))
-    return F.array(*keys)
+def index_keys(texts: DataFrame, edits: int) -> DataFrame:
+    """id and key: a row for each segment of texts (id, line, len). Rows of a small table are exploded first, so that one
+    short expression makes all keys."""
+    rows = texts.select("id", "line", "len", _rows([(i,) for i in range(edits + 1)], "i").alias("p"))
+    return rows.select("id", _key(F.col("line"), F.col("len"), edits, F.col("p.i"), F.lit(0)).alias("key"))
 
 
-def probe_keys(text: Column, length: Column, edits: int) -> Column:
-    """struct<key, less>: less is whether the probed texts are shorter."""
-    keys = []
+def probe_keys(texts: DataFrame, edits: int) -> DataFrame:
+    """id, key and less: the keys under which a text asks for texts that are shorter (less) or as long as itself, but for its
+    own segments, whose rows the index has already."""
+    table = []
     for less in range(edits + 1):
-        other = length - less
         for i in range(edits + 1):
-            start, size = _segment(other, edits, i)
             after = edits - i
             for shift in range(max(-i, less - after), min(i, less + after) + 1):
-                keys.append(F.struct(F.xxhash64(other, F.lit(i), F.substring(text, start + shift, size)).alias("key"), F.lit(less > 0).alias("less")))
-    return F.array(*keys)
+                if less or shift:
+                    table.append((less, i, shift))
+    rows = texts.select("id", "line", "len", _rows(table, "less", "i", "shift").alias("p"))
+    less = F.col("p.less")
+    return rows.select("id", _key(F.col("line"), F.col("len") - less, edits, F.col("p.i"), F.col("p.shift")).alias("key"), (less > 0).alias("less"))
 
 
 #: Characters that a line's signature counts, and the bits of each count.
@@ -152,51 +162,67 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", F.posexplode("_lines").alias("place", "line"))
 
 
-def links(spark: SparkSession, texts: DataFrame, edits: int = 2, least: int = 20, crowded: int = 16, scope: str = "op") -> DataFrame:
-    """Pairs (a, b) of ids of texts (id, line, all different) within the distance, each once."""
-    length = F.length("line")
-    long = texts.where(length >= max(least, edits + 1)).select("id", "line", length.alias("len"), signature(F.col("line")).alias("sig"))
-    index = long.select("id", "sig", F.explode(index_keys(F.col("line"), F.col("len"), edits)).alias("key"))
-    probe = long.select("id", "sig", F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("p")).select("id", "sig", "p.key", "p.less")
-    hot = store(spark, index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "hot", scope)
-    cold = index.join(hot, "key", "left_anti").select("key", F.col("id").alias("a"), F.col("sig").alias("sa")).hint("shuffle_hash")
-    asked = probe.select("key", F.col("id").alias("b"), F.col("sig").alias("sb"), "less")
-    right = (F.col("a") != F.col("b")) & (F.col("less") | (F.col("a") < F.col("b"))) & may_be_near(F.col("sa"), F.col("sb"), edits)
-    pairs = store(spark, cold.join(asked, (cold["key"] == asked["key"]) & right).select("a", "b").distinct(), "pairs", scope)
-
-    # Hot keys: texts are attached to their rows, and the join's own condition is the distance.
-    named = index.join(hot, "key", "left_semi").select("id").union(probe.join(hot, "key", "left_semi").select("id")).union(pairs.select(F.col("a").alias("id"))).union(pairs.select("b")).distinct()
-    known = store(spark, texts.select("id", "line").join(named, "id", "left_semi"), "named", scope)
-    again = known.where(F.length("line") >= max(least, edits + 1)).select("id", "line", length.alias("len"), signature(F.col("line")).alias("sig"))
-    some = again.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("sig").alias("sa"), F.explode(index_keys(F.col("line"), F.col("len"), edits)).alias("key")).join(hot, "key", "left_semi")
-    ask = again.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("sig").alias("sb"), F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("p")).select("b", "lb", "sb", "p.key", "p.less").join(hot, "key", "left_semi")
-    near = right & (F.levenshtein("la", "lb", edits) >= 0)
-    crowd = some.join(ask, (some["key"] == ask["key"]) & near).select("a", "b").distinct()
-
-    one = known.select(F.col("id").alias("a"), F.col("line").alias("la"))
-    two = known.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    checked = pairs.union(crowd).distinct().join(one, "a").join(two, "b").where(distance(F.col("la"), F.col("lb"), edits) <= edits)
-    return checked.select("a", "b")
-
-
-def near_lines(spark: SparkSession, docs: DataFrame, edits: int = 2, least: int = 20, crowded: int = 16, scope: str = "op") -> DataFrame:
+def allowed(length: Column, edits: int, per: int) -> Column:
+    """Edits by which a pair may differ whose shorter text has this length: one for each ``per`` characters, ``edits`` at most."""
+    return F.least(F.lit(edits), F.floor(length / per)).cast("int")
+
+
+def long_enough(texts: DataFrame, edits: int, per: int) -> DataFrame:
+    """id, line and len of the texts (id, line) that are long enough for an edit."""
+    return texts.where(F.length("line") >= max(per, edits + 1)).select("id", "line", F.length("line").alias("len"))
+
+
+def links(spark: SparkSession, long: DataFrame, edits: int = 2, per: int = 10, crowded: int = 16, scope: str = "op") -> DataFrame:
+    """Pairs (a, b) of ids of texts (long_enough(), all different) within the distance that their length allows, each once."""
+    index = index_keys(long, edits)
+    counts = index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    # Rows whose key meets another text: of the index where several texts have the key, of the probes where any has.
+    own = index.join(counts.where("n > 1"), "key").select("key", "id", "n", "low", F.lit(False).alias("less"), F.lit(True).alias("own"))
+    ask = probe_keys(long, edits).join(counts, "key").select("key", "id", "n", "low", "less", F.lit(False).alias("own"))
+    met = store(spark, own.unionAll(ask), "met", scope)
+    held = met.where("own").select("key", "id", "n").unionAll(met.where("n = 1").select("key", F.col("low").alias("id"), "n").distinct())
+    named = met.select("id").unionAll(held.select("id")).distinct()
+    some = store(spark, long.join(named, "id", "left_semi").select("id", "line", signature(F.col("line")).alias("sig")), "named", scope)
+
+    def sides(few: bool) -> tuple[DataFrame, DataFrame]:
+        at = F.col("n") <= crowded if few else F.col("n") > crowded
+        with_text = lambda df, x: df.where(at).join(some, "id").withColumnsRenamed({"id": x, "sig": f"s{x}", "line": f"l{x}"}).drop("n")
+        x, y = with_text(held, "a"), with_text(met.select("key", "id", "n", "less"), "b").withColumnRenamed("key", "_key")
+        return (x.drop("la"), y.drop("lb")) if few else (x, y)
+
+    right = (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & (F.col("less") | (F.col("a") < F.col("b"))) & may_be_near(F.col("sa"), F.col("sb"), edits)
+    (x, y), (hx, hy) = sides(True), sides(False)
+    cold = x.join(y, right).select("a", "b")
+    # Hot keys: rows carry their texts, and the join's own condition is the distance.
+    hot = hx.join(hy, right & (F.levenshtein("la", "lb", edits) >= 0)).select("a", "b")
+    pairs = store(spark, cold.unionAll(hot).distinct(), "pairs", scope)
+
+    one = some.select(F.col("id").alias("a"), F.col("line").alias("la"))
+    two = some.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+    most = allowed(F.least(F.length("la"), F.length("lb")), edits, per)
+    return pairs.join(one, "a").join(two, "b").where(distance(F.col("la"), F.col("lb"), edits) <= most).select("a", "b")
+
+
+def near_lines(spark: SparkSession, docs: DataFrame, edits: int = 2, per: int = 10, crowded: int = 16, scope: str = "op") -> DataFrame:
     """row, doc_id, place, class_id (hex digest of a text of the class), n_links (other texts within the distance), kept."""
     all_lines = lines(docs.select("doc_id", "text"))
     texts = all_lines.groupBy("line").agg(F.count("*").alias("n"))
-    texts = store(spark, texts.select(F.monotonically_increasing_id().alias("id"), F.md5("line").alias("digest"), "line"), "texts", scope)
-    found = links(spark, texts.select("id", "line"), edits, least, crowded, scope)
+    texts = store(spark, texts.select(F.monotonically_increasing_id().alias("id"), F.md5("line").alias("digest"), "n", "line"), "texts", scope)
+    found = links(spark, long_enough(texts.select("id", "line"), edits, per), edits, per, crowded, scope)
     digest = texts.select("id", "digest")
     found = found.join(digest.select(F.col("id").alias("a"), F.col("digest").alias("da")), "a").join(digest.select(F.col("id").alias("b"), F.col("digest").alias("db")), "b")
     found = store(spark, found.select(F.col("da").alias("a"), F.col("db").alias("b")), "links", scope)
     label = components(spark, found, scope).select(F.col("id").alias("digest"), F.col("label").alias("class_id"))
     degree = found.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
-    classes = store(spark, label.join(degree, "digest"), "classes", scope)
-    placed = all_lines.select("row", "doc_id", "place", F.md5("line").alias("digest"), (F.length("line") == 0).alias("_void"))
-    placed = placed.join(classes, "digest", "left").select("row", "doc_id", "place", F.coalesce("class_id", "digest").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "_void")
-    placed = store(spark, placed, "placed", scope)
-    first = placed.groupBy("class_id").agg(F.min(F.struct("doc_id", "row", "place")).alias("_first"))
-    at = F.struct("doc_id", "row", "place")
-    return placed.join(first, "class_id").select("row", "doc_id", "place", "class_id", "n_links", (F.col("_void") | at.eqNullSafe(F.col("_first"))).alias("kept"))
+    # Only lines that are repeated or linked can have a line before them in their class; empty ones are always kept.
+    shared = label.join(degree, "digest").unionByName(texts.where("n > 1 and line <> ''").join(label, "digest", "left_anti").select("digest", F.col("digest").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    placed = all_lines.select("row", "doc_id", "place", F.md5("line").alias("digest")).join(shared, "digest", "left")
+    placed = store(spark, placed.select("row", "doc_id", "place", "digest", "class_id", "n_links"), "placed", scope)
+    several = placed.where("class_id is not null")
+    first = several.groupBy("class_id").agg(F.min(F.struct("doc_id", "row", "place")).alias("f")).select("f.row", "f.place", F.lit(True).alias("_first"))
+    kept = several.join(first, ["row", "place"], "left").select("row", "doc_id", "place", "class_id", "n_links", F.coalesce("_first", F.lit(False)).alias("kept"))
+    alone = placed.where("class_id is null").select("row", "doc_id", "place", F.col("digest").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return alone.unionByName(kept)
 
 
 def digest(near: DataFrame) -> DataFrame:
