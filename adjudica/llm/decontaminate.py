@@ -83,7 +83,7 @@ def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def index(docs: DataFrame, vocabulary, anchors, reach: int) -> DataFrame:
-    """row, doc_id, n_words, terms, places: the document's postings that can belong to a match."""
+    """row, doc_id, text_hash, n_words, terms, places: the document's postings that can belong to a match."""
 
     def run(rows):
         known, chosen = (vocabulary.value, anchors.value) if vocabulary else (None, None)
@@ -95,6 +95,7 @@ def index(docs: DataFrame, vocabulary, anchors, reach: int) -> DataFrame:
             number = numbers.get
         for batch in batches(rows):
             ids, ns, terms, places, ends = [], [], [], [], [0]
+            kept = [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash")]
             for text in utf8(batch.column("text")):
                 found = words(text)
                 if known is None:
@@ -119,11 +120,11 @@ def index(docs: DataFrame, vocabulary, anchors, reach: int) -> DataFrame:
                 ends.append(ends[-1] + len(at))
             offsets = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(terms).astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).astype(np.int32)))],
-                names=["row", "doc_id", "n_words", "terms", "places"],
+                [pa.array(ids, pa.int64()), *kept, pa.array(ns, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(terms).astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).astype(np.int32)))],
+                names=["row", "doc_id", "text_hash", "n_words", "terms", "places"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, terms array<long>, places array<int>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, terms array<long>, places array<int>")
 
 
 def _vocabulary(benchmark: DataFrame, bound: int) -> dict[bytes, int] | None:
@@ -139,7 +140,7 @@ def _vocabulary(benchmark: DataFrame, bound: int) -> dict[bytes, int] | None:
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int, vocabulary_bound: int, near_terms: int | None, scope: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The stored documents (row, doc_id, n_words), the stored windows, and the matches (row, window, start, size, exact)."""
+    """The stored documents (row, doc_id, text_hash, n_words), the stored windows, and the matches (row, window, start, size, exact)."""
     item_windows = store(spark, windows(benchmark, size), "windows", scope)
     distinct = item_windows.groupBy("window").agg(F.first("terms").alias("terms"))
     known = _vocabulary(benchmark, vocabulary_bound)
@@ -164,7 +165,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
     wanted = candidates.select("row", "window", "start", "size", F.posexplode("terms").alias("offset", "term")).withColumn("place", F.col("start") + F.col("offset"))
     agreed = wanted.join(postings, ["row", "term", "place"]).groupBy("row", "window", "start", "size").agg(F.count("*").alias("agree"))
     found = agreed.where((F.col("agree") == F.col("size")) | F.lit(near_terms is not None) & (F.col("agree") >= F.lit(near_terms)))
-    return stored.select("row", "doc_id", "n_words"), item_windows.select("item_id", "window"), found.select("row", "window", "start", "size", (F.col("agree") == F.col("size")).alias("exact"))
+    return stored.select("row", "doc_id", "text_hash", "n_words"), item_windows.select("item_id", "window"), found.select("row", "window", "start", "size", (F.col("agree") == F.col("size")).alias("exact"))
 
 
 def _covered(spans: F.Column) -> F.Column:
@@ -182,7 +183,7 @@ def _covered(spans: F.Column) -> F.Column:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, vocabulary_bound: int = 1_000_000, near_terms: int | None = None, scope: str = "op") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (windows met only nearly) for each document."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated and n_near (windows met only nearly) for each document."""
     documents, items, found = matches(spark, docs, benchmark, size, vocabulary_bound, near_terms, scope)
     found = store(spark, found, "found", scope)
     exact = found.where("exact")
@@ -192,4 +193,4 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
     out = documents.join(hits.join(named, "row", "left"), "row", "left").join(near, "row", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))

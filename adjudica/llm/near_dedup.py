@@ -10,13 +10,15 @@ their most popular members (those that meet most others in all their buckets, as
 and smallest members. Links found make components by union-find as a distributed min-label propagation with pointer
 jumping. Then, in buckets that still hold several components, the members outside the largest one meet the members of
 other components. Members of the buckets with one largest component meet in blocks of ``BLOCK`` documents: a pair of
-blocks is one row, its documents that share a bucket are compared in place, and at most one link for each two components
-leaves it. Estimates only spare comparisons that are five standard errors or more below the threshold; every comparison
-that counts is made on full shingle sets.
+blocks is first a row of signatures, without texts; the documents that its estimates leave then stream by with their texts,
+and at most one link for each two components leaves it. Estimates only spare comparisons that are five standard errors or
+more below the threshold; every comparison that counts is made on full shingle sets.
 
 Defined results: null or empty text, or text without words, has an empty set, 0 shingles and its own id as component.
-Text of fewer words than a shingle has one shingle, the whole sequence. Rows of the same doc_id are one document. A
-null doc_id that heads its class gives a null component and isn't kept. An empty table gives no rows.
+Text of fewer words than a shingle has one shingle, the whole sequence. Rows are judged each by its own text, also where
+they share an id; the component's id is its smallest one that isn't null, and null if there is none. Rows with a null id
+aren't kept. Equal shares go to the larger class number. Extra columns aren't read. A very long text is hashed in pieces;
+its shingle set is held in one worker. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, batches, slices, store, utf8
+from .common import SLICE_BYTES, batch_rows, batches, slices, store, utf8
 
 BANDS, ROWS = 24, 4
 #: Registers of a signature; the first BANDS * ROWS make the bands, all serve the estimate.
 REGISTERS = 256
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 64
+#: Members of a bucket that are compared with each other at once, and their shingles, in expectation.
+BLOCK, BLOCK_SHINGLES = 64, 400_000
+#: Tiles that a worker is given at once.
+TILES = 256
+#: Parts into which the rows of one crowded bucket are dealt for a join.
+SALTS = 32
 #: Elements whose permutations are held at once.
 ELEMENTS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -161,21 +167,23 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), buckets, registers (their lowest bytes)."""
+    """doc_id, text_hash, n_shingles, set_key (null for an empty set), buckets, registers (their lowest bytes)."""
 
     def run(rows):
         for batch in batches(rows):
-            ids, texts = batch.column("doc_id"), utf8(batch.column("text"))
+            ids, hashes, texts = batch.column("doc_id"), batch.column("text_hash"), utf8(batch.column("text"))
             for a, b in slices(texts, SLICE_BYTES // 2):
                 el, end = shingle_sets(texts[a:b], words)
                 size = np.diff(end, prepend=0)
                 keys = [xxhash.xxh3_128_digest(el[e - s : e].tobytes()) if s else None for e, s in zip(end, size, strict=True)]
                 reg = superminhash(el, end)
                 buckets = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(bands(reg).reshape(-1)))
-                low = reg.astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), buckets, pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "n_shingles", "set_key", "buckets", "registers"])
+                low = [x.tobytes() for x in reg.astype(np.uint8)]
+                columns = [ids.slice(a, b - a).cast(pa.int64()), hashes.slice(a, b - a), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), buckets, pa.array(low, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_key", "buckets", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, buckets array<long>, registers binary")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, buckets array<long>, registers binary")
 
 
 def _bytes(rows: list[bytes]) -> np.ndarray:
@@ -203,19 +211,69 @@ def _agree(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def crossing(open_: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
-    """Links (a, b) between components that share a bucket of open_ (bucket, id, part, main), enough to join them."""
-    rows = open_.select("main", "id", "part").distinct()
-    count = rows.groupBy("main").agg(F.count("*").alias("n"))
-    full = rows.join(count, "main").join(classes.select("id", "buckets", "registers"), "id").join(texts, "id")
-    full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    member = F.struct("id", "part", "buckets", "registers", "text")
-    held = full.groupBy("main", "block").agg(F.collect_list(member).alias("m"))
-    minor = full.where("part <> main").groupBy("main", "block").agg(F.collect_list(member).alias("minor"))
+def tiles(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """main, one, two and, of each, ids, parts and registers: the pairs of blocks in which components are to be compared.
 
-    def tile(main: int, one: list[dict], two: list[dict], found: list[tuple[int, int]]) -> None:
-        x, y = (_bytes([k["registers"] for k in side]) for side in (one, two))
-        (ix, px, bx), (iy, py, by) = ([np.array([k[c] for k in side], np.int64) for c in ("id", "part", "buckets")] for side in (one, two))
+    Blocks are dealt by a hash of the id, of ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles in expectation; texts stay
+    out of them. Keys of the joins are salted or name a block, so no crowded bucket is a key of its own.
+    """
+    rows = open_.select("main", "id", "part").distinct().join(classes.select("id", "n_shingles", "registers"), "id")
+    many = rows.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    spread = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    full = rows.withColumn("salt", salt).join(spread, ["main", "salt"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), "blocks"))
+    member = F.collect_list(F.struct("id", "part", "registers"))
+    held = full.groupBy("main", F.col("block").alias("two")).agg(member.alias("y"))
+    minor = full.where("part <> main").groupBy("main", F.col("block").alias("one"), "blocks").agg(member.alias("x"))
+    asked = minor.withColumn("two", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lists = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in ("x", "y") for name in ("id", "part", "registers")]
+    return asked.join(held, ["main", "two"]).select("main", "one", "two", *lists)
+
+
+def mates(tiled: DataFrame, least: float) -> DataFrame:
+    """main, one, two, id, part, mates: the members of a tile that may be near members of other components. Each such pair
+    is listed once, as a mate of one of the two."""
+
+    def run(rows):
+        for batch in batches(rows):
+            keys = [batch.column(c).to_pylist() for c in ("main", "one", "two")]
+            out: list[list] = [[] for _ in range(6)]
+            sides = {}
+            for side in ("x", "y"):
+                lists = [batch.column(f"{side}_{c}") for c in ("id", "part", "registers")]
+                sides[side] = [*(x.flatten().to_numpy(zero_copy_only=False) for x in lists[:2]), lists[2].flatten(), np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))])]
+            for k in range(batch.num_rows):
+                (ix, px, rx), (iy, py, ry) = ([v[e[k] : e[k + 1]] for v in lists] for *lists, e in (sides["x"], sides["y"]))
+                x, y = _bytes(rx.to_pylist()), _bytes(ry.to_pylist())
+                found: dict[int, list[int]] = {}
+                part = {}
+                for i in range(len(ix)):
+                    at = np.flatnonzero((py != px[i]) & ((py == keys[0][k]) | (ix[i] < iy)))
+                    share = (y[at] == x[i]).mean(1)
+                    at, share = at[share >= least], share[share >= least]
+                    if len(at):
+                        at = at[np.argsort(-share, kind="stable")]
+                        found[int(ix[i])] = iy[at].tolist()
+                        part[int(ix[i])] = int(px[i])
+                        part |= zip(iy[at].tolist(), py[at].tolist(), strict=True)
+                for i, p in part.items():
+                    for column, value in zip(out, (*(c[k] for c in keys), i, p, found.get(i, [])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.list_(pa.int64()))], names=["main", "one", "two", "id", "part", "mates"])
+
+    return tiled.mapInArrow(run, "main long, one long, two long, id long, part long, mates array<long>")
+
+
+def crossing(spark: SparkSession, open_: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, least: float, scope: str = "op") -> DataFrame:
+    """Links (a, b) between components that share a bucket of open_ (bucket, id, part, main), enough to join them.
+
+    Members that pass the estimate meet tile by tile, as a stream of rows sorted by tile; a tile gives one link at most
+    for each two components.
+    """
+    with batch_rows(spark, TILES):
+        met = store(spark, mates(tiles(open_, classes), least), "mates", scope)
+
+    def tile(rows: dict[int, tuple[int, list[int], bytes]], found: list[tuple[int, int]]) -> None:
         sets: dict[int, np.ndarray] = {}
         parent: dict[int, int] = {}
 
@@ -224,29 +282,35 @@ def crossing(open_: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
                 p = q
             return p
 
-        def elements(k: dict) -> np.ndarray:
-            if k["id"] not in sets:
-                sets[k["id"]] = shingle_sets([(k["text"] or "").encode("utf-8", "surrogatepass")], words)[0]
-            return sets[k["id"]]
-
-        for i in range(len(one)):
-            at = np.flatnonzero((py != px[i]) & ((py == main) | (ix[i] < iy)))
-            at = at[(by[at] == bx[i]).any(1)]
-            at = at[(y[at] == x[i]).mean(1) >= least]
-            for j in at:
-                a, b = root(int(px[i])), root(int(py[j]))
-                if a != b and _agree(elements(one[i]), elements(two[j]), percent):
+        def elements(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets([rows[i][2]], words)[0]
+            return sets[i]
+
+        for i, (part, others, _) in rows.items():
+            for j in others:
+                a, b = root(part), root(rows[j][0])
+                if a != b and _agree(elements(i), elements(j), percent):
                     parent[a] = b
-                    found.append((int(ix[i]), int(iy[j])))
+                    found.append((i, j))
 
     def run(rows):
+        at, held = None, {}
         for batch in batches(rows):
             found: list[tuple[int, int]] = []
-            for k in range(batch.num_rows):
-                tile(*(batch.column(c)[k].as_py() for c in ("main", "minor", "m")), found)
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+            columns = (*(batch.column(c).to_pylist() for c in ("main", "one", "two", "id", "part", "mates")), utf8(batch.column("text")))
+            for main, one, two, i, part, others, text in zip(*columns, strict=True):
+                if (main, one, two) != at:
+                    tile(held, found)
+                    at, held = (main, one, two), {}
+                held[i] = part, others, text
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = []
+        tile(held, found)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return minor.select("main", "minor").join(held.select("main", "m"), "main").select("main", "minor", "m").mapInArrow(run, "a long, b long")
+    key = ["main", "one", "two"]
+    return met.join(texts, "id").repartition(*key).sortWithinPartitions(*key, "id").select(*key, "id", "part", "mates", "text").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -288,20 +352,32 @@ def components(spark: SparkSession, links: DataFrame, scope: str = "op") -> Data
     return label.select("id", "label")
 
 
+#: Id and text of a document without nulls, so that the partitions of joins on them serve the steps after them.
+KEY = ["_key_id", "_key_null", "_key_text"]
+
+
+def _key(text_hash: F.Column) -> list[F.Column]:
+    doc = F.col("doc_id").cast("long")
+    return [c.alias(n) for c, n in zip((F.coalesce(doc, F.lit(0).cast("long")), doc.isNull(), text_hash), KEY, strict=True)]
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, scope: str = "op") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one document of each component, its smallest id, is kept."""
+    """doc_id, text_hash, n_shingles, component_id, group_id (a number of the component) and kept, for each row."""
     sketch = store(spark, sketches(docs, words), "sketches", scope)
     real = sketch.where("set_key is not null")
-    classes = store(spark, real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets"), F.first("registers").alias("registers")), "classes", scope)
-    member = classes.where("id is not null").select("id", F.explode("buckets").alias("bucket"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    sets = real.groupBy("set_key").agg(first.alias("m"), *(F.first(c).alias(c) for c in ("n_shingles", "buckets", "registers")))
+    classes = store(spark, sets.select("set_key", F.monotonically_increasing_id().alias("id"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "n_shingles", "buckets", "registers"), "classes", scope)
+    member = classes.select("id", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
     crowd = store(spark, member.join(shared, "bucket"), "crowd", scope)
     popular = crowd.groupBy("id").agg(F.sum("n").alias("met"))
     hubs = crowd.select("bucket", "id").join(popular, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", (-F.col("id")).alias("k"))).alias("hub"))
     star = crowd.join(hubs, "bucket").select(F.col("id").alias("a"), F.explode(F.array("hub", "low")).alias("b")).where("a <> b").distinct()
     pairs = likely(star, classes)
-    named = crowd.select("id").distinct()
-    texts = store(spark, docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id", "left_semi"), "texts", scope)
+    named = classes.join(crowd.select("id").distinct(), "id", "left_semi").select(*_key(F.col("text_hash")), "id")
+    sources = docs.select(*_key(F.xxhash64("text")), "text")
+    texts = store(spark, sources.join(named, KEY).dropDuplicates(KEY).select("id", "text"), "texts", scope)
 
     goal = percent / 100
     least = goal - 5 * math.sqrt(goal * (1 - goal) / REGISTERS)
@@ -313,11 +389,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     placed = store(spark, crowd.select("bucket", "id", "n").join(part, "id", "left").select("bucket", "id", "n", at), "placed", scope)
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    cross = crossing(placed.join(mixed, "bucket"), classes, texts, words, percent, least)
+    cross = crossing(spark, placed.join(mixed, "bucket"), classes, texts, words, percent, least, scope)
     links = store(spark, first.union(cross), "links", scope)
     final = components(spark, links, scope)
 
-    owner = classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
-    full = real.select("doc_id", "n_shingles", "set_key").join(owner, "set_key").select("doc_id", "n_shingles", "component_id")
-    void = sketch.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    owner = classes.select("set_key", "id", "doc_id").join(final, "id", "left").select("set_key", "doc_id", F.coalesce("label", "id").alias("group_id"))
+    lowest = owner.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    owner = owner.join(lowest, "group_id").select("set_key", "group_id", "component_id")
+    full = real.select("doc_id", "text_hash", "n_shingles", "set_key").join(owner, "set_key").select("doc_id", "text_hash", "n_shingles", "component_id", "group_id")
+    void = sketch.where("set_key is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
     return full.union(void).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, scope: str = "op") -> DataFrame:
+    """The rows of docs that stay: one of each group, of the smallest id (then text hash), and all without words.
+
+    Documents are told apart by id and text: rows that share an id but not the text are judged each for itself. Rows that
+    repeat both are one document, of which one row stays. A null id is larger than any other.
+    """
+    judged = store(spark, near_duplicates(spark, docs, words, percent, scope), "judged", scope)
+    each = judged.where("group_id is not null").groupBy("group_id", *_key(F.col("text_hash"))).agg(F.count("*").alias("n"))
+    each = store(spark, each, "each", scope)
+    order = F.struct("_key_null", "_key_id", "_key_text")
+    head = each.groupBy("group_id").agg(F.min(order).alias("head"))
+    marked = each.join(head, "group_id").select(*KEY, "n", (F.col("head") == order).alias("stays")).where("not stays or n > 1")
+    marked = store(spark, marked, "marked", scope)
+    rows = docs.select("*", *_key(F.xxhash64("text")))
+    alone = rows.join(marked.select(*KEY), KEY, "left_anti")
+    repeated = rows.join(marked.where("stays").select(*KEY), KEY, "left_semi").dropDuplicates(KEY)
+    return alone.unionByName(repeated).select(*docs.columns)

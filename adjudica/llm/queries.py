@@ -57,11 +57,11 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return got.drop("n_near")
+    return got.drop("text_hash", "n_near")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), words=4, percent=80)
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _pipeline() -> Query | None:

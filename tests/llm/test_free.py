@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adjudica.llm import decontaminate, html_extract, near_dedup, token_blocks, url_filter
 from adjudica.llm.queries import oracle_sql, queries
@@ -222,6 +223,34 @@ def test_near_duplicates(spark):
     assert got == groups(docs, 4, 80)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Many components share buckets through a common passage; blocks of few documents, so that tiles matter."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "likely", lambda pairs, classes: pairs.select("a", "b", F.lit(0.9).alias("share")).limit(0))
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    common = [word() for _ in range(40)]
+    docs = []
+    for g in range(25):
+        own = [word() for _ in range(20)]
+        for _ in range(rnd.randint(1, 4)):
+            w = common + own
+            w[rnd.randrange(len(w))] = word()
+            docs.append((len(docs), " ".join(w)))
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups(docs, 4, 80)
+
+
+def test_rows_that_share_an_id(spark):
+    x, y = "totally different words here for the x text", "one two three four five six yy"
+    rows = [(3, y, 1), (5, x, 2), (5, y, 3), (5, y, 4), (None, y, 5), (None, None, 6), (9, "", 7), (None, "text of a row without any id", 8), (None, "text of a row without any id", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key_x long").withColumnRenamed("_key_x", "id")
+    left = near_dedup.without_near_duplicates(spark, docs)
+    assert left.columns == ["doc_id", "text", "id"]
+    got = {r.id for r in left.collect()}
+    assert {1, 2, 6, 7} <= got and len(got) == 5 and got & {8, 9}
+
+
 def test_superminhash_estimates_without_bias():
     rng = np.random.default_rng(1)
     errors = []

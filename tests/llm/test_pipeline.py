@@ -82,6 +82,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [r.start for r in got.orderBy("start").collect()] == [0, *ends[:-1]]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark, tmp_path):
+    x, y = "the other text has nothing near it at all in this table", "a text that stands in two rows of this small table"
+    docs = spark.createDataFrame([row(3, y)[:5], row(5, x)[:5], row(5, y)[:5], row(None, x + " tail of words that differ")[:5]], COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near-duplicate removal"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, y), (5, x), (0, x + " tail of words that differ")])
+    bench = spark.createDataFrame([(1, "nothing near it at all in this table")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(3, y), (5, y)]
+
+
 def test_run_equals_its_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
