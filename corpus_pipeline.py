@@ -29,19 +29,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id. Rows without an id stay."""
+    """One row of each group of near duplicates stays, the one with the smallest id; rows without words stay too. Rows that
+    share an id but not the text are judged each for itself; of rows that repeat both one stays."""
     sweep(spark, SCOPE)
-    judged = near_dedup.near_duplicates(spark, docs, words=WORDS, percent=PERCENT, scope=SCOPE)
-    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return near_dedup.without_near_duplicates(spark, docs.select(*COLUMNS), words=WORDS, percent=PERCENT, scope=SCOPE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops rows in which a window of a benchmark item occurs, each judged by its own text, with or without an id."""
     sweep(spark, SCOPE)
-    judged = decontamination.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), scope=SCOPE)
-    gone = judged.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    judged = decontamination.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), near_terms=None, scope=SCOPE)
+    gone = judged.where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["_hash"] == gone["text_hash"])
+    return rows.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +57,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks in the stored order of docs (file, then row), or by id where docs isn't read from files."""
     sweep(spark, SCOPE)
-    try:
-        placed = docs.select("doc_id", "text", F.length("_metadata.file_name").alias("_f"), F.col("_metadata.file_name").alias("_n"), F.col("_metadata.row_index").alias("_r"))
+    placed, order = docs, ("doc_id",)
+    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
+    if "_metadata" in [hidden.apply(i).name() for i in range(hidden.size())]:
+        file = F.col("_metadata.file_name")
+        placed = docs.select("doc_id", "text", F.length(file).alias("_f"), file.alias("_n"), F.col("_metadata.row_index").alias("_r"))
         order = ("_f", "_n", "_r")
-        placed.schema  # resolves the plan  # noqa: B018
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        placed, order = docs, ("doc_id",)
     return token_blocks.tokenize(spark, placed, order=order, scope=SCOPE)
 
 
