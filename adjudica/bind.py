@@ -28,6 +28,17 @@ select distinct l_suppkey as file, {odays} as r_start, {odays} + 2 as r_end
 from {lineitem} join {orders} on l_orderkey = o_orderkey
 """
 
+#: Changed files (suppliers): those with a negative balance are deleted, the others have lines by their nation.
+FILES = """
+select s_suppkey as file, case when s_acctbal < 0 then 'deleted' else 'modified' end as status, case when s_acctbal < 0 then null else 2000 + 25 * cast(s_nationkey as int) end as total_lines from {supplier}
+"""
+
+#: Evidence of a finding: the next finding of its order, linked causally where security states it.
+EVIDENCE = """
+select * from (select id, lead(file) over (partition by fixture order by id) as e_file, lead(start_line) over (partition by fixture order by id) as e_start, lead(end_line) over (partition by fixture order by id) as e_end,
+  case when reviewer = 'security' then 'calls it' end as causal_link, lead(title) over (partition by fixture order by id) as explanation from ({findings}) f) e where e_file is not null
+"""
+
 #: Symbols of a file: windows of 90 days, and of 30 within every other of them.
 SYMBOLS = """
 select file, w * 90 as r_start, w * 90 + 89 as r_end, 'q' || cast(w as {string}) as r_id from (select distinct file, cast(floor(start_line / 90) as int) as w from ({findings}) f) a
@@ -66,6 +77,33 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HUNKS.replace("{odays}", _days("o_orderdate")), **{n: table(spark, sf_dir, n) for n in ("lineitem", "orders")})
 
 
+def _path(file: str) -> F.Column:
+    return F.concat(F.lit("src/f"), F.col(file).cast("string"), F.lit(".ts"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, status, total_lines) of all files; a deleted file has no lines."""
+    return spark.sql(FILES, supplier=table(spark, sf_dir, "supplier")).select(_path("file").alias("path"), "status", "total_lines")
+
+
+def evidence(df: DataFrame) -> DataFrame:
+    """(id, path, start, end, causal_link, explanation) of findings."""
+    got = df.sparkSession.sql(EVIDENCE.replace("({findings})", "{findings}"), findings=df)
+    return got.select("id", _path("e_file").alias("path"), F.col("e_start").alias("start"), F.col("e_end").alias("end"), "causal_link", "explanation")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """Findings with path, start and end as the patch's operators name them."""
+    return df.withColumns({"path": _path("file"), "start": F.col("start_line"), "end": F.col("end_line")})
+
+
+def patch_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, side, r_start, r_end): hunks as lines that a patch adds, or, those that begin at a multiple of four, removes. Every
+    fifth file is named from above the repository, so that only its base name is the finding's."""
+    folder = F.when(F.col("file") % 5 == 0, "pkg/").otherwise("")
+    return hunks(spark, sf_dir).select(F.concat(folder, _path("file")).alias("path"), F.when(F.col("r_start") % 4 == 0, "-").otherwise("+").alias("side"), "r_start", "r_end")
+
+
 def symbols(df: DataFrame) -> DataFrame:
     return df.sparkSession.sql(SYMBOLS.replace("({findings})", "{findings}").replace("{string}", "string"), findings=df)
 
@@ -78,6 +116,6 @@ def duck(sql: str) -> str:
     """A binding in DuckDB's dialect."""
     days = "cast(datediff('day', date '1992-01-01', cast({} as date)) as int)"
     out = sql.replace("{findings}", FINDINGS).replace("{days}", days.format("l_shipdate")).replace("{odays}", days.format("o_orderdate")).replace("{string}", "varchar")
-    for name in ("lineitem", "orders", "part", "documents"):
+    for name in ("lineitem", "orders", "part", "documents", "supplier"):
         out = out.replace("{" + name + "}", name)
     return out

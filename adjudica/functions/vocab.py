@@ -104,5 +104,24 @@ TOOL_SEVERITY = {
     "pytest": {"failed": "high", "error": "high", "": "info"},
     "": {"error": "critical", "critical": "critical", "warning": "high", "high": "high", "medium": "medium", "low": "low", "": "info"},
 }
+#: Extensions of the files that each tool reads.
+TOOL_EXTENSIONS = {"tsc": (".ts", ".tsx"), "biome": (".ts", ".tsx", ".js", ".jsx", ".json"), "ruff": (".py",), "mypy": (".py",), "pyright": (".py",), "bandit": (".py",), "pytest": (".py",)}
+EXECUTABLE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".mjs", ".cjs", ".php")
+CONTROL_FLOW = r"\b(if|else|switch|case|for|while|do|try|catch|finally|throw|return|yield|await|async|def|lambda|match)\b"
+DEPENDENCY_FILES = ("package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "requirements.txt", "pyproject.toml", "go.mod", "cargo.toml", "composer.json", "composer.lock")
+SECURITY_PATTERNS = (
+    r"\b(auth|authenticate|authorization|jwt|bearer|token|oauth|session|cookie|password|credential|secret|api[_-]?key)\b",
+    r"\b(crypto|cipher|hash|hmac|encrypt|decrypt|randomBytes|subtle|sha256|sha512|md5|aes|rsa|salt)\b",
+    r"\b(exec|spawn|eval|system|child_process|shell|query|sql|raw|dangerouslySetInnerHTML|innerHTML|xpath)\b",
+    r"\breq\.(body|query|params|headers)\b",
+    r"\b(bodyParser|multipart|upload|unserialize|pickle|deserialize)\b",
+    r"\bJSON\.parse\b",
+    r"\bfetch\s*\(",
+    r"\baxios\b",
+    r"\bhttps?\.request\b",
+    r"\bpath\.(resolve|join)\b",
+    r"\.\./",
+    r"\b(admin|role|permission|acl|rbac|sudo|privilege|isAuthorized|isAdmin)\b",
+)
 RUFF_SEVERITY = {"e": "critical", "w": "medium", "f": "high"}
 EDGE_MIRROR = {"calls": "called_by", "called_by": "calls", "imports": "imported_by", "imported_by": "imports", "implements": "implemented_by", "implemented_by": "implements", "tests": "tested_by", "tested_by": "tests", "routes_to": "called_by"}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..functions.scoring import lookup
-from .linkage import store
+from ..plans.shared import folder, store
 
 
 def reciprocal(edges: DataFrame) -> DataFrame:
@@ -45,33 +48,77 @@ def classify_imports(imports: DataFrame, files: DataFrame, workspaces: DataFrame
     return joined.select("src", F.when(external, F.col("package")).otherwise(F.col("specifier")).alias("dst"), external.alias("is_external"), F.col("_own").isNotNull().alias("is_workspace")).distinct()
 
 
-def in_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes of (src, dst) that lie on a cycle or between two cycles: nodes without incoming or outgoing edges are peeled
-    off, round by round, until none is left."""
+def _peeled(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (src, dst, …) whose ends both have an incoming and an outgoing edge, and their number."""
+    ends = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    kept = store(edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"), "cycle")
+    return kept, kept.count()
+
+
+def strong_components(edges: DataFrame, rounds_of_peeling: int = 3) -> DataFrame:
+    """(node, component) of the nodes of (src, dst) in strong components of two nodes or more; a component goes by its
+    largest node.
+
+    Forward-backward colouring: nodes that can't be on a cycle are peeled off for some rounds; the largest number that
+    reaches a node becomes its colour; what leads back to a colour's own node within the colour is its component. Then
+    components found, and edges between colours, are taken out, until no edge is left.
+    """
     left = store(edges.select("src", "dst").where("src <> dst").distinct(), "cycle")
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    n = left.count()
+    n, found = left.count(), None
     while n:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = store(kept.select("src", "dst"), "cycle")
-        m = kept.count()
-        left, n, done = kept, m, m == n
-        if done:
+        for _ in range(rounds_of_peeling):
+            left, m = _peeled(left)
+            if m == n:
+                break
+            n = m
+        if not n:
             break
-    return left.select(F.col("src").alias("node")).unionAll(left.select("dst")).unionAll(loops).distinct()
+        color = store(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().select("node", F.col("node").alias("color"), F.lit(True).alias("moved")), "color")
+        while color.where("moved").limit(1).count():
+            near = left.join(color.where("moved").select(F.col("node").alias("src"), "color"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("_c"))
+            color = store(color.select("node", "color").join(near, "node", "left").select("node", F.greatest("color", "_c").alias("color"), F.coalesce(F.col("_c") > F.col("color"), F.lit(False)).alias("moved")), "color")
+        tint = color.select("node", "color")
+        inside = left.join(tint.select(F.col("node").alias("src"), F.col("color").alias("_a")), "src").join(tint.select(F.col("node").alias("dst"), F.col("color").alias("_b")), "dst")
+        inside = store(inside.where("_a = _b").select("src", "dst", F.col("_a").alias("color")), "inside")
+        parts = [store(tint.where("node = color"), "back")]
+        while True:
+            seen = reduce(DataFrame.unionAll, parts)
+            step = inside.join(parts[-1].select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "color").distinct().join(seen, ["node", "color"], "left_anti")
+            step_back = store(step, "back")
+            if not step_back.limit(1).count():
+                break
+            parts = [store(seen.unionAll(step_back), "back-all"), step_back] if len(parts) > 16 else [*parts, step_back]
+        done = store(reduce(DataFrame.unionAll, parts).distinct(), "components")
+        many = done.groupBy("color").agg(F.count("*").alias("k")).where("k > 1").select("color")
+        got = done.join(many, "color", "left_semi").select("node", F.col("color").alias("component"))
+        found = got if found is None else found.unionAll(got)
+        gone = done.select("node")
+        left = store(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "cycle")
+        n = left.count()
+    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
 
 
-def ancestors(commits: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """All (ref, oid) reachable from start (ref, oid) over commits (oid, parent), starts included; frontier by frontier."""
-    seen = store(start.select("ref", "oid").distinct(), "ancestors")
-    frontier = seen
-    for _ in range(rounds):
-        step = frontier.join(commits, "oid").select("ref", F.col("parent").alias("oid")).where("oid is not null").distinct().join(seen, ["ref", "oid"], "left_anti")
-        frontier = store(step, "frontier")
-        if not frontier.limit(1).count():
-            break
-        seen = store(seen.unionAll(frontier), "ancestors")
-    return seen
+def in_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes of (src, dst) that lie on a cycle: of strong components of several nodes, and with an edge to themselves."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    return strong_components(edges).select("node").unionAll(loops).distinct()
+
+
+def ancestors(commits: DataFrame, start: DataFrame) -> DataFrame:
+    """All (ref, oid) reachable from start (ref, oid) over commits (oid, parent), starts included. Frontiers are appended to
+    one table; only those of a round are joined with the commits."""
+    spark = start.sparkSession
+    at = f"{folder(spark)}/core/ancestors-{uuid.uuid4().hex[:12]}"
+    frontier = start.select("ref", "oid").distinct()
+    k = 0
+    while True:
+        frontier.write.option("compression", "zstd").parquet(f"{at}/round={k}")
+        seen = spark.read.schema(start.select("ref", "oid").schema).parquet(at).select("ref", "oid")
+        last = spark.read.schema(start.select("ref", "oid").schema).parquet(f"{at}/round={k}")
+        if not last.limit(1).count():
+            return seen
+        frontier = last.join(commits, "oid").select("ref", F.col("parent").alias("oid")).where("oid is not null").distinct().join(seen, ["ref", "oid"], "left_anti")
+        k += 1
 
 
 def merge_base(commits: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ _TRAILING = re.compile(r",\s*([}\]])")
 
 
 def extract_json(raw: str | None) -> str | None:
-    """The fenced block, or from the first opening to the last closing bracket, without trailing commas."""
+    """The fenced block, or from the first opening bracket to the last closing one of its kind, without trailing commas."""
     if not raw or not raw.strip():
         return None
     body = m[1].strip() if (m := _FENCE.search(raw)) else raw.strip()
@@ -28,7 +29,7 @@ def extract_json(raw: str | None) -> str | None:
     if not opens:
         return None
     start = min(opens)
-    end = max(body.rfind("}"), body.rfind("]"))
+    end = body.rfind("}" if body[start] == "{" else "]")
     body = body[start : end + 1] if end > start else body[start:]
     while re.match(r"\{\s*\{", body):
         body = body[body.index("{") + 1 :].lstrip()
@@ -149,3 +150,45 @@ def roles(diagnostics: DataFrame) -> DataFrame:
     security = low.rlike("(bandit|security|injection|secret|vulnerab)")
     test = low.rlike("(pytest|jest|test)")
     return diagnostics.withColumns({"for_security": security, "for_test": test, "for_rest": ~test})
+
+
+def repair_prompt(issues: Column) -> Column:
+    """The text that asks a model to mend its payload: a line for each element of an array of struct<path, message>."""
+    lines = F.transform(issues, lambda x: F.concat(F.lit("- Field '"), F.when(F.length(F.coalesce(x["path"], F.lit(""))) > 0, x["path"]).otherwise("root"), F.lit("': "), x["message"]))
+    return F.concat(F.lit("The last JSON answer doesn't fit the schema. Mend these fields and answer with valid JSON:\n"), F.array_join(lines, "\n"))
+
+
+def issues_of(payload: Column) -> Column:
+    """array<struct<path, message>>: what FINDING misses in a payload (JSON text of one finding)."""
+    f = F.from_json(payload, FINDING)
+    rules = (
+        ("severity", f["severity"].isin(*vocab.SEVERITIES), "must be one of " + ", ".join(vocab.SEVERITIES)),
+        ("category", f["category"].isin(*vocab.CATEGORIES), "must be one of " + ", ".join(vocab.CATEGORIES)),
+        ("title", F.length(f["title"]) > 0, "must not be empty"),
+        ("file", F.length(f["file"]) > 0, "must not be empty"),
+        ("startLine", f["startLine"] >= 1, "must be 1 or more"),
+        ("confidence", f["confidence"].between(0, 1), "must be between 0 and 1"),
+    )
+    found = [F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(name).alias("path"), F.lit(say).alias("message"))) for name, ok, say in rules]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def finding_schema() -> str:
+    """The JSON schema of a list of findings, made from the same enumerations that validate them."""
+    text, number = {"type": "string"}, {"type": "integer", "minimum": 1}
+    filled = {"type": "string", "minLength": 1}
+    evidence = {"type": "object", "required": ["file", "startLine", "endLine"], "properties": {"file": filled, "startLine": number, "endLine": number, "relationship": text, "explanation": text}}
+    properties = {
+        "severity": {"enum": list(vocab.SEVERITIES)}, "category": {"enum": list(vocab.CATEGORIES)}, "title": filled, "message": filled, "file": filled, "startLine": number, "endLine": number,
+        "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "evidence": {"type": "array", "items": evidence}, "relatedFiles": {"type": "array", "items": text}, "relatedSymbols": {"type": "array", "items": text},
+        "impact": text, "suggestedFix": text, "reviewer": text,
+    }
+    needed = ["severity", "category", "title", "message", "file", "startLine", "endLine", "confidence"]
+    return json.dumps({"type": "object", "required": ["findings"], "properties": {"findings": {"type": "array", "items": {"type": "object", "required": needed, "properties": properties}}}})
+
+
+def on_target(files: DataFrame, tool: str) -> DataFrame:
+    """files (path) that a tool reads: of its extensions and inside the repository."""
+    p = F.col("path")
+    ends = reduce(lambda a, b: a | b, [F.lower(p).endswith(e) for e in vocab.TOOL_EXTENSIONS[tool]])
+    return files.where(ends & ~p.startswith("/") & ~F.exists(F.split(p, "/"), lambda x: x == ".."))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import text, vocab
 from .intervals import coalesce_lines
 
-#: Cells of the dynamic programme above which a diff falls back to common prefix and suffix.
-LCS_CELLS = 1_000_000
-
-
 def tree_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """(path, status) of paths whose object or mode differ between two trees (path, oid, mode). No rename detection."""
     a = base.select("path", F.col("oid").alias("base_oid"), F.col("mode").alias("base_mode"), F.lit(True).alias("_a"))
@@ -32,33 +28,83 @@ def status_matrix(head: DataFrame, workdir: DataFrame, index: DataFrame) -> Data
     return all_.select("path", F.when(F.col("_h").isNull(), 0).otherwise(1).alias("head"), work.alias("workdir"), stage.alias("stage"))
 
 
+def _split_point(a: list[int], b: list[int], box: tuple[int, int, int, int]) -> tuple[int, int] | None:
+    """A point of a shortest edit path through the box (a from, a to, b from, b to), found from both ends at once; None if
+    the path goes along the box's edges, that is, if nothing in it is common.
+
+    Furthest-reaching points on each diagonal are kept for the current number of edits only, so space is linear.
+    """
+    a0, a1, b0, b1 = box
+    n, m = a1 - a0, b1 - b0
+    ahead, behind = {0: 0}, {0: 0}
+
+    def grow(reach: dict[int, int], edits: int, same) -> None:
+        fresh = {}
+        for k in range(-min(edits, m), min(edits, n) + 1):
+            if (k + edits) % 2:
+                continue
+            if edits == 0:
+                x = 0
+            else:
+                down = reach.get(k + 1, -1)  # a line of b is added
+                x = down if down >= 0 and down - k <= m else -1
+                right = reach.get(k - 1, -1)  # a line of a is removed
+                if 0 <= right < n and right + 1 > x:
+                    x = right + 1
+                if x < 0:
+                    continue
+            y = x - k
+            while x < n and y < m and same(x, y):
+                x, y = x + 1, y + 1
+            fresh[k] = x
+        reach.update(fresh)
+
+    for edits in range(n + m + 1):
+        grow(ahead, edits, lambda x, y: a[a0 + x] == b[b0 + y])
+        for k, x in ahead.items():
+            back = behind.get(n - m - k)
+            if back is not None and x + back >= n and (k + edits) % 2 == 0:
+                return (a0 + x, b0 + x - k) if 0 < x + (x - k) < n + m else None
+        grow(behind, edits, lambda x, y: a[a1 - 1 - x] == b[b1 - 1 - y])
+        for k, x in behind.items():
+            front = ahead.get(n - m - k)
+            if front is not None and x + front >= n and (k + edits) % 2 == 0:
+                u, v = n - x, m - (x - k)
+                return (a0 + u, b0 + v) if 0 < u + v < n + m else None
+    return None
+
+
 def line_operations(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """(' ', '-' or '+', line). A longest common subsequence, removals first on ties; a plain replacement between common ends if too large."""
-    n, m = len(old), len(new)
-    if n * m > LCS_CELLS:
-        a = 0
-        while a < min(n, m) and old[a] == new[a]:
-            a += 1
-        z = 0
-        while z < min(n, m) - a and old[n - 1 - z] == new[m - 1 - z]:
-            z += 1
-        return [(" ", x) for x in old[:a]] + [("-", x) for x in old[a : n - z]] + [("+", x) for x in new[a : m - z]] + [(" ", x) for x in old[n - z :]]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if old[i] == new[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and old[i] == new[j]:
-            out.append((" ", old[i]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(("-", old[i]))
-            i += 1
-        else:
-            out.append(("+", new[j]))
-            j += 1
+    """(' ', '-' or '+', line) of a shortest edit script; between two common lines, removals stand before additions.
+
+    Lines that stand on one side only can't be common, so they are left out first; the rest is divided at points of a
+    shortest path, in linear space.
+    """
+    number: dict[str, int] = {}
+    left, right = ([number.setdefault(x, len(number)) for x in side] for side in (old, new))
+    both = set(left) & set(right)
+    at_a, at_b = ([i for i, x in enumerate(side) if x in both] for side in (left, right))
+    a, b = [left[i] for i in at_a], [right[i] for i in at_b]
+    common: list[tuple[int, int]] = []
+    boxes = [(0, len(a), 0, len(b))]
+    while boxes:
+        a0, a1, b0, b1 = boxes.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            common.append((at_a[a0], at_b[b0]))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            common.append((at_a[a1], at_b[b1]))
+        if a0 < a1 and b0 < b1 and (point := _split_point(a, b, (a0, a1, b0, b1))):
+            x, y = point
+            boxes += [(a0, x, b0, y), (x, a1, y, b1)]
+    out: list[tuple[str, str]] = []
+    i = j = 0
+    for x, y in [*sorted(common), (len(old), len(new))]:
+        out += [("-", line) for line in old[i:x]] + [("+", line) for line in new[j:y]]
+        if x < len(old):
+            out.append((" ", old[x]))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -70,7 +116,18 @@ def logical_lines(source: str | None) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
-def unified(path: str, old: str | None, new: str | None, context: int = 3) -> str:
+def mode_lines(old: str | None, new: str | None, old_mode: str | None, new_mode: str | None) -> list[str]:
+    """What a diff says of file modes, below its +++ line; a null text is an absent file."""
+    if old is None and new_mode is not None:
+        return [f"new file mode {new_mode}"]
+    if new is None and old_mode is not None:
+        return [f"deleted file mode {old_mode}"]
+    if None not in (old_mode, new_mode) and old_mode != new_mode:
+        return [f"old mode {old_mode}", f"new mode {new_mode}"]
+    return []
+
+
+def unified(path: str, old: str | None, new: str | None, context: int = 3, old_mode: str | None = None, new_mode: str | None = None) -> str:
     """Unified diff of two texts; null is an absent file. Empty if they are equal."""
     ops = line_operations(logical_lines(old), logical_lines(new))
     changed = [k for k, (op, _) in enumerate(ops) if op != " "]
@@ -83,7 +140,7 @@ def unified(path: str, old: str | None, new: str | None, context: int = 3) -> st
             spans[-1][1] = b
         else:
             spans.append([a, b])
-    out = [f"--- {'/dev/null' if old is None else 'a/' + path}", f"+++ {'/dev/null' if new is None else 'b/' + path}"]
+    out = [f"--- {'/dev/null' if old is None else 'a/' + path}", f"+++ {'/dev/null' if new is None else 'b/' + path}", *mode_lines(old, new, old_mode, new_mode)]
     before = [0, 0]
     at = 0
     for a, b in spans:
@@ -101,13 +158,14 @@ def unified(path: str, old: str | None, new: str | None, context: int = 3) -> st
 
 
 def with_diff(pairs: DataFrame) -> DataFrame:
-    """Adds ``diff`` to (path, old, new). Python, as the dynamic programme has no built-in form."""
+    """Adds ``diff`` to (path, old, new and, if there, old_mode, new_mode). Python, as the edit path has no built-in form."""
+    modes = [F.col(c) if c in pairs.columns else F.lit(None).cast("string") for c in ("old_mode", "new_mode")]
 
     @F.pandas_udf("string")
-    def run(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([unified(p, o, n) for p, o, n in zip(path, old, new, strict=True)])
+    def run(path: pd.Series, old: pd.Series, new: pd.Series, old_mode: pd.Series, new_mode: pd.Series) -> pd.Series:
+        return pd.Series([unified(p, o, n, 3, x, y) for p, o, n, x, y in zip(path, old, new, old_mode, new_mode, strict=True)])
 
-    return pairs.withColumn("diff", run("path", "old", "new"))
+    return pairs.withColumn("diff", run("path", "old", "new", *modes))
 
 
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"

@@ -34,12 +34,24 @@ _INNER = f"select id, arg_min(r_id, (r_end - r_start, r_id)) r_id from {F_} f jo
 
 _HIT = f"select distinct id from {F_} f join {_HUNKS} h on f.file = h.file and start_line <= r_end + 1 and end_line >= r_start - 1"
 
+_FILES = f"({bind.duck(bind.FILES)})"
+_EV = f"({bind.duck(bind.EVIDENCE)})"
+_PLUS = f"(select * from {_HUNKS} where r_start % 4 <> 0)"
+_PRIMARY = f"(select distinct id from {F_} f join {_PLUS} h on f.file = h.file and start_line <= r_end + 1 and end_line >= r_start - 1)"
+_EHIT = f"(select distinct id from {_EV} v join {_PLUS} h on e_file = h.file and e_start <= r_end + 1 and e_end >= r_start - 1)"
+#: Evidence items: why one isn't valid, and its tier.
+_ITEMS = f"""(select v.*, status = 'deleted' del, case when coalesce(e_start > total_lines, false) then 'y' end r,
+ case when status = 'deleted' then 'base' when a.file is null or h.id is not null then 'direct' else 'indirect' end t
+ from {_EV} v join {_FILES} x on e_file = x.file left join (select distinct file from {_PLUS}) a on e_file = a.file left join {_EHIT} h using (id))"""
+_VALID = f"""(select id, nv, ni, (case when nv = 0 or not anc then 0 else least(100, greatest(0, 20 + case when direct then 40 else 0 end + least(10, nn * 5) + floor(10 * nv / (nv + ni) + 0.5) - ni * 25)) end)::bigint strength, anc and nv > 0 and ni = 0 vvalid, direct, fab from (
+ select i.id, (r is null)::int nv, (r is not null)::int ni, (r is null and t = 'indirect')::int nn, (r is null and t = 'direct') or p.id is not null direct, r is not null fab, coalesce(start_line <= total_lines, true) anc
+ from {_ITEMS} i join {F_} f using (id) join {_FILES} x on f.file = x.file left join {_PRIMARY} p on p.id = i.id))"""
 _GATE_IN = f"""(
-select f.*, e.ne, h.id is not null as direct, quantity % 5 <> 0 as vvalid, case when quantity % 5 = 0 then 1 else 0 end ninv, quantity strength, quantity % 25 = 0 fabricated,
+select f.*, e.ne, coalesce(v.direct, true) direct, coalesce(v.vvalid, true) vvalid, coalesce(v.nv, 1) nv, coalesce(v.ni, 0) ninv, coalesce(v.strength, 75) strength, coalesce(v.fab, false) fabricated,
  case when quantity % 3 = 0 then 'unknown ' || message else message end mech, case when quantity % 4 = 0 then 'edge case: x' else 'when ' || title end trig,
  case when quantity % 6 = 0 then 'pre_existing' when quantity % 6 = 1 then 'introduced_by_patch' else 'unknown' end attr,
  case when quantity % 11 = 0 then 'rejected' else 'approved' end critic, case when quantity % 13 = 0 then 1 else 0 end contra
-from {F_} f join (select fixture, count(*) - 1 ne from {F_} group by 1) e using (fixture) left join ({_HIT}) h using (id))"""
+from {F_} f join (select fixture, count(*) - 1 ne from {F_} group by 1) e using (fixture) left join {_VALID} v using (id))"""
 
 
 def _generic(column: str, words: tuple[str, ...]) -> str:
@@ -53,7 +65,7 @@ def _speculative(column: str) -> str:
 
 _CHECKS = {
     "changedCodeRelevance": "direct or attr in ('introduced_by_patch', 'worsened_by_patch')",
-    "evidenceValid": "vvalid or (ne > 0 and ninv = 0)",
+    "evidenceValid": "vvalid or (nv > 0 and ninv = 0)",
     "concreteFailureMechanism": f"not {_generic('mech', vocab.GENERIC_MECHANISMS)} and length(mech) >= 10",
     "credibleTrigger": f"not {_generic('trig', vocab.GENERIC_TRIGGERS)} and not {_speculative('trig')} and length(trig) >= 6",
     "reachableExecutionPath": f"not {_speculative('message')} and (ne > 0 or start_line > 0)",
@@ -126,15 +138,35 @@ _METRICS = f"""(select fixture, coalesce(met, 0)::bigint true_positives, (coales
  from (select fixture, count(*) found from {F_} group by 1) a full join (select fixture, count(*) wanted from {F_} where id % 1000 <= 2 and part % 3 = 0 group by 1) b using (fixture)
  left join (select fixture, count(distinct finding_id) good, count(distinct expected_id) met from {_MATCH} group by 1) c using (fixture))"""
 _TOOLS = ("tsc", "biome", "ruff", "mypy", "pyright", "bandit", "pytest")
-_FLOOR = f"""(select *, case when quantity % 7 = 0 then 'todo: ' || title else 'replace ' || title end fix, case when part % 9 = 0 then 'tests/a.py' else 'src/a.py' end path from {_GATE_IN})"""
+_NEAR = f"""(select distinct id from (select id, file, start_line s, end_line e from {F_} union all select v.id, e_file, e_start, e_end from {_EV} v join {F_} f on f.id = v.id and f.file = e_file) r
+ join {_HUNKS} h on r.file = h.file and s <= r_end + 2 and e >= r_start - 2)"""
+_RELEVANT = f"""(select f.*, n.id is not null in_diff, coalesce(start_line <= total_lines, true) grounded, case when total_lines is null then end_line else greatest(start_line, least(end_line, total_lines)) end last
+ from {F_} f join {_FILES} x on f.file = x.file left join {_NEAR} n on n.id = f.id)"""
+_FLOOR = f"""(select r.*, ne, case when quantity % 7 = 0 then 'todo: ' || title else 'replace ' || title end fix, case when part % 9 = 0 then 'tests/a.py' else 'src/a.py' end path
+ from {_RELEVANT} r join (select fixture, count(*) - 1 ne from {F_} group by 1) e using (fixture))"""
+_MINUS = f"(select * from {_HUNKS} where r_start % 4 = 0)"
 
 ORACLES = {
+    "token_usage": "select event_type, sum(strlen(props))::bigint prompt_tokens, sum(case when user_id % 3 > 0 then user_id else 0 end)::bigint completion_tokens, sum(case when user_id % 3 > 0 then strlen(props) + user_id else 0 end)::bigint total_tokens from events group by 1",
+    "retry_replay": """with c as (select user_id request, event_id % 7 k, row_number() over (partition by user_id order by event_id) rn from events),
+g as (select request, count(*) n, min(rn) filter (k >= 4) t, arg_min(k, rn) filter (k >= 4) kt from c where rn <= 4 group by 1)
+select request, coalesce(t, n)::bigint attempts, case kt when 4 then 'done' when 5 then 'refused' when 6 then 'failed' else case when n = 4 then 'exhausted' else 'pending' end end outcome from g""",
+    "file_languages": f"select distinct {_PC['language']} as language from {_PATHS} where {_PC['language']} is not null",
+    "folder_sizes": f"select coalesce(sum(n_chars), 0)::bigint bytes from {_PATHS} join documents using (doc_id) where starts_with(path, 'src/')",
+    "point_reads": """with d as (select source || '/' || doc_id path, source, doc_id, text from documents), w as (select path from d where doc_id % 3 = 0 union select source || '/' || (doc_id + 1) from d where doc_id % 3 = 0 union select '../' || path from d where doc_id % 3 = 0)
+select path, md5(text) content_md5 from w left join d using (path)""",
+    "known_refs": "with n as (select source as name from documents union select lang from documents) select name, name in (select source from documents where doc_id % 2 = 0) as exists from n where name is not null",
+    "workspace_list": "select distinct 'packages/' || source path from documents where doc_id % 2 = 0 and source not like 'src1%'",
+    "reviewer_schedule": f"""select unnest(['structural', 'semantic', 'security']) reviewer, unnest([true, (select bool_or(regexp_matches(text, '\\b(if|else|switch|case|for|while|do|try|catch|finally|throw|return|yield|await|async|def|lambda|match)\\b')) from documents), true]) runs""",
+    "review_stages": f"select unnest(['raw', 'confident', 'severe']) stage, unnest([count(*), count(*) filter (conf_pct >= 60), count(*) filter (severity in ('critical', 'high'))]) n from {F_}",
+    "cycle_nodes": """with recursive e as (select distinct o_custkey s, o_orderkey + o_custkey % 3 t from orders), k as (select * from e where t in (select s from e)),
+r(a, b) as (select s, t from k union select r.a, k.t from r join k on r.b = k.s) select distinct a as node from r where a = b""",
     "score_findings": f"select id, substr(sha256(file || ':' || start_line || ':' || category || ':' || title), 1, 16) finding_id, sev::bigint severity_score, conf::bigint confidence_score, evi::bigint evidence_score, 10::bigint blast_score, sec::bigint security_score, reg::bigint regression_score, total / 100 composite_score from {_SCORED}",
     "protected_top": f"""with s as (select *, {_LEVEL} lv from {_SCORED}), k as (select * from s where lv >= 2)
 select id, severity, total / 100 composite_score from k where severity = 'critical' union all
 select id, severity, total / 100 from (select *, row_number() over (order by total desc, lv desc, conf_pct desc, file, start_line, id) rn from k where severity <> 'critical') where rn <= greatest(0, 13000 - (select count(*) from k where severity = 'critical'))""",
     "summary_counts": " union all ".join(f"select '{c}' as by, {c} as value, n from ({_zero(c, F_, dom)})" for c, dom in (("severity", vocab.SEVERITIES), ("category", vocab.CATEGORIES), ("reviewer", (*vocab.REVIEWERS, "critic")))),
-    "nav_list": f"""with s as (select *, {_LEVEL} lv from {_SCORED} where file <= 5)
+    "nav_list": f"""with s as (select *, {_LEVEL} lv from {_SCORED})
 select severity, lv::bigint severity_level, 0::bigint detail, null::double composite_score, null::bigint id, count(*) n from s group by severity, lv
 union all select severity, lv, 1, total / 100, id, null from s""",
     "overlap_clusters": f"select file, cluster::bigint as cluster, count(*) members, min(id) first_id, max(end_line)::bigint end_line from {_ISLANDS} group by 1, 2",
@@ -159,12 +191,15 @@ select id, l cluster from lab where k = 60""",
     "decision_gate": f"""select id, final_disposition, final_disposition not in ('blocking', 'rejected') as downgraded, array_to_string(failed, ',') failed, (11 - len(failed))::bigint n_passed from {_GATED}""",
     "gate_summary": _zero("final_disposition", _GATED, vocab.DISPOSITIONS),
     "exit_code": f"select count(*) filter (final_disposition = 'blocking' and {_LEVEL} >= 4) n_blocking, (count(*) filter (final_disposition = 'blocking' and {_LEVEL} >= 4) > 0)::bigint exit_code from {_GATED}",
-    "hard_floor": f"""select id, case when conf_pct < 60 then 'confidence' when ne <= 0 then 'evidence' when length(trim(fix)) < 15 or starts_with(fix, 'todo:') then 'fix' when path = 'tests/a.py' then 'intent' when not direct then 'diff' when not vvalid then 'grounding' end dropped_by from {_FLOOR}""",
-    "patch_attribution": f"""select id, case when file % 10 = 0 then case when quantity % 2 = 0 then 'fixed_by_patch' else 'pre_existing' end
- when file % 10 = 1 then case when quantity % 5 in (1, 2) then 'worsened_by_patch' else 'unrelated_to_patch' end
- when file % 10 = 2 then case when quantity % 5 = 3 then 'introduced_by_patch' when quantity % 5 = 2 then 'worsened_by_patch' else 'pre_existing' end
- when quantity % 7 = 0 and file % 3 = 0 and quantity % 4 = 0 then 'fixed_by_patch' when file % 10 = 3 then 'introduced_by_patch'
- when direct or quantity % 10 = 9 then 'introduced_by_patch' when quantity % 4 = 0 then 'fixed_by_patch' when quantity % 5 = 1 then 'worsened_by_patch' else 'pre_existing' end attribution from {_GATE_IN}""",
+    "hard_floor": f"""select id, case when conf_pct < 60 then 'confidence' when ne <= 0 then 'evidence' when length(trim(fix)) < 15 or starts_with(fix, 'todo:') then 'fix' when path = 'tests/a.py' then 'intent' when not in_diff then 'diff' when not grounded then 'grounding' end dropped_by from {_FLOOR}""",
+    "patch_attribution": f"""select f.id, case when x.status = 'deleted' then case when removed then 'fixed_by_patch' else 'pre_existing' end
+ when (removed or quantity % 6 = 0) and m.file is not null and dm.id is not null then 'fixed_by_patch'
+ when a.file is null or hp.id is not null or eh.id is not null then 'introduced_by_patch' when dm.id is not null then 'fixed_by_patch' when causal_link is not null then 'worsened_by_patch' else 'pre_existing' end attribution
+ from (select *, contains(lower(title), 'fixed') or contains(lower(message), 'removed') or contains(lower(message), 'deleted') removed from {F_}) f join {_FILES} x on f.file = x.file left join (select distinct file from {_PLUS}) a on a.file = f.file left join (select distinct file from {_MINUS}) m on m.file = f.file
+ left join {_PRIMARY} hp on hp.id = f.id left join (select distinct id from {F_} g join {_MINUS} h on g.file = h.file and start_line <= r_end + 1 and end_line >= r_start - 1) dm on dm.id = f.id
+ left join {_EV} v on v.id = f.id left join {_EHIT} eh on eh.id = f.id and v.e_file = f.file""",
+    "finding_validation": f"select f.id, nv::bigint v_n_valid, ni::bigint v_n_invalid, strength v_strength, vvalid v_valid, direct v_direct, fab v_fabricated from {F_} f left join {_VALID} v using (id)",
+    "diff_relevance": f'select id, in_diff, grounded, last::bigint as "end" from {_RELEVANT}',
     "evidence_validation": f"""with i as (select doc_id, doc_id // 4 group_id, (n_chars % 97)::int s, path, {_NORM} norm, doc_id % 17 = 0 del, doc_id % 19 <> 0 ex, case when doc_id % 5 <> 0 then 80 end tot, doc_id % 3 = 0 told, doc_id % 2 = 0 chg, doc_id % 4 <> 2 added, doc_id % 8 = 0 hit from {_PATHS} join documents using (doc_id)),
 v as (select *, case when contains(path, '..') or starts_with(path, '/') then 'a' when {_PN["is_ignored"]} then 'b' when {_PN["is_binary"]} then 'c' when {_PN["is_generated"]} then 'd' when s < 1 then 'e' when not del and not ex then 'x' when ex and tot is not null and s > tot then 'y'
  when not del and not chg and not told then 'z' end r, case when del then 'base' when chg then case when not added or hit then 'direct' else 'indirect' end else 'supporting' end t from i),
@@ -173,7 +208,7 @@ select group_id, nv v_n_valid, ni v_n_invalid, (case when nv = 0 or not anc then
     "nearest_callers": f"select s, c, score::bigint score, rank from (select *, row_number() over (partition by s order by score, c) rank from {_CALLERS}) where rank <= 10",
     "blast_radius": """select s, n::bigint dependents, least(100, floor(10 + 90 * least(1.0::double, log2(n + 1) / 4) + 0.5))::bigint blast from (select s, sum(n) n from (
  select l_suppkey s, least(10, count(distinct o_custkey)) n from orders join lineitem on o_orderkey = l_orderkey group by 1 union all
- select l_suppkey, count(distinct l_partkey) from lineitem where l_linenumber = 1 and l_returnflag = 'R' group by 1) group by 1)""",
+ select l_suppkey, count(distinct l_partkey) from lineitem group by 1) group by 1)""",
     "reciprocal_edges": "with e as (select distinct l_suppkey s, o_custkey c from orders join lineitem on o_orderkey = l_orderkey) select 'c' || c src, 'calls' kind, count(*) n from e group by 1 union all select 's' || s, 'called_by', count(*) from e group by 1",
     "dependency_classes": """with i as (select lang src, case doc_id % 3 when 0 then '@org/' || source || '/x' when 1 then source || '/index.ts' else 'lib' || lang || '/a/b' end sp, case doc_id % 3 when 0 then '@org/' || source when 1 then source else 'lib' || lang end pk from documents),
 f as (select distinct source || '/index.ts' p from documents where doc_id % 2 = 0), w as (select distinct '@org/' || source n from documents where lang = 'fr')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,3 +48,26 @@ def fence(path: Column, content: Column) -> Column:
 def diagnostics_section(rows: Column) -> Column:
     """One line for each element of an array of struct<severity, file, line, source, message>."""
     return F.array_join(F.transform(rows, lambda d: F.concat(F.lit("- ["), F.upper(d["severity"]), F.lit("] "), d["file"], F.lit(":"), d["line"].cast("string"), F.lit(" ("), d["source"], F.lit("): "), d["message"])), "\n")
+
+
+#: Templates by name; a run's folder of templates goes first.
+BUILT_IN = {
+    "reviewer.structural.v1": "Review the structure of this change.\n{{rules}}\n{{diff}}",
+    "reviewer.semantic.v1": "Review the behaviour of this change.\n{{rules}}\n{{diff}}",
+    "reviewer.security.v1": "Review the security of this change.\n{{rules}}\n{{diff}}",
+    "critic.v1": "Keep only findings that hold.\n{{findings}}\n{{diff}}",
+}
+_LOADED: dict[tuple[str, str | None], str] = {}
+
+
+def load(name: str, folder: str | None = None) -> str:
+    """A template: remembered, or from a file of the folder, or built in."""
+    if (name, folder) not in _LOADED:
+        path = Path(folder, f"{name}.md") if folder else None
+        if path and path.is_file():
+            _LOADED[name, folder] = path.read_text()
+        elif name in BUILT_IN:
+            _LOADED[name, folder] = BUILT_IN[name]
+        else:
+            raise KeyError(f"no template {name!r}")
+    return _LOADED[name, folder]

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from . import bind
 from .functions import scoring, text, vocab
-from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, selection, snapshot
+from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, reference, relevance, selection, snapshot
 from .oracles import ORACLES
-from .plans import review
+from .plans import review, stages
 from .sinks import report
+from .sources import repository
 from .sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,19 +117,32 @@ def production_files(spark: SparkSession, d: str) -> DataFrame:
     return got.select("path", F.array_join(text.production_candidates(F.col("path")), ",").alias("candidates"))
 
 
+def _patch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changed files, hunks by their findings' paths, and files with their lines."""
+    hunks = bind.patch_hunks(spark, d).withColumn("path", F.regexp_replace("path", "^pkg/", ""))
+    files = bind.files(spark, d)
+    return files.select("path", "status"), hunks, files.where("status <> 'deleted'").select("path", "total_lines")
+
+
+def _items(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    """Evidence items (id, …) after validation against files and patch; an item goes by its finding's id."""
+    changed, hunks, files = _patch(spark, d)
+    items = bind.evidence(df).withColumn("item", F.col("id"))
+    return evidence.validate_items(relevance.evidence_flags(items, files, changed, hunks))
+
+
 def _validated(spark: SparkSession, d: str) -> DataFrame:
-    """Findings with the validation columns of the gate, by rules over the binding."""
-    df = bind.with_evidence(bind.findings(spark, d))
-    hits = hunk_overlap(spark, d).select("id", F.lit(True).alias("v_direct"))
-    df = df.join(hits, "id", "left")
+    """Findings with the validation columns of the gate, by joins with files and patch; what a model would say is bound by rules."""
+    found = bind.findings(spark, d)
+    changed, hunks, files = _patch(spark, d)
+    placed = bind.placed(found).select("id", "path", "start", "end")
+    anchors = relevance.grounded(placed, files).select("id", F.col("grounded").alias("anchor_valid"))
+    primary = relevance._hits(placed.withColumnRenamed("path", "target"), hunks.where("side = '+'"), 1).withColumn("primary_in_diff", F.lit(True))
+    items = _items(spark, d, found).join(anchors, "id").join(primary, "id", "left").withColumn("primary_in_diff", F.coalesce("primary_in_diff", F.lit(False)))
+    judged = evidence.validate_findings(items, ["id"])
+    df = bind.with_evidence(found).join(judged, "id", "left")
     return df.withColumns(
         {
-            "v_direct": F.coalesce("v_direct", F.lit(False)),
-            "v_valid": F.col("quantity") % 5 != 0,
-            "v_n_valid": F.col("n_evidence"),
-            "v_n_invalid": F.when(F.col("quantity") % 5 == 0, 1).otherwise(0),
-            "v_strength": F.col("quantity"),
-            "v_fabricated": F.col("quantity") % 25 == 0,
             "failure_mechanism": F.when(F.col("quantity") % 3 == 0, F.concat(F.lit("unknown "), F.col("message"))).otherwise(F.col("message")),
             "impact": F.col("message"),
             "trigger": F.when(F.col("quantity") % 4 == 0, F.lit("edge case: x")).otherwise(F.concat(F.lit("when "), F.col("title"))),
@@ -140,6 +154,18 @@ def _validated(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def finding_validation(spark: SparkSession, d: str) -> DataFrame:
+    names = ("v_n_valid", "v_n_invalid", "v_strength", "v_valid", "v_direct", "v_fabricated")
+    return _long(_validated(spark, d).select("id", *names), "v_n_valid", "v_n_invalid", "v_strength")
+
+
+def diff_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether findings are near hunks, files being met by path or base name, and inside their files."""
+    found = bind.findings(spark, d)
+    near = relevance.in_diff(bind.placed(found).select("id", "path", "start", "end"), bind.evidence(found), bind.patch_hunks(spark, d))
+    return _long(relevance.grounded(near, _patch(spark, d)[2]).select("id", "in_diff", "grounded", "end"), "end")
+
+
 def decision_gate(spark: SparkSession, d: str) -> DataFrame:
     got = gate.gated(_validated(spark, d))
     return got.select("id", "final_disposition", "downgraded", F.array_join("failed_checks", ",").alias("failed"), F.size("passed_checks").cast("long").alias("n_passed"))
@@ -155,18 +181,18 @@ def exit_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_floor(spark: SparkSession, d: str) -> DataFrame:
-    df = _validated(spark, d).withColumns({"suggested_fix": F.when(F.col("quantity") % 7 == 0, F.concat(F.lit("todo: "), F.col("title"))).otherwise(F.concat(F.lit("replace "), F.col("title"))), "path": F.when(F.col("part") % 9 == 0, F.lit("tests/a.py")).otherwise(F.lit("src/a.py")), "in_diff": F.col("v_direct"), "grounded": F.col("v_valid")})
+    fix = F.when(F.col("quantity") % 7 == 0, F.concat(F.lit("todo: "), F.col("title"))).otherwise(F.concat(F.lit("replace "), F.col("title")))
+    path = F.when(F.col("part") % 9 == 0, F.lit("tests/a.py")).otherwise(F.lit("src/a.py"))
+    df = bind.with_evidence(bind.findings(spark, d)).withColumns({"suggested_fix": fix, "path": path}).join(diff_relevance(spark, d).select("id", "in_diff", "grounded"), "id")
     return gate.floor(df, 0.6).select("id", "dropped_by")
 
 
 def patch_attribution(spark: SparkSession, d: str) -> DataFrame:
-    df = _validated(spark, d)
-    q = F.col("quantity")
-    flags = {
-        "file_deleted": F.col("file") % 10 == 0, "file_changed": F.col("file") % 10 != 1, "in_diff_file": F.col("file") % 10 != 2, "removed_claim": q % 2 == 0, "fix_claim": q % 7 == 0, "has_added": F.col("file") % 10 != 3,
-        "has_deleted": F.col("file") % 3 == 0, "hits_added": F.col("v_direct"), "evidence_hits_added": q % 10 == 9, "hits_deleted": q % 4 == 0, "causal": q % 5 == 1, "supporting": q % 5 == 2, "direct_tier": q % 5 == 3,
-    }
-    return gate.attributed(df.withColumns(flags)).select("id", "attribution")
+    found = bind.findings(spark, d)
+    changed, hunks, _ = _patch(spark, d)
+    stated = F.when(F.col("quantity") % 6 == 0, F.lit("fixed_by_patch"))
+    df = bind.placed(found).withColumn("introduced_by_patch", stated).select("id", "path", "start", "end", "title", "message", "introduced_by_patch")
+    return gate.attributed(relevance.patch_flags(df, _items(spark, d, found), changed, hunks)).select("id", "attribution")
 
 
 def evidence_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -326,14 +352,76 @@ def quiet_report(spark: SparkSession, d: str) -> DataFrame:
     return report.quiet_lines(bind.findings(spark, d))
 
 
+def token_usage(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    calls = ev.select("event_type", F.octet_length("props").alias("prompt_tokens"), F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("completion_tokens"))
+    return stages.token_usage(calls.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")), ["event_type"])
+
+
+def retry_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as tries of one request, whose results go by the event's number."""
+    status = F.element_at(F.array(*[F.lit(x) for x in (503, 429, 500, None, 200, 401, 404)]), (F.col("event_id") % 7 + 1).cast("int"))
+    got = stages.replay_retries(table(spark, d, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("seq"), status.alias("status")))
+    return _long(got, "attempts")
+
+
+def file_languages(spark: SparkSession, d: str) -> DataFrame:
+    return stages.languages(bind.paths(spark, d))
+
+
+def folder_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sized = bind.paths(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("length")), "doc_id")
+    return _long(repository.folder_bytes(sized, "src"), "bytes")
+
+
+def point_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Every third document's path as it is, its neighbour's, and a path that leads outside."""
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    other = F.concat_ws("/", "source", (F.col("doc_id") + 1).cast("string"))
+    wanted = docs.where("doc_id % 3 = 0").select(F.explode(F.array(path, other, F.concat(F.lit("../"), path))).alias("path")).distinct()
+    return repository.read_files(docs.select(path.alias("path"), F.col("text").alias("content")), wanted).select("path", F.md5("content").alias("content_md5"))
+
+
+def known_refs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    names = docs.select(F.col("source").alias("name")).union(docs.select("lang")).where("name is not null").distinct()
+    return repository.ref_exists(docs.where("doc_id % 2 = 0").select(F.col("source").alias("name"), F.md5("text").alias("oid")), names)
+
+
+def workspace_list(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    manifests = docs.select(F.concat(F.when(F.col("doc_id") % 2 == 0, "packages/").otherwise("apps/x/"), "source", F.lit("/package.json")).alias("path"))
+    return repository.snapshot_workspaces(manifests, ["packages/*", "!packages/src1*"])
+
+
+def reviewer_schedule(spark: SparkSession, d: str) -> DataFrame:
+    paths, docs = bind.paths(spark, d), table(spark, d, "documents")
+    lines = docs.select(F.lit("+").alias("side"), F.explode(F.split("text", "\n")).alias("content"))
+    none = spark.createDataFrame([], "path string, kind string, name string, start_line int, end_line int")
+    return stages.scheduled(paths, docs.select(F.col("text").alias("diff")), spark.createDataFrame([], "path string, r_start int, r_end int"), none, lines)
+
+
+def review_stages(spark: SparkSession, d: str) -> DataFrame:
+    found = bind.findings(spark, d)
+    return stages.stage_counts({"raw": found, "confident": found.where("conf_pct >= 60"), "severe": found.where(F.col("severity").isin("critical", "high"))})
+
+
+def reference_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between paths by the names of tests, with their mirrors."""
+    files = bind.paths(spark, d).select("path").distinct()
+    got = reference.test_edges(files, spark.createDataFrame([], "path string, resolved string"))
+    return graph.reciprocal(got)
+
+
 def review_plan(spark: SparkSession, d: str) -> DataFrame:
     return review.adjudicate(spark, d)
 
 
 _OWN = (
     score_findings, protected_top, summary_counts, nav_list, overlap_clusters, merge_clusters, consolidate, innermost_symbol, hunk_overlap, coalesce_lines, normalize_titles, redact_texts, token_estimates, path_classes, hash_keys,
-    production_files, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
-    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, review_plan,
+    production_files, finding_validation, diff_relevance, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
+    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, review_stages, reference_graph, review_plan,
 )
 
 

@@ -60,3 +60,45 @@ def read_memo(spark, path: str, commit: str, config: str) -> DataFrame | None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return spark.read.parquet(at) if fs.exists(hadoop) else None
+
+
+def evaluation_report(scorecard: DataFrame) -> DataFrame:
+    """(value): a scorecard of one row as a Markdown table."""
+    rows = F.array(*[F.concat(F.lit(f"| {c.replace('_', ' ')} | "), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit(" |")) for c in scorecard.columns])
+    return scorecard.select(F.concat(F.lit("# Evaluation\n\n| Measure | Value |\n|-|-|\n"), F.array_join(rows, "\n")).alias("value"))
+
+
+def write_evaluation(scorecard: DataFrame, per_fixture: DataFrame, path: str) -> None:
+    """The Markdown report, and the raw results of each fixture as JSON lines."""
+    evaluation_report(scorecard).write.mode("overwrite").text(f"{path}/report")
+    json_lines(per_fixture).write.mode("overwrite").text(f"{path}/raw")
+
+
+# Columns for screens.
+
+
+def snippet(code: F.Column, first: F.Column, marked: F.Column) -> F.Column:
+    """Code with line numbers from ``first``; the marked line begins with >."""
+    numbered = lambda x, i: F.concat(F.when(first + i == marked, "> ").otherwise("  "), F.lpad((first + i).cast("string"), 5, " "), F.lit(" | "), x)
+    return F.array_join(F.transform(F.split(code, "\n"), numbered), "\n")
+
+
+#: Colours of a terminal by the kind of a diff's line; fixed values.
+DIFF_COLORS = {"+": "\x1b[32m", "-": "\x1b[31m", "@": "\x1b[36m"}
+_RESET = "\x1b[0m"
+
+
+def colored_diff(diff: F.Column) -> F.Column:
+    def one(x):
+        out = x
+        for mark, color in DIFF_COLORS.items():
+            out = F.when(x.startswith(mark), F.concat(F.lit(color), x, F.lit(_RESET))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.split(diff, "\n"), one), "\n")
+
+
+def patch_preview(old: F.Column, new: F.Column) -> F.Column:
+    """A replacement as removed and added lines."""
+    each = lambda mark, c: F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.concat(F.lit(mark + " "), x))
+    return F.array_join(F.concat(each("-", old), each("+", new)), "\n")

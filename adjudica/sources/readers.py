@@ -50,15 +50,17 @@ def ignore_patterns(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, regex string, negated boolean")
 
 
-def not_ignored(files: DataFrame, patterns: DataFrame, bound: int = 10_000) -> DataFrame:
-    """files (path) whose last matching pattern, if any, is a negation. Patterns are a run's parameter: they become one
-    expression, after a check of their number."""
-    rows = patterns.orderBy("ordinal").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"over {bound} ignore patterns")
-    verdict = F.lit(True)
-    for r in rows:
-        verdict = F.when(F.col("path").rlike(r["regex"]), F.lit(r["negated"])).otherwise(verdict)
+def not_ignored(files: DataFrame, patterns: DataFrame, bound: int = 200) -> DataFrame:
+    """files (path) whose last matching pattern, if any, is a negation. Patterns are a run's parameter: up to ``bound`` of
+    them become nested conditions, more one fold over an array."""
+    rows = patterns.orderBy("ordinal").select("regex", "negated").collect()
+    if len(rows) <= bound:
+        verdict = F.lit(True)
+        for r in rows:
+            verdict = F.when(F.col("path").rlike(r["regex"]), F.lit(r["negated"])).otherwise(verdict)
+    else:
+        each = F.array(*[F.struct(F.lit(r["regex"]).alias("regex"), F.lit(r["negated"]).alias("negated")) for r in rows])
+        verdict = F.aggregate(each, F.lit(True), lambda ok, p: F.when(F.rlike("path", p["regex"]), p["negated"]).otherwise(ok))
     return files.where(verdict)
 
 

