@@ -19,8 +19,9 @@ Blocks are joined in page order. Pages are parsed once; what is parsed is stored
 by node and text, never by host alone, and texts packed, by page.
 
 Defined results: null or empty html has the empty text, as has a page without content blocks. A null url is a host of
-its own. A host's only page keeps its unnamed blocks. Repeated rows are counted and extracted each. An empty table gives
-no rows.
+its own. A host's only page keeps its unnamed blocks. Repeated rows are counted and extracted each, those with a null
+page_id too; equal importance at the threshold stays. Extra columns aren't read. A tag without an end is text. Pages are
+read in time linear in their length and held whole, one at a time, in a worker. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import batches, store
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!\[CDATA\[.*?\]\]>|[!?][^>]*>)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_PART = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?""")
+_BARE = re.compile(r"[^\s>]*")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -69,18 +72,59 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _role(name: str, attributes: str, outer: str) -> str:
+class _Source:
+    """A page's text with searches that never look twice for what isn't there, so that any page is read in linear time."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._none: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self._none.get(what, len(self.text) + 1):
+            return -1
+        got = self.text.find(what, at)
+        if got < 0:
+            self._none[what] = at
+        return got
+
+    def tag(self, at: int) -> tuple[str, bool, dict[str, str], bool, int] | None:
+        """(name, closes, attributes, empty, end) of the tag whose < is at ``at``. Quotes count only around a value; one that is
+        never closed is part of the value. None if this is no tag, or one without an end."""
+        m = _NAME.match(self.text, at + 1)
+        if not m or self.find(">", at) < 0:
+            return None
+        closes, i, found = m[0][0] == "/", m.end(), {}
+        if self.text[i] == ">":
+            return m[1].lower(), closes, found, False, i + 1
+        while True:
+            end = self.find(">", i)
+            if end < 0:
+                return None
+            part = _PART.match(self.text, i)
+            if not part or part.start(1) > end:
+                return m[1].lower(), closes, found, self.text[end - 1] == "/", end + 1
+            i, value = part.end(), ""
+            if part[2]:
+                quote = self.text[i : i + 1]
+                shut = self.find(quote, i + 1) if quote in ("'", '"') and quote else -1
+                if shut >= 0:
+                    value, i = self.text[i + 1 : shut], shut + 1
+                else:
+                    bare = _BARE.match(self.text, i)
+                    value, i = bare[0], bare.end()
+            found.setdefault(part[1].lower(), value)
+
+
+def _role(name: str, attributes: dict[str, str], outer: str) -> str:
     """'n' noise, 'c' content, 'h' hidden or '' for an element, which then has the role around it; headers and footers of an
     article are its own. A word counts where it is a class or id by itself, or all words of a compound are noise; a compound
     ends in what it is (main-content), but with both kinds of words (entry-header, has-sidebar) it states nothing."""
     noise = content = False
     if attributes and name not in ("html", "body"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            if m[1].lower() == "hidden":
-                if m[0].strip().lower() == "hidden":
-                    return "h"
-                continue
-            for token in (m[2] or m[3] or m[4] or "").lower().split():
+        if ("hidden" in attributes and attributes["hidden"].lower() != "until-found") or _HIDDEN.search(attributes.get("style", "")):
+            return "h"
+        for key in ("class", "id", "role"):
+            for token in attributes.get(key, "").lower().split():
                 words = _WORDS.findall(token)
                 bad = sum(w in NOISE_WORDS for w in words)
                 noise |= 0 < bad == len(words)
@@ -94,71 +138,108 @@ def _role(name: str, attributes: str, outer: str) -> str:
     return "c" if content and outer != "c" else ""
 
 
-def blocks(source: str) -> list[tuple[str, str, str]]:
-    """(style path, role, text) of each block of a page in order; role is c, n or empty."""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = [("", "", "")]  # name, path, role
+_STOPS = frozenset("ul ol dl table tbody div article section select menu".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+
+
+def blocks(page: str) -> list[tuple[tuple[int, str], str, str]]:
+    """((style node, element name), role, text) of each block of a page in order; role is c, n or empty. A style node is a hash
+    of the names and classes from the root, made from its parent's. Text of inline elements that are noise or hidden is left
+    out of the block around them."""
+    source = _Source(page)
+    out: list[tuple[tuple[int, str], str, str]] = []
+    # name, style node, its element's name, role, and the role of the block that the text here belongs to
+    stack: list[tuple[str, int, str, str, str]] = [("", 0, "", "", "")]
+    open_: dict[str, int] = {}
     words: list[str] = []
-    at, end = 0, len(source)
+    at, end = 0, len(page)
 
     def flush() -> None:
         if words:
             text = _SPACE.sub(" ", _html.unescape("".join(words))).strip()
             words.clear()
             if text:
-                out.append((stack[-1][1], "n" if stack[-1][2] == "h" else stack[-1][2].replace("u", ""), text))
+                _, node, name, _, role = stack[-1]
+                out.append(((node, name), "n" if role == "h" else role.replace("u", ""), text))
+
+    def say(text: str) -> None:
+        role, around = stack[-1][3:]
+        if role not in ("n", "h") or role == around:
+            words.append(text)
+
+    def pop(k: int) -> None:
+        for name, *_ in stack[k:]:
+            open_[name] -= 1
+        del stack[k:]
 
     def close(name: str, stop: frozenset[str] | set[str] = frozenset()) -> None:
+        if not open_.get(name):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == name:
-                if name in BLOCK:
+                if any(x[0] in BLOCK or x[4] != stack[k - 1][4] for x in stack[k:]):
                     flush()
-                del stack[k:]
+                pop(k)
                 return
             if stack[k][0] in stop:
                 return
 
     while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
-            words.append(source[at:])
+        start = source.find("<", at)
+        if start != at:
+            say(page[at : start if start >= 0 else end])
+        if start < 0:
             break
-        if m.start() > at:
-            words.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        at = start
+        if page.startswith("<!--", at):
+            stop = source.find("-->", at + 2)
+            at = stop + 3 if stop >= 0 else end
             continue
-        name = m[2].lower()
-        if m[1]:
+        if page.startswith(("<!", "<?"), at):
+            mark = "]]>" if page.startswith("<![CDATA[", at) else ">"
+            stop = source.find(mark, at)
+            if stop >= 0:
+                at = stop + len(mark)
+                continue
+        tag = source.tag(at)
+        if tag is None:
+            say("<")
+            at += 1
+            continue
+        name, closes, attributes, empty, at = tag
+        if closes:
             close(name)
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = stop.end() if stop else end
+            stop = _RAW_END[name].search(page, at)
+            last = source.find(">", stop.end()) if stop else -1
+            at = last + 1 if last >= 0 else end
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P:
+            if name in CLOSES_P and open_.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        pop(k)
                         break
                     if stack[k][0] in BLOCK:
                         break
         for old in SELF_CLOSING.get(name, ()):
-            close(old, {"ul", "ol", "dl", "table", "tbody", "div", "article", "section", "select", "menu"} - {old})
+            close(old, _STOPS - {old})
         if name == "br":
-            words.append(" ")
-        if name in VOID or m[3].endswith("/"):
+            say(" ")
+        if name in VOID or empty:
             continue
-        _, path, role = stack[-1]
-        own = "" if role == "h" else _role(name, m[3], role)
-        style = ""
-        if m[3] and "class" in m[3]:
-            found = _ATTRIBUTE.search(m[3])
-            style = "." + (found[2] or found[3] or found[4] or "") if found and found[1].lower() == "class" else ""
-        # Inline elements don't make style nodes of their own: the block's text belongs to its block element.
-        stack.append((name, f"{path}/{name}{style}" if name in BLOCK else path, own or role))
+        _, node, label, role, around = stack[-1]
+        own = "" if role == "h" else _role(name, attributes, role)
+        if name in BLOCK:
+            # Inline elements don't make style nodes of their own: the block's text belongs to its block element.
+            node, label, around = _hash(f"{node} {name}.{attributes.get('class', '')}"), name, own or role
+        elif own == "c" and role == "n":  # content inside noise is a block of its own
+            flush()
+            around = own
+        stack.append((name, node, label, own or role, around))
+        open_[name] = open_.get(name, 0) + 1
     flush()
     return out
 
@@ -181,14 +262,14 @@ def parsed(pages: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(9)]
             for page, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 found = blocks(source or "")
-                names = [p.rpartition("/")[2] for p, _, _ in found]
+                names = [label for (_, label), _, _ in found]
                 host = host_of(url)
                 keep = [k for k, (_, r, _) in enumerate(found) if r != "n"]
-                seen: set[tuple[str, str]] = set()
+                seen: set[tuple] = set()
                 firsts = [(key := (found[k][0], found[k][2])) not in seen and not seen.add(key) for k in keep]
                 values = (
                     row, page, url, zlib.compress("\n".join(found[k][2] for k in keep).encode(), 1), "".join(found[k][1] or "u" for k in keep),
-                    [_hash(f"{host} {found[k][0]}") for k in keep],
+                    [_hash(f"{host} {found[k][0][0]}") for k in keep],
                     [_hash(" ".join(names[max(0, k - 1) : k + 2])) for k in keep],
                     [_hash(found[k][2]) for k in keep], firsts,
                 )
