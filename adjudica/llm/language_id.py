@@ -1,8 +1,8 @@
 """Operator 1, language identification.
 
 An interpolated Kneser-Ney character model per language. Fitting runs on a bounded sample of labelled rows
-(``sample_rows`` per language at most in expectation, each of at most ``sample_chars`` characters); scoring covers
-every whole text. The models are kept as sorted hash arrays: for each order, the sorted 64-bit hashes of the n-grams
+(``sample_rows`` per language and ``sample_total`` in all, in expectation, each row of its first ``sample_chars``
+characters); scoring covers every whole text. The models are kept as sorted hash arrays: for each order, the sorted 64-bit hashes of the n-grams
 that any language has seen, and a row of log probabilities (one column for each language) for each. Log probabilities
 are interpolated at fitting time, so that scoring looks up the longest known n-gram and adds the back-off weights of
 its longer contexts.
@@ -11,7 +11,9 @@ The language with the lowest cross-entropy per character wins. A document is rej
 if that cross-entropy is above a limit calibrated on sample rows that the counts didn't use.
 
 Defined results: null text or text without letters gives ``und``, score 0, rejected. Equal cross-entropies go to the
-language that sorts first. With no labelled row to learn from, every text gives ``und``. An empty table gives no rows.
+language that sorts first. With no labelled row to learn from, every text gives ``und``. Rows with a null id and repeated
+rows are judged like any other. A very long text is scored in pieces that give what the
+whole gives. Extra columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from .common import batches
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Characters scored at once in a worker. Longer texts are scored in pieces of this length.
+#: Characters scored at once in a worker. Longer texts are scored in pieces, each after the last characters of the one before.
 PIECE = 400_000
-#: Languages that a model may have; more fail the call.
-LANGUAGES = 2_000
+#: Languages whose models share one table of n-grams.
+GROUP = 64
 #: Code points that separate texts in a buffer; no letter maps to it.
 EDGE = 0
 SPACE = 32
@@ -68,18 +70,28 @@ def gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as letters and single spaces, each after ORDER - 1 edges; and the number of the text at each position."""
+def buffer(texts: list[str], heads: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as letters and single spaces, each after ORDER - 1 edges, or after the characters (heads) that it goes on
+    from; the number of the text at each position, and whether the position is the text's own."""
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     chars = letters()[raw]
     of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     space = chars == SPACE
     keep = ~space
     keep[1:] |= ~space[:-1] & (of[1:] == of[:-1])
+    before = np.full((len(texts), ORDER - 1), EDGE, np.uint32)
+    if heads is not None:
+        first = np.searchsorted(of, np.arange(len(texts)))
+        for i, head in enumerate(heads):
+            if head is not None:
+                before[i] = head
+                if texts[i] and head[-1] not in (EDGE, SPACE):
+                    keep[first[i]] = True
     chars, of = chars[keep], of[keep]
     starts = np.searchsorted(of, np.arange(len(texts)))
     at = np.repeat(starts, ORDER - 1)
-    return np.insert(chars, at, EDGE), np.insert(of, at, np.repeat(np.arange(len(texts)), ORDER - 1))
+    own = np.insert(np.ones(len(chars), bool), at, False)
+    return np.insert(chars, at, before.reshape(-1)), np.insert(of, at, np.repeat(np.arange(len(texts)), ORDER - 1)), own
 
 
 class Model:
@@ -88,7 +100,6 @@ class Model:
     def __init__(self, langs: list[str]):
         self.langs, self.keys, self.logp, self.ctx, self.back = langs, {}, {}, {}, {}
         self.unseen = np.zeros(len(langs), np.float32)
-        self.sharpness, self.limit = 1.0, math.inf
         self._radix: dict = {}
 
     def __getstate__(self) -> dict:
@@ -128,30 +139,35 @@ class Model:
         def flush() -> None:
             nonlocal pieces, owner, room
             if pieces:
-                got, n, letter = self._score(pieces)
-                np.add.at(total, owner, got)
-                np.add.at(size, owner, letter)
-                counts = np.zeros(len(texts), np.int64)
-                np.add.at(counts, owner, n)
-                chars[:] += counts
+                got, n, letter, _ = self._score(pieces)
+                total[owner] += got
+                size[owner] += letter
+                chars[owner] += n
             pieces, owner, room = [], [], 0
 
         chars = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            for a in range(0, len(t), PIECE):
-                part = t[a : a + PIECE]
-                if room + len(part) > PIECE:
-                    flush()
-                pieces.append(part)
-                owner.append(i)
-                room += len(part)
+            if len(t) > PIECE:
+                head = None
+                for a in range(0, len(t), PIECE):
+                    got, n, letter, last = self._score([t[a : a + PIECE]], [head])
+                    total[i] += got[0]
+                    size[i] += letter[0]
+                    chars[i] += n[0]
+                    head = last
+                continue
+            if room + len(t) > PIECE:
+                flush()
+            pieces.append(t)
+            owner.append(i)
+            room += len(t)
         flush()
         return total / np.maximum(chars, 1)[:, None], size
 
-    def _score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        chars, of = buffer(texts)
+    def _score(self, texts: list[str], heads: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of log probabilities, numbers of characters and of letters of each text, and the last ORDER - 1 characters."""
+        chars, of, real = buffer(texts, heads)
         k = len(self.langs)
-        real = chars != EDGE
         rows = np.zeros((len(chars), k), np.float32)
         left = np.flatnonzero(real)
         for n in range(ORDER, 0, -1):
@@ -177,7 +193,7 @@ class Model:
             sums[full] = np.add.reduceat(rows, starts[full], axis=0, dtype=np.float64)
         n = np.bincount(of[real], minlength=len(texts))
         letter = np.bincount(of[real & (chars != SPACE)], minlength=len(texts))
-        return sums, n, letter
+        return sums, n, letter, chars[len(chars) - ORDER + 1 :]
 
     @staticmethod
     def _gather(chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -186,6 +202,18 @@ class Model:
             h = _mix((h + chars[at - back].astype(np.uint64)) * _STEP)
         return h
 
+
+class Ensemble:
+    """The models of all languages, GROUP of them to a table; sharpness and limit hold for all together."""
+
+    def __init__(self, models: list[Model]):
+        self.models, self.langs = models, [x for m in models for x in m.langs]
+        self.sharpness, self.limit = 1.0, math.inf
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [m.entropies(texts) for m in self.models]
+        return np.concatenate([p[0] for p in parts], axis=1), parts[0][1]
+
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy in nats a character, whether rejected."""
         if not self.langs:
@@ -211,26 +239,34 @@ class Model:
 MIN_SLACK, SLACK = 0.02, 1.5
 
 
-def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Model:
-    """rows: (a number, text, language). A fifth of them, by that number, calibrates; the rest is counted."""
+def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Ensemble:
+    """rows: (a number, text, language). A fifth of them, by that number, calibrates; the rest is counted, as are all rows of
+    a language that would have none left."""
     langs = sorted({r[2] for r in rows})
-    model = Model(langs)
     if not langs:
-        return model
-    counted = [r for r in rows if r[0] % 5] or rows
+        return Ensemble([])
+    told = {r[2] for r in rows if r[0] % 5}
+    counted = [r for r in rows if r[0] % 5 or r[2] not in told]
     held = [r for r in rows if not r[0] % 5] or rows
+    alphabet = len({c for _, t, _ in counted for c in np.unique(buffer([t])[0]).tolist()} - {EDGE}) + 1
+    model = Ensemble([_fit(langs[i : i + GROUP], counted, alphabet, order) for i in range(0, len(langs), GROUP)])
+    _calibrate(model, held)
+    return model
+
+
+def _fit(langs: list[str], counted: list[tuple[int, str, str]], alphabet: int, order: int) -> Model:
+    model = Model(langs)
     grams: dict[str, dict[int, tuple]] = {}
     for lang in langs:
-        chars, _ = buffer([t for _, t, x in counted if x == lang] or [""])
+        chars, _, own = buffer([t for _, t, x in counted if x == lang] or [""])
         grams[lang] = {}
-        real = np.flatnonzero(chars != EDGE)
+        real = np.flatnonzero(own)
         for n in range(1, order + 1):
             h = Model._gather(chars, real, n)
             low = Model._gather(chars, real, n - 1) if n > 1 else np.zeros(len(real), np.uint64)  # the last n - 1 characters
             ctx = Model._gather(chars, real - 1, n - 1) if n > 1 else np.zeros(len(real), np.uint64)
             keys, first, c = np.unique(h, return_index=True, return_counts=True)
             grams[lang][n] = keys, c, low[first], ctx[first]
-    alphabet = len(set().union(*(g[1][0].tolist() for g in grams.values()))) + 1
     model.unseen[:] = math.log(1 / (alphabet * 20))
     union = {n: np.unique(np.concatenate([grams[x][n][0] for x in langs])) for n in range(1, order + 1)}
     parts = {n: {} for n in union}
@@ -279,6 +315,12 @@ def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Model:
                 model.back[n - 1][known, j] = np.log(gamma[seen[known]])
             model.logp[n][:, j] = np.log(np.maximum(p, 1e-12))
             below = p
+    return model
+
+
+def _calibrate(model: Ensemble, held: list[tuple[int, str, str]]) -> None:
+    """Sets the scores' sharpness and the limit of rejection by rows that weren't counted."""
+    langs = model.langs
     logp, size = model.entropies([t for _, t, _ in held])
     truth = np.array([langs.index(x) for _, _, x in held])
     use = size > 0
@@ -292,17 +334,20 @@ def fit(rows: list[tuple[int, str, str]], order: int = ORDER) -> Model:
             others[np.arange(use.sum()), truth[use]] = -np.inf
             slack = min(max((float(np.quantile(-others.max(1), 0.01)) - known) / 2, MIN_SLACK), SLACK)
         model.limit = known + slack
-    return model
 
 
-def sampled(docs: DataFrame, allowed: F.Column, sample_rows: int, sample_chars: int) -> list[tuple[int, str, str]]:
-    """A bounded sample of labelled rows: of each language, a share of rows by the hash of the id that gives sample_rows in expectation."""
+#: Rows of each language that are learned from in expectation, however many languages there are.
+LEAST_ROWS = 16
+
+
+def sampled(docs: DataFrame, allowed: F.Column, sample_rows: int, sample_chars: int, sample_total: int) -> list[tuple[int, str, str]]:
+    """A bounded sample of labelled rows: of each language, a share of rows by the hash of the id that gives sample_rows in
+    expectation, or fewer where all languages together would have over sample_total."""
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # the languages that a result may name
     if not counts:
         return []
+    sample_rows = min(sample_rows, max(LEAST_ROWS, sample_total // len(counts)))
     shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["n"]))]
     share = F.element_at(F.create_map(*shares), F.col("lang"))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003))
@@ -316,11 +361,12 @@ def identify(
     allowed: F.Column | None = None,
     sample_rows: int = 400,
     sample_chars: int = 20_000,
+    sample_total: int = 8_000,
     keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """keep's columns of docs with lang_pred, score, cross_entropy and rejected. Learns from rows where allowed holds."""
     learn = docs.select("doc_id", "text", "lang")
-    model = spark.sparkContext.broadcast(fit(sampled(learn, F.lit(True) if allowed is None else allowed, sample_rows, sample_chars)))
+    model = spark.sparkContext.broadcast(fit(sampled(learn, F.lit(True) if allowed is None else allowed, sample_rows, sample_chars, sample_total)))
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(*f) for f in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType()))])
     extra = [c for c in keep if c != "text"]
 

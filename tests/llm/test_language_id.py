@@ -18,12 +18,12 @@ def test_held_out_accuracy(spark):
 
 def test_probabilities_of_a_context_sum_to_one():
     text = "the cat sat on the mat and the dog ran to the cat " * 3
-    m = L.fit([(i, text[i:], "en") for i in range(1, 4)])
+    (m,) = L.fit([(i, text[i:], "en") for i in range(1, 4)]).models
     letters = sorted(set(text) | {"z"})
     for ctx in ("the", "cat", "zzz"):
         total = 0.0
         for c in letters[:-1]:
-            chars, _ = L.buffer([ctx + c])
+            chars, _, _ = L.buffer([ctx + c])
             at = np.array([len(chars) - 1])
             lp = 0.0
             for n in range(L.ORDER, 0, -1):
@@ -45,11 +45,23 @@ def test_edges():
     assert L.fit([]).judge(["x"])[0] == ["und"]
 
 
-def test_pieces_do_not_change_much(monkeypatch):
-    m = L.fit([(i, "hello the world and all its people " * 20, "en") for i in range(5)])
-    whole = m.judge(["the people of the world " * 50])[2][0]
-    monkeypatch.setattr(L, "PIECE", 100)
-    assert abs(m.judge(["the people of the world " * 50])[2][0] - whole) < 0.15
+def test_pieces_give_what_the_whole_gives(monkeypatch):
+    m = L.fit([(i, "hello the world and all its people " * 20, "en") for i in range(5)] + [(i, "bonjour le monde et tous les gens " * 20, "fr") for i in range(5)])
+    text = "the people  of the, world --   et tous " * 60 + " " * 500 + "fin x"
+    whole, letters = m.entropies([text, "x", ""])
+    for piece in (1, 2, 3, 7, 100, 499):
+        monkeypatch.setattr(L, "PIECE", piece)
+        got, n = m.entropies([text, "x", ""])
+        assert np.allclose(got, whole, rtol=1e-6) and (n == letters).all()
+
+
+def test_groups_of_languages_give_one_model_s_numbers(monkeypatch):
+    rows = [(i, f"{w} " * 30, w) for w in ("aba", "bcb", "cdc", "ded", "efe") for i in range(5)]
+    whole = L.fit(rows).entropies(["aba bcb zz", "efe"])[0]
+    monkeypatch.setattr(L, "GROUP", 2)
+    m = L.fit(rows)
+    assert len(m.models) == 3 and m.judge(["bcb bcb", "efe"])[0] == ["bcb", "efe"]
+    assert np.allclose(m.entropies(["aba bcb zz", "efe"])[0], whole, rtol=1e-5)
 
 
 def test_unlearned_languages_are_rejected(spark):
@@ -68,5 +80,11 @@ def test_unlearned_languages_are_rejected(spark):
 
 def test_long_texts_are_learned_from_in_part(spark):
     docs = spark.createDataFrame([(i, "abc " * 1000, "xx") for i in range(20)], "doc_id long, text string, lang string")
-    got = L.sampled(docs, F.lit(True), 400, 100)
+    got = L.sampled(docs, F.lit(True), 400, 100, 8000)
     assert len(got) == 20 and {len(t) for _, t, _ in got} == {100}
+
+
+def test_a_language_of_long_rows_only_is_learned(spark):
+    docs = spark.createDataFrame([(1, "le monde est grand et les gens aussi " * 1000, "fr"), (2, "the world is large and so are the people", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.identify(spark, docs).collect()}
+    assert got == {1: "fr", 2: "en"}
