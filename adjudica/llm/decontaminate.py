@@ -12,7 +12,9 @@ the passes count and post all terms, and joins select.
 
 Defined results: null text has no words and no hits. An item without words has no window. Items with a null id take part
 in hits but aren't listed. Equal windows of several items are searched once and count for each. Repeated documents are
-judged each on their own. Without benchmark rows nothing is hit; an empty corpus gives no rows.
+judged each on their own, also where they share an id, which may be null. Terms of equal number go by hash, then offset.
+A window with more than one place near in a document counts once in n_near, also if it is exact elsewhere. Extra columns
+aren't read. A very long text is one row of the index. Without benchmark rows nothing is hit; an empty corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -152,12 +154,15 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
     ranked = F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, few)
     rare = spread.join(counts, "term").groupBy("window").agg(ranked.alias("a"), F.count("*").alias("found"), F.first("size").alias("size"))
     # A window with a term that the corpus lacks has no exact match.
-    rare = rare.where((F.col("found") == F.col("size")) | F.lit(near_terms is not None) & (F.col("found") >= F.lit(near_terms))).select("window", F.explode("a").alias("a"))
-    anchored = store(spark, rare.select("window", F.col("a.term").alias("term"), F.col("a.offset").alias("offset")), "anchors", scope)
+    rare = rare.where((F.col("found") == F.col("size")) | F.lit(near_terms is not None) & (F.col("found") >= F.lit(near_terms))).select("window", "size", F.explode("a").alias("a"))
+    anchored = store(spark, rare.select("window", "size", F.col("a.term").alias("term"), F.col("a.offset").alias("offset")), "anchors", scope)
     anchors = None if known is None else spark.sparkContext.broadcast({r["term"] for r in anchored.select("term").distinct().collect()})
     stored = store(spark, index(docs, vocabulary, anchors, size - 1), "index", scope)
-    postings = stored.where(F.size("terms") > 0).select("row", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("row", F.col("p.terms").alias("term"), F.col("p.places").alias("place"))
-    starts = postings.join(anchored, "term").select("row", "window", (F.col("place") - F.col("offset")).alias("start")).where("start >= 0")
+    posted = stored.where(F.size("terms") > 0).select("row", "n_words", F.explode(F.arrays_zip("terms", "places")).alias("p"))
+    postings = posted.select("row", F.col("p.terms").alias("term"), F.col("p.places").alias("place"))
+    starts = posted.select("row", "n_words", F.col("p.terms").alias("term"), F.col("p.places").alias("place")).join(anchored, "term")
+    # A window lies inside the document.
+    starts = starts.select("row", "window", (F.col("place") - F.col("offset")).alias("start"), "size", "n_words").where("start >= 0 and start + size <= n_words").drop("n_words", "size")
     if few > 1:
         starts = starts.distinct()
     whole = distinct.select("window", "terms", F.size("terms").alias("size"))
