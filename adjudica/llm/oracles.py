@@ -11,10 +11,14 @@ d as (select doc_id, {_WORDS9} w from documents),
 places as (select doc_id, n, unnest(range(1, len(w) - n + 2)) i, w from d, sizes where len(w) >= n),
 hit as (select p.doc_id, p.i, p.n, win.item_id from places p join win on list_slice(p.w, p.i, p.i + p.n - 1) = win.k),
 words as (select doc_id, count(distinct j) c from (select distinct doc_id, unnest(range(i, i + n)) j from (select distinct doc_id, i, n from hit)) group by 1),
-items as (select doc_id, count(distinct item_id) c, list_sort(list(distinct cast(item_id as varchar))) l from hit group by 1)
+items as (select doc_id, count(distinct item_id) c, list_sort(list(distinct cast(item_id as varchar))) l from hit group by 1),
+ten as (select distinct k, list_slice(k, 1, 5) x, list_slice(k, 6, 10) y from win where len(k) = 10),
+spots as (select doc_id, list_slice(w, i, i + 9) q from places where n = 10),
+pairs as (select doc_id, q, k from spots join ten on list_slice(q, 1, 5) = x union select doc_id, q, k from spots join ten on list_slice(q, 6, 10) = y),
+near as (select doc_id, count(distinct k) c from pairs where len(list_filter(range(1, 11), lambda j: q[j] = k[j])) = 9 group by 1)
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(words.c, 0)::bigint n_hit, coalesce(items.c, 0)::bigint n_items,
-       sha256(array_to_string(coalesce(items.l, []::varchar[]), ',')) items_sha256, coalesce(words.c, 0) > 0 contaminated
-from d left join words using (doc_id) left join items using (doc_id)
+       sha256(array_to_string(coalesce(items.l, []::varchar[]), ',')) items_sha256, coalesce(words.c, 0) > 0 contaminated, coalesce(near.c, 0)::bigint n_near
+from d left join words using (doc_id) left join items using (doc_id) left join near using (doc_id)
 """
 
 OP10 = r"""

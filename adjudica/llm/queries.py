@@ -56,8 +56,8 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return got.drop("text_hash", "n_near")
+    got = _decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_terms=9)
+    return got.drop("text_hash")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

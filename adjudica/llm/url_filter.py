@@ -6,7 +6,8 @@ n-grams of host and path decides. It is trained from the small labelled table be
 full-batch gradient descent from zero weights, so it is the same in every run and on every executor.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; the model judges it, and as
-an empty url has no n-gram the bias decides. Repeated rows are judged alike. An empty table gives no rows.
+an empty url has no n-gram the bias decides; a probability at the threshold blocks. Repeated rows, and rows with a null id,
+are judged alike. Extra columns aren't read. A url of any length is held whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ replica-watches.example.com/shop  fake-rolex.example.org/buy  seo-backlinks.exam
 ALLOWED = """
 library.example.org/catalogue/12  news.example.com/world/2020/05  blog.writer.example.net/post/3  www.museum.example.org/visit
 docs.project.example.com/guide/start  university.example.org/courses/math  forum.garden.example.net/thread/88  m.weather.example.com/today
-theatre.example.org/en/5  thering.example.com/fr/81  blog.tionthe.example.net/en/533  www.therin.example.org/de/618
+theatre.example.org/programme/5  travel.example.com/fr/lyon  blog.teacher.example.net/lesson/53  www.theology.example.org/lecture/18
 science.example.com/article/7  history.example.net/period/roman  city-council.example.org/minutes  recipes.example.com/bread
-thand.example.net/en/41  m.thore.example.org/fr/325  blog.ththis.example.com/de/925  wiki.example.org/page/river
+gardening.example.net/en/roses  m.railway.example.org/timetable/325  blog.astronomy.example.com/de/mars  wiki.example.org/page/river
 school.example.net/timetable  hospital.example.org/departments  music.example.com/scores/bach  maps.example.net/route/9
 """.split()
 
@@ -83,6 +84,15 @@ def probability(host: str, path: str) -> float:
     return float(1 / (1 + np.exp(-z)))
 
 
+def probabilities(hosts: list[str | None], paths: list[str | None]) -> list[float | None]:
+    """probability() of each different pair once; a null host isn't judged."""
+    memo: dict[tuple, float | None] = {}
+    for key in zip(hosts, paths, strict=True):
+        if key not in memo:
+            memo[key] = None if key[0] is None else probability(*key)
+    return [memo[key] for key in zip(hosts, paths, strict=True)]
+
+
 def parts(url: F.Column) -> tuple[F.Column, F.Column]:
     """Host (A-Z lower-cased) and path of a url; both empty if it is null or has no ``://``."""
     at = F.instr(url, "://")
@@ -103,16 +113,16 @@ def ruled(host: F.Column, path: F.Column, rules=RULES) -> tuple[F.Column, F.Colu
 
 
 def judge(pages: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep's columns with host, path, rule, verdict and the model's block probability."""
+    """keep's columns with host, path, rule, verdict and the model's block probability (null where a rule decides)."""
 
     @F.pandas_udf("double")
     def scored(host: pd.Series, path: pd.Series) -> pd.Series:
-        memo: dict = {}
-        return pd.Series([memo[k] if (k := (h, p)) in memo else memo.setdefault(k, probability(h, p)) for h, p in zip(host, path, strict=True)], dtype="float64")
+        return pd.Series(probabilities(host.tolist(), path.tolist()), dtype="float64")
 
     host, path = parts(F.col("url"))
     cut = pages.select(*keep, host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"))
-    cut = cut.withColumns({"rule": rule, "_ruled": verdict, "block_probability": scored("host", "path")})
+    cut = cut.withColumns({"rule": rule, "_ruled": verdict, "_host": F.when(verdict.isNull(), F.col("host")), "_path": F.when(verdict.isNull(), F.col("path"))})
+    cut = cut.withColumn("block_probability", scored("_host", "_path"))
     model = F.when(F.col("block_probability") >= threshold, "block").otherwise("allow")
     return cut.select(*keep, "host", "path", "rule", F.coalesce("_ruled", model).alias("verdict"), "block_probability")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -33,7 +34,7 @@ def test_article_without_what_surrounds_it():
 
 
 def test_html_edges():
-    assert html_extract.blocks("") == [] and html_extract.blocks("<p") != [("/p", "", "")]
+    assert html_extract.blocks("") == [] and [t for *_, t in html_extract.blocks("<p")] == ["<p"]
     assert text_of("<article>&lt;b&gt; &#233;&nbsp;x<p>") == "<b> é x"
     assert text_of("<main><table><tr><td>a<td>b</table><!-- <p>no</p> -->") == "a\nb"
     assert text_of("<article><p>a<script>x") == "a"
@@ -72,6 +73,21 @@ def test_innermost_role_and_compound_words():
     assert roles == [("", "a"), ("", "b"), ("n", "c")]
 
 
+def test_inline_noise_odd_quotes_and_hidden_parts():
+    assert text_of('<article><p>Body <span class="ad">Buy now</span> text</p><button>Go</button><label>Name</label>') == "Body text"
+    assert text_of("<article><p title=it's>x</p><p data-a='1' title=\"a>b\">y</p><p title=\"never closed>z") == "x\ny\nz"
+    assert text_of('<article><p>a<span style="display: none">b</span><div style="display:none">c</div><p>d<i hidden>e</i>') == "a\nd"
+    assert text_of("<div class=ad>x <span class=story>y</span> z</div>") == "y"
+    assert text_of("<article>1 < 2 and <3 <p>q</article>") == "1 < 2 and <3\nq"
+
+
+def test_odd_pages_are_read_in_linear_time():
+    began = time.time()
+    for page in ("<a " * 300_000, "<div>" * 100_000 + "x" + "</b>" * 100_000, '<a href="' * 100_000, "<p>" + "<b>" * 50_000 + "<div></div>" * 50_000, "<!--" * 100_000, "<![CDATA[" * 50_000, "<ul><li>" * 30_000 + "</li>" * 50_000):
+        html_extract.blocks(page)
+    assert time.time() - began < 20
+
+
 # URLs
 
 
@@ -99,6 +115,18 @@ def test_model_fits_its_table():
             assert (url_filter.probability(host, "/" + path) >= 0.5) == want
 
 
+#: Labelled urls that aren't in the table: (url, whether to block).
+HELD_OUT = [("pharma-pills.example.org/buy/now", 1), ("www.casino-royal.example.net/bonus", 1), ("spam-links-farm.example.com/out", 1), ("free-keygen.example.org/download", 1), ("hot-cams.example.com/live/3", 1), ("payday-loans.example.net/apply", 1), ("fake-watches.example.org/shop", 1), ("cheap-backlinks.example.com/seo", 1), ("county-library.example.net/catalogue", 0), ("news.example.org/world/2021", 0), ("docs.example.net/guide/install", 0), ("university.example.com/courses/art", 0), ("weather.example.org/today", 0), ("wiki.example.net/page/lake", 0), ("recipes.example.org/soup", 0), ("museum.example.com/visit/hours", 0)]
+
+
+def test_model_on_urls_outside_its_table():
+    right = 0
+    for url, label in HELD_OUT:
+        host, _, path = url.partition("/")
+        right += (url_filter.probability(host, "/" + path) >= 0.5) == bool(label)
+    assert not {u for u, _ in HELD_OUT} & {*url_filter.BLOCKED, *url_filter.ALLOWED} and right >= 15
+
+
 # Token blocks
 
 
@@ -178,9 +206,25 @@ def test_decontamination(spark, bound):
 
 def test_near_matches(spark):
     item = "one two three four five six seven eight nine ten"
-    docs = [(1, item.replace("five", "changed")), (2, item), (3, "one two three")]
+    docs = [(1, item.replace("five", "changed")), (2, item), (3, "one two three"), (4, item.rpartition(" ")[0]), (5, item.partition(" ")[2] + " x y")]
     got = {r.doc_id: r for r in decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string"), near_terms=8).collect()}
-    assert [(got[i].contaminated, got[i].n_near) for i in (1, 2, 3)] == [(False, 1), (True, 0), (False, 0)]
+    assert [(got[i].contaminated, got[i].n_near) for i in range(1, 6)] == [(False, 1), (True, 0), (False, 0), (False, 0), (False, 0)]
+
+
+@pytest.mark.parametrize("near", [7, 9])
+def test_near_matches_by_brute_force(spark, near):
+    rnd = random.Random(near)
+    vocab = ["a", "b", "c", "d", "e"]
+    bench = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(4, 13)))) for i in range(8)]
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 40)))) for i in range(40)]
+    for i in range(0, 40, 3):
+        w = bench[i % 8][1].split()
+        w[rnd.randrange(len(w))] = "z"
+        docs[i] = (i, docs[i][1] + " " + " ".join(w))
+    wins = {tuple(w[k : k + 10]) for _, t in bench for w in [t.split()] for k in range(max(1, len(w) - 9))}
+    want = {d: sum(any(near <= sum(x == y for x, y in zip(w[i:], k, strict=False)) < len(k) for i in range(len(w) - len(k) + 1)) for k in wins) for d, t in docs for w in [t.split()]}
+    got = decontaminate.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), near_terms=near).collect()
+    assert {r.doc_id: r.n_near for r in got} == want
 
 
 # Near duplicates
