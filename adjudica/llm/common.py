@@ -35,10 +35,17 @@ def _root(spark: SparkSession, scope: str) -> str:
     return f"{shared_dir(spark)}/adjudica-{spark.sparkContext.applicationId}/{scope}"
 
 
+def forget_at_exit(spark: SparkSession, folder: str) -> None:
+    """A folder of scratch tables goes when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def store(spark: SparkSession, df: DataFrame, what: str, scope: str = "op") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, keeps column pruning."""
     path = f"{_root(spark, scope)}/{what}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    forget_at_exit(spark, _root(spark, scope))
     return spark.read.schema(df.schema).parquet(path)
 
 
