@@ -23,4 +23,6 @@ def store(df: DataFrame, what: str) -> DataFrame:
     """Writes df and reads it back."""
     path = f"{folder(df.sparkSession)}/core/{what}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(df.sparkSession))
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # scratch goes with the driver's JVM
     return df.sparkSession.read.schema(df.schema).parquet(path)

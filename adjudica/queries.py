@@ -15,6 +15,7 @@ from .functions import scoring, text, vocab
 from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, reference, relevance, selection, snapshot
 from .oracles import ORACLES
 from .plans import review, stages
+from .plans.shared import store
 from .sinks import report
 from .sources import repository
 from .sources.readers import table
@@ -66,10 +67,10 @@ def merge_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
-    df = bind.findings(spark, d)
+    names = ("id", "file", "start_line", "end_line", "category")
+    df = store(bind.findings(spark, d).select(*names, text.normalize_title(F.col("title")).alias("norm_title")), "findings")
     inside = intervals.innermost(df, bind.symbols(df), "file", "start_line", ["id"]).withColumnRenamed("r_id", "symbol")
-    rows = df.join(inside, "id", "left").withColumn("norm_title", text.normalize_title(F.col("title")))
-    return linkage.consolidate(rows, ["id"]).select("id", "cluster")
+    return linkage.consolidate(store(df.join(inside, "id", "left"), "consolidate"), ["id"]).select("id", "cluster")
 
 
 def innermost_symbol(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +134,7 @@ def _items(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
 
 def _validated(spark: SparkSession, d: str) -> DataFrame:
     """Findings with the validation columns of the gate, by joins with files and patch; what a model would say is bound by rules."""
-    found = bind.findings(spark, d)
+    found = store(bind.findings(spark, d), "findings")
     changed, hunks, files = _patch(spark, d)
     placed = bind.placed(found).select("id", "path", "start", "end")
     anchors = relevance.grounded(placed, files).select("id", F.col("grounded").alias("anchor_valid"))
@@ -161,7 +162,7 @@ def finding_validation(spark: SparkSession, d: str) -> DataFrame:
 
 def diff_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Whether findings are near hunks, files being met by path or base name, and inside their files."""
-    found = bind.findings(spark, d)
+    found = store(bind.findings(spark, d), "findings")
     near = relevance.in_diff(bind.placed(found).select("id", "path", "start", "end"), bind.evidence(found), bind.patch_hunks(spark, d))
     return _long(relevance.grounded(near, _patch(spark, d)[2]).select("id", "in_diff", "grounded", "end"), "end")
 
@@ -188,7 +189,7 @@ def hard_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patch_attribution(spark: SparkSession, d: str) -> DataFrame:
-    found = bind.findings(spark, d)
+    found = store(bind.findings(spark, d), "findings")
     changed, hunks, _ = _patch(spark, d)
     stated = F.when(F.col("quantity") % 6 == 0, F.lit("fixed_by_patch"))
     df = bind.placed(found).withColumn("introduced_by_patch", stated).select("id", "path", "start", "end", "title", "message", "introduced_by_patch")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adjudica.llm import decontaminate as decontamination
 from adjudica.llm import language_id, mixing, near_dedup, token_blocks
-from adjudica.llm.common import shared_dir, sweep, table
+from adjudica.llm.common import forget_at_exit, shared_dir, sweep, table
 
 SCOPE = "pipeline"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,7 +22,8 @@ WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language identification rejects: no letters, or far from every learned language."""
+    """Drops documents that language identification rejects: no letters (null and empty texts too), or far from every learned
+    language. Repeated rows, null ids and texts of any length are judged alike; extra columns go."""
     sweep(spark, SCOPE)
     got = language_id.identify(spark, docs.select(*COLUMNS), keep=COLUMNS)
     return got.where(~F.col("rejected")).select(*COLUMNS)
@@ -46,7 +47,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the rows in the order of the mix: the files' order is the slots' order, and so is the rows' within a file."""
+    """Puts the rows in the order of the mix: the files' order is the slots' order, and so is the rows' within a file. All rows
+    stay; rows of one id, null too, stand together. A null source is a source of its own."""
     sweep(spark, SCOPE)
     order = mixing.mixed(spark, docs, scope=SCOPE).select("doc_id", "slot", "place")
     order = order.groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))  # rows of one id stay together
@@ -55,7 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks in the stored order of docs (file, then row), or by id where docs isn't read from files."""
+    """Token blocks in the stored order of docs (file, then row), or by id where docs isn't read from files. Null and empty
+    texts have the end id only."""
     sweep(spark, SCOPE)
     placed, order = docs, ("doc_id",)
     hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
@@ -83,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex[:12]}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{at}/{k}")
+        forget_at_exit(spark, at)
         docs = spark.read.parquet(f"{at}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
