@@ -42,7 +42,7 @@ BLOCK, BLOCK_SHINGLES = 64, 400_000
 #: Tiles that a worker is given at once.
 TILES = 256
 #: Parts into which the rows of one crowded bucket are dealt for a join.
-SALTS = 32
+SALTS = 16
 #: Elements whose permutations are held at once.
 ELEMENTS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -362,7 +362,8 @@ def _key(text_hash: F.Column) -> list[F.Column]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, scope: str = "op") -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, group_id (a number of the component) and kept, for each row."""
+    """doc_id, text_hash, n_shingles, component_id, group_id (a number of the component), head (whether the row is
+    the component's first by id and text) and kept, for each row."""
     sketch = store(spark, sketches(docs, words), "sketches", scope)
     real = sketch.where("set_key is not null")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
@@ -393,11 +394,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     links = store(spark, first.union(cross), "links", scope)
     final = components(spark, links, scope)
 
-    owner = classes.select("set_key", "id", "doc_id").join(final, "id", "left").select("set_key", "doc_id", F.coalesce("label", "id").alias("group_id"))
-    lowest = owner.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
-    owner = owner.join(lowest, "group_id").select("set_key", "group_id", "component_id")
-    full = real.select("doc_id", "text_hash", "n_shingles", "set_key").join(owner, "set_key").select("doc_id", "text_hash", "n_shingles", "component_id", "group_id")
-    void = sketch.where("set_key is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    owner = classes.select("set_key", "id", head.alias("head")).join(final, "id", "left")
+    linked = owner.where("label is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    lowest = linked.groupBy("label").agg(F.min("head").alias("head")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.drop("head").join(lowest, ["label", "salt"]).select("set_key", F.col("label").alias("group_id"), "head")
+    owner = linked.unionAll(owner.where("label is null").select("set_key", F.col("id").alias("group_id"), "head"))
+    first = F.col("head.none").eqNullSafe(F.col("doc_id").isNull()) & F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.text_hash") == F.col("text_hash"))
+    full = real.select("doc_id", "text_hash", "n_shingles", "set_key").join(owner, "set_key").select("doc_id", "text_hash", "n_shingles", F.col("head.doc_id").alias("component_id"), "group_id", first.alias("head"))
+    void = sketch.where("set_key is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"), F.lit(True).alias("head"))
     return full.union(void).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -407,13 +412,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5
     Documents are told apart by id and text: rows that share an id but not the text are judged each for itself. Rows that
     repeat both are one document, of which one row stays. A null id is larger than any other.
     """
-    judged = store(spark, near_duplicates(spark, docs, words, percent, scope), "judged", scope)
-    each = judged.where("group_id is not null").groupBy("group_id", *_key(F.col("text_hash"))).agg(F.count("*").alias("n"))
-    each = store(spark, each, "each", scope)
-    order = F.struct("_key_null", "_key_id", "_key_text")
-    head = each.groupBy("group_id").agg(F.min(order).alias("head"))
-    marked = each.join(head, "group_id").select(*KEY, "n", (F.col("head") == order).alias("stays")).where("not stays or n > 1")
-    marked = store(spark, marked, "marked", scope)
+    judged = near_duplicates(spark, docs, words, percent, scope).where("group_id is not null")
+    each = judged.groupBy(*_key(F.col("text_hash"))).agg(F.count("*").alias("n"), F.bool_or("head").alias("stays"))
+    marked = store(spark, each.where("not stays or n > 1"), "marked", scope)
     rows = docs.select("*", *_key(F.xxhash64("text")))
     alone = rows.join(marked.select(*KEY), KEY, "left_anti")
     repeated = rows.join(marked.where("stays").select(*KEY), KEY, "left_semi").dropDuplicates(KEY)
