@@ -1,7 +1,7 @@
 """Operator 9, benchmark decontamination with a positional inverted index.
 
 Benchmark items become windows of consecutive words. A first pass over the corpus counts the benchmark's terms; each
-window's rarest term is its anchor (for proximity matches, its few rarest terms are). A second pass stores the index: postings (term, document, position) of benchmark
+window's few rarest terms are its anchors. A second pass stores the index: postings (term, document, position) of benchmark
 terms. Postings further from every anchor's occurrence than a window reaches can't belong to a match, so they are left
 out; nothing else is. A search starts from the anchors' lists, which give candidate starts by their offsets in the
 windows, and intersects them with the offset-adjusted lists of the other terms: a start at which all terms agree is an
@@ -149,22 +149,23 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
     vocabulary = None if known is None else spark.sparkContext.broadcast(known)
     counts = store(spark, term_counts(docs, vocabulary), "counts", scope)
     spread = distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    # Any near_terms of a window's terms agree at a near match, so one of its size - near_terms + 1 rarest does.
-    few = 1 if near_terms is None else size - near_terms + 1
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, few)
+    # At most ``miss`` terms of a match disagree. So one of the miss + 1 rarest agrees, and all but miss of the miss + 2 rarest.
+    miss = 0 if near_terms is None else size - near_terms
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, miss + 2)
     rare = spread.join(counts, "term").groupBy("window").agg(ranked.alias("a"), F.count("*").alias("found"), F.first("size").alias("size"))
     # A window with a term that the corpus lacks has no exact match.
-    rare = rare.where((F.col("found") == F.col("size")) | F.lit(near_terms is not None) & (F.col("found") >= F.lit(near_terms))).select("window", "size", F.explode("a").alias("a"))
-    anchored = store(spark, rare.select("window", "size", F.col("a.term").alias("term"), F.col("a.offset").alias("offset")), "anchors", scope)
-    anchors = None if known is None else spark.sparkContext.broadcast({r["term"] for r in anchored.select("term").distinct().collect()})
+    rare = rare.where((F.col("found") == F.col("size")) | F.lit(near_terms is not None) & (F.col("found") >= F.lit(near_terms)))
+    needed = F.greatest(F.lit(1), F.size("a") - miss).alias("needed")
+    anchored = rare.select("window", "size", needed, F.posexplode("a").alias("k", "a")).select("window", "size", "needed", (F.col("k") <= miss).alias("first"), F.col("a.term").alias("term"), F.col("a.offset").alias("offset"))
+    anchored = store(spark, anchored, "anchors", scope)
+    anchors = None if known is None else spark.sparkContext.broadcast({r["term"] for r in anchored.where("first").select("term").distinct().collect()})
     stored = store(spark, index(docs, vocabulary, anchors, size - 1), "index", scope)
     posted = stored.where(F.size("terms") > 0).select("row", "n_words", F.explode(F.arrays_zip("terms", "places")).alias("p"))
     postings = posted.select("row", F.col("p.terms").alias("term"), F.col("p.places").alias("place"))
     starts = posted.select("row", "n_words", F.col("p.terms").alias("term"), F.col("p.places").alias("place")).join(anchored, "term")
-    # A window lies inside the document.
-    starts = starts.select("row", "window", (F.col("place") - F.col("offset")).alias("start"), "size", "n_words").where("start >= 0 and start + size <= n_words").drop("n_words", "size")
-    if few > 1:
-        starts = starts.distinct()
+    # A window lies inside the document. A start is a candidate if enough of the rarest terms agree on it.
+    starts = starts.select("row", "window", (F.col("place") - F.col("offset")).alias("start"), "size", "n_words", "needed").where("start >= 0 and start + size <= n_words")
+    starts = starts.groupBy("row", "window", "start").agg(F.count("*").alias("agree"), F.first("needed").alias("needed")).where("agree >= needed").select("row", "window", "start")
     whole = distinct.select("window", "terms", F.size("terms").alias("size"))
     candidates = store(spark, starts.join(whole, "window"), "candidates", scope)
     wanted = candidates.select("row", "window", "start", "size", F.posexplode("terms").alias("offset", "term")).withColumn("place", F.col("start") + F.col("offset"))
