@@ -11,11 +11,15 @@ and a fold adds the pieces' lengths. The marks are replaced in the text first by
 The fold works in chunks, so that a text of very many matches isn't copied for each.
 
 Defined results: null is an empty text, without spans. A null owner or repository is one of its own. Repeated rows count
-once for each repository and keep their own spans. An empty table gives no rows.
+once for each repository and keep their own spans; rows with a null id are scanned like any other. Spans of equal start are
+in the order of the kinds. Extra columns aren't read. A text of any length is scanned whole, in time linear in its matches.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,34 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(count > 0, F.flatten(F.aggregate(chunks, first, chunk, lambda s: s["out"]))).otherwise(none)
 
 
+#: What a text must have for an assign match to be possible.
+_KEYS = "(?i)password|passwd|secret|token|api_?key"
+
+
+def guarded(possible: Column, spans: Column) -> Column:
+    """The spans, looked for only where a plain test says that there may be any."""
+    return F.when(possible, spans).otherwise(F.array().cast(_SPAN))
+
+
+def _marked(spans: Column, side: str, free: Callable, grow: Callable, start: Column) -> Column:
+    """Spans in order without the opaque ones that aren't free of the base spans passed so far (reach)."""
+    kind = "array<struct<start: long, kind: int, end: long, hash: string>>"
+
+    def step(state: Column, s: Column) -> Column:
+        base = s["kind"] < 3
+        stays = base | free(s, state["reach"])
+        return F.struct(F.when(base, grow(s, state["reach"])).otherwise(state["reach"]).alias("reach"), F.when(stays, F.array_append(state["out"], s)).otherwise(state["out"]).alias("out"))
+
+    def chunk(state: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(state["reach"].alias("reach"), F.array().cast(kind).alias("out")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["reach"].alias("reach"), F.array_append(state["out"], x["out"]).alias("out")))[0]
+
+    count = F.size(spans)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(count, F.lit(1)) - 1) / F.lit(_CHUNK)).cast("int")), lambda i: F.slice(spans, i * _CHUNK + 1, F.lit(_CHUNK)))
+    first = F.struct(start.alias("reach"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(chunks, first, chunk, lambda s: s["out"]))
+
+
 def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """Adds owner, repository and found (array of struct<start, kind, end, hash>, sorted) to doc_id; drops the text."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _OPEN + _MID + _CLOSE, "???")
@@ -64,19 +96,25 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         "doc_id",
         "owner",
         "repository",
-        F.filter(matches(F.col("_t"), ASSIGN), lambda s: F.length(s["value"]) >= 8).alias("_0"),
-        F.filter(matches(F.col("_t"), ACCESS), lambda s: F.length(s["value"]) >= 16).alias("_1"),
-        matches(F.col("_t"), HEX).alias("_2"),
-        F.filter(matches(F.col("_t"), OPAQUE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")).alias("_o"),
+        guarded(F.col("_t").rlike(_KEYS), F.filter(matches(F.col("_t"), ASSIGN), lambda s: F.length(s["value"]) >= 8)).alias("_0"),
+        guarded(F.contains("_t", F.lit("AKIA")), F.filter(matches(F.col("_t"), ACCESS), lambda s: F.length(s["value"]) >= 16)).alias("_1"),
+        guarded(F.col("_t").rlike("[0-9a-f]{32}"), matches(F.col("_t"), HEX)).alias("_2"),
+        guarded(F.col("_t").rlike("[A-Za-z0-9+/_-]{24}"), F.filter(matches(F.col("_t"), OPAQUE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))).alias("_o"),
     )
 
     def kind(k: int, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
 
-    base = F.array_sort(F.concat(*[kind(k, F.col(f"_{k}")) for k in range(3)]))
-    free = F.filter("_o", lambda o: ~F.exists("_base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    cut = cut.withColumn("_base", base)
-    return cut.select("row", "doc_id", "owner", "repository", F.array_sort(F.concat("_base", kind(3, free))).alias("found"))
+    # Spans in order, opaque ones before base ones of the same start: an opaque span is free if no base span before it ends
+    # behind its start, and none after it starts before its end. One pass forward, one back, in chunks.
+    every = F.array_sort(F.concat(*[kind(k, F.col(f"_{k}")) for k in range(3)], kind(3, F.col("_o"))))
+    cut = cut.withColumn("_every", every)
+    ahead = _marked(F.col("_every"), "end", lambda s, reach: s["start"] >= reach, lambda s, reach: F.greatest(reach, s["end"]), F.lit(0).cast("long"))
+    cut = cut.withColumn("_every", F.when(F.size("_o") > 0, ahead).otherwise(F.col("_every")))
+    last = F.lit((1 << 62)).cast("long")
+    back = _marked(F.reverse("_every"), "start", lambda s, reach: s["end"] <= reach, lambda s, reach: F.least(reach, s["start"]), last)
+    cut = cut.withColumn("_every", F.when(F.size("_o") > 0, F.reverse(back)).otherwise(F.col("_every")))
+    return cut.select("row", "doc_id", "owner", "repository", F.col("_every").alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
