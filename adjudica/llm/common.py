@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,3 +91,47 @@ def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         if batch.num_rows:
             yield batch
+
+
+#: Of this Python worker: the operator whose task it ran last, and how to drop what operators remember between tasks.
+_served: list[str] = [""]
+_drops: list[Callable[[], None]] = []
+
+
+def on_release(drop: Callable[[], None]) -> None:
+    """Calls drop before this worker serves another operator."""
+    _drops.append(drop)
+
+
+def begin(operator: str) -> None:
+    if _served[0] != operator:
+        for drop in _drops:
+            drop()
+        _served[0] = operator
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def task(operator: str) -> Callable:
+    """For functions that mapInArrow runs. Spark hands one worker to the tasks of many operators in turn: it drops what the
+    last operator remembered, and gives back what a task has freed."""
+
+    def wrap(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+        @wraps(run)
+        def served(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin(operator)
+            try:
+                yield from run(rows)
+            finally:
+                trim()
+
+        return served
+
+    return wrap

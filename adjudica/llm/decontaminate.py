@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, store, utf8
+from .common import batches, store, task, utf8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -48,6 +48,7 @@ def term(word: bytes) -> int:
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
     """item_id, window (hash of its terms), terms. Items of fewer words than size, but not none, are one window."""
 
+    @task(__name__)
     def run(rows):
         for batch in batches(rows):
             out = []
@@ -65,6 +66,7 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
 def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
     """How often each term of the vocabulary (a broadcast dict by word, or None for all) occurs in the corpus."""
 
+    @task(__name__)
     def run(rows):
         known = vocabulary.value if vocabulary else None
         total: Counter = Counter()
@@ -87,6 +89,7 @@ def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
 def index(docs: DataFrame, vocabulary, anchors, reach: int) -> DataFrame:
     """row, doc_id, text_hash, n_words, terms, places: the document's postings that can belong to a match."""
 
+    @task(__name__)
     def run(rows):
         known, chosen = (vocabulary.value, anchors.value) if vocabulary else (None, None)
         row = TaskContext.get().partitionId() << 36
@@ -132,6 +135,7 @@ def index(docs: DataFrame, vocabulary, anchors, reach: int) -> DataFrame:
 def _vocabulary(benchmark: DataFrame, bound: int) -> dict[bytes, int] | None:
     """All words of the benchmark with their terms, or None if there are more than bound."""
 
+    @task(__name__)
     def run(rows):
         for batch in batches(rows):
             found = sorted({w for text in utf8(batch.column("text")) for w in words(text)})

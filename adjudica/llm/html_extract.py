@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, store
+from .common import batches, store, task
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _PART = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?""")
@@ -256,6 +256,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     """One row for each page: its blocks' texts (noise left out; one compressed text of lines), roles, style nodes and
     hashes of looks and content, and whether the page says the same at that node for the first time."""
 
+    @task(__name__)
     def run(rows):
         row = TaskContext.get().partitionId() << 36
         for batch in batches(rows):
@@ -306,6 +307,7 @@ def extract(spark: SparkSession, pages: DataFrame, threshold: float = 0.4, scope
     drop = ask.join(low, ["node", "says"]).where(weighed < threshold).groupBy("row").agg(F.collect_set("k").alias("drop"))
     judged = tree.select("row", "page_id", "url", "texts").join(drop, "row", "left")
 
+    @task(__name__)
     def kept(rows):
         for batch in batches(rows):
             texts = []

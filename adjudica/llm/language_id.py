@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, task
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -370,6 +370,7 @@ def identify(
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(*f) for f in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType()))])
     extra = [c for c in keep if c != "text"]
 
+    @task(__name__)
     def score(rows):
         judge = model.value.judge
         for batch in batches(rows):

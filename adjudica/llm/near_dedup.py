@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, batch_rows, batches, slices, store, utf8
+from .common import SLICE_BYTES, batch_rows, batches, on_release, slices, store, task, utf8
 
 BANDS, ROWS = 24, 4
 #: Registers of a signature; the first BANDS * ROWS make the bands, all serve the estimate.
@@ -66,6 +66,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
 
 
+on_release(_powers.cache_clear)
+
+
 def _hash_words(low: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the words of a lower-cased buffer, and their hashes."""
     buf = np.frombuffer(low, np.uint8)
@@ -169,6 +172,7 @@ def bands(registers: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key (null for an empty set), buckets, registers (their lowest bytes)."""
 
+    @task(__name__)
     def run(rows):
         for batch in batches(rows):
             ids, hashes, texts = batch.column("doc_id"), batch.column("text_hash"), utf8(batch.column("text"))
@@ -193,6 +197,7 @@ def _bytes(rows: list[bytes]) -> np.ndarray:
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) with the share of registers that agree."""
 
+    @task(__name__)
     def run(rows):
         for batch in batches(rows):
             share = (_bytes(batch.column("_ra").to_pylist()) == _bytes(batch.column("_rb").to_pylist())).mean(1)
@@ -234,6 +239,7 @@ def mates(tiled: DataFrame, least: float) -> DataFrame:
     """main, one, two, id, part, mates: the members of a tile that may be near members of other components. Each such pair
     is listed once, as a mate of one of the two."""
 
+    @task(__name__)
     def run(rows):
         for batch in batches(rows):
             keys = [batch.column(c).to_pylist() for c in ("main", "one", "two")]
@@ -294,6 +300,7 @@ def crossing(spark: SparkSession, open_: DataFrame, classes: DataFrame, texts: D
                     parent[a] = b
                     found.append((i, j))
 
+    @task(__name__)
     def run(rows):
         at, held = None, {}
         for batch in batches(rows):
@@ -316,6 +323,7 @@ def crossing(spark: SparkSession, open_: DataFrame, classes: DataFrame, texts: D
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets satisfy 100 * intersection >= percent * union."""
 
+    @task(__name__)
     def run(rows):
         for batch in batches(rows):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, store
+from .common import batches, on_release, store, task
 
 BLOCK = 512
 PERCENTILE = 90
@@ -227,6 +227,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+on_release(encoder.cache_clear)
+
+
 def _path(tokenizer: str) -> str:
     if "/" in tokenizer:
         return tokenizer
@@ -241,6 +244,7 @@ SHARDS = "part int, seq int, n_ids long, blob binary"
 def shards(docs: DataFrame, order: list[str], tokenizer: str, end_id: int) -> DataFrame:
     """One row for each shard, in the order of (part, seq)."""
 
+    @task(__name__)
     def write(rows):
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, chunks, size = [], [], [], 0
@@ -272,6 +276,7 @@ def shards(docs: DataFrame, order: list[str], tokenizer: str, end_id: int) -> Da
 def read_back(table: DataFrame) -> DataFrame:
     """From the stored shards: a row for each document with its start, number of ids and checksum."""
 
+    @task(__name__)
     def read(rows):
         for batch in batches(rows):
             for part, seq, blob in zip(*(batch.column(c) for c in ("part", "seq", "blob")), strict=True):
