@@ -60,4 +60,31 @@ g as (select doc_id, count(*) filter (kind = 0) a, count(*) filter (kind = 1) c,
 select doc_id, coalesce(a, 0) n_assign, coalesce(c, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(al, '') spans, coalesce(li, 0) n_live, coalesce(ex, 0) n_example from documents left join g using (doc_id)
 """
 
-SQL = {"op3_secret_scan": OP3, "op9_decontaminate": OP9, "op10_near_dedup": OP10}
+OP11 = r"""
+with d as (select coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+g as (select distinct lang, source from d),
+kept as (select lang, term from (select lang, unnest(list_distinct(w)) term from d) group by 1, 2 having count(*) >= 30),
+c as (select lang, source, term, count(*) n from (select lang, source, unnest(w) term from d) join kept using (lang, term) group by 1, 2, 3),
+size as (select lang, count(*) v from kept group by 1),
+x as (select g.lang, g.source, kept.term, coalesce(n, 0) n from g join kept using (lang) left join c using (lang, source, term)),
+y as (select *, sum(n) over (partition by lang, source) total, sum(n) over (partition by lang, term) ln, sum(n) over (partition by lang) ltotal from x),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v)::hugeint p, 1 + (1000000000::hugeint * (ln + 5)) // (ltotal + 5 * v)::hugeint q from y join size using (lang)),
+far as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source != b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source != b.source left join far on far.lang = a.lang and far.source = a.source and far.item = b.source),
+terms as (select lang, source, 'term' part, term item, (p - q)::bigint as value from p where n > 0 and p > q),
+ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+_LEADS = ", ".join(f"lead(x, {k}) over o" for k in range(1, 20))
+OP13 = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+word as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) j from d),
+win as (select doc_id, j, md5(concat_ws(' ', x, {_LEADS})) h, lead(x, 19) over o z from word window o as (partition by doc_id order by j)),
+again as (select doc_id, j i, row_number() over (partition by h order by doc_id, j) k from win where z is not null),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) j from again where k > 1),
+g as (select doc_id, count(gone.j) r, string_agg(x, ' ' order by j) filter (gone.j is null) t from word left join gone using (doc_id, j) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(r, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join g using (doc_id)
+"""
+
+SQL = {"op3_secret_scan": OP3, "op9_decontaminate": OP9, "op10_near_dedup": OP10, "op11_source_divergence": OP11, "op13_substring_dedup": OP13}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
-from . import html_extract, language_id, line_dedup, mixing, near_dedup, secrets, token_blocks, url_filter, webp
+from . import divergence, html_extract, importance, language_id, line_dedup, mixing, near_dedup, secrets, substring_dedup, token_blocks, url_filter, webp
 from .common import sweep, table
 from .oracles import SQL
 
@@ -64,6 +64,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _pipeline() -> Query | None:
     """run() of corpus_pipeline.py at the repository's top, if that file is there."""
     path = Path(__file__).resolve().parents[2] / "corpus_pipeline.py"
