@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, begin, on_release, store, task, utf8
+from .common import batches, begin, on_release, store, task
 
 WINDOW, BLOCK = 20, 10
 #: Text bytes of a shard and of a piece of a text, words of a hash range.
-SHARD_BYTES, PIECE, BUCKET_WORDS = 8_000_000, 1_000_000, 4_000_000
+SHARD_BYTES, PIECE, BUCKET_WORDS = 3_000_000, 1_000_000, 4_000_000
 LEAST_BITS = 6
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -187,7 +187,8 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
             return pa.RecordBatch.from_arrays(row, names=["shard", "n_words", "ids", "sizes", "payload"])
 
         for batch in batches(rows):
-            for i, t in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            for i, t in _each(batch, "doc_id", "text"):
+                t = (t or "").encode()
                 if texts and size + len(t) > limit:
                     yield out()
                 ids.append(i)
@@ -201,6 +202,12 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     return placed.select("doc_id", "text").mapInArrow(run, "shard long, n_words long, ids array<long>, sizes array<long>, payload binary")
 
 
+def _each(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
+    """Values of the columns row by row, so that one shard at a time is held."""
+    columns = [batch.column(n) for n in names]
+    return ([c[i].as_py() for c in columns] for i in range(batch.num_rows))
+
+
 def _rows(made: list[tuple], names: tuple[str, ...], types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate(types)], names=list(names))
 
@@ -211,7 +218,7 @@ def probes(stored: DataFrame, bits: int) -> DataFrame:
     @task(__name__)
     def run(rows):
         for batch in batches(rows):
-            for shard, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("shard", "sizes", "payload")), strict=True):
+            for shard, sizes, payload in _each(batch, "shard", "sizes", "payload"):
                 s = Shard(payload, sizes)
                 found, inside = s.probes()
                 keys, count = np.unique(found[inside], return_counts=True)
@@ -269,7 +276,7 @@ def window_keys(joined: DataFrame, bits: int) -> DataFrame:
     @task(__name__)
     def run(rows):
         for batch in batches(rows):
-            for shard, sizes, payload, answers in zip(*(batch.column(c).to_pylist() for c in ("shard", "sizes", "payload", "hits")), strict=True):
+            for shard, sizes, payload, answers in _each(batch, "shard", "sizes", "payload", "hits"):
                 s = Shard(payload, sizes)
                 _, first, second = s.windows(_shared(s, answers, bits))
                 order, begins, _ = _distinct(first, second)
@@ -330,7 +337,7 @@ def _results(joined: DataFrame, bits: int, texts: bool) -> DataFrame:
     @task(__name__)
     def run(rows):
         for batch in batches(rows):
-            for ids, sizes, payload, hits, later in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "payload", "hits", "later")), strict=True):
+            for ids, sizes, payload, hits, later in _each(batch, "ids", "sizes", "payload", "hits", "later"):
                 s, made = Shard(payload, sizes), []
                 gone = _gone(s, hits, later, bits)
                 for i, text, end, n in zip(ids, s.texts, s.ends.tolist(), s.counts.tolist(), strict=True):
