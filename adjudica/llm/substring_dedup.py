@@ -188,7 +188,7 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
         for batch in batches(rows):
             for i, t in _each(batch, "doc_id", "text"):
-                t = (t or "").encode()
+                t = t or b""
                 if texts and size + len(t) > limit:
                     yield out()
                 ids.append(i)
@@ -204,7 +204,7 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 def _each(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
     """Values of the columns row by row, so that one shard at a time is held."""
-    columns = [batch.column(n) for n in names]
+    columns = [batch.column(n).cast(pa.binary()) if n == "text" else batch.column(n) for n in names]
     return ([c[i].as_py() for c in columns] for i in range(batch.num_rows))
 
 
