@@ -1,8 +1,7 @@
-"""Directed multigraphs: reciprocal edges, one-hop neighbours by proximity, dependency classes, cycles, merge bases."""
+"""Directed multigraphs: reciprocal edges, one-hop neighbours by proximity, dependency classes, cycles and their paths, merge bases."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..functions.scoring import lookup
-from ..plans.shared import folder, store
+from ..plans.shared import store
+from .history import CommitIndex
 
 
 def reciprocal(edges: DataFrame) -> DataFrame:
@@ -104,25 +104,11 @@ def in_cycle(edges: DataFrame) -> DataFrame:
     return strong_components(edges).select("node").unionAll(loops).distinct()
 
 
-def ancestors(commits: DataFrame, start: DataFrame) -> DataFrame:
-    """All (ref, oid) reachable from start (ref, oid) over commits (oid, parent), starts included. Frontiers are appended to
-    one table; only those of a round are joined with the commits."""
-    spark = start.sparkSession
-    at = f"{folder(spark)}/core/ancestors-{uuid.uuid4().hex[:12]}"
-    frontier = start.select("ref", "oid").distinct()
-    k = 0
-    while True:
-        frontier.write.option("compression", "zstd").parquet(f"{at}/round={k}")
-        seen = spark.read.schema(start.select("ref", "oid").schema).parquet(at).select("ref", "oid")
-        last = spark.read.schema(start.select("ref", "oid").schema).parquet(f"{at}/round={k}")
-        if not last.limit(1).count():
-            return seen
-        frontier = last.join(commits, "oid").select("ref", F.col("parent").alias("oid")).where("oid is not null").distinct().join(seen, ["ref", "oid"], "left_anti")
-        k += 1
-
-
 def merge_base(commits: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The common ancestor of highest generation of the refs a and b (each one row of oid); generation is a commits column."""
-    marked = a.select(F.lit("a").alias("ref"), "oid").unionAll(b.select(F.lit("b").alias("ref"), "oid"))
-    both = ancestors(commits.select("oid", "parent"), marked).groupBy("oid").agg(F.countDistinct("ref").alias("n")).where("n = 2")
-    return both.join(commits.select("oid", "generation").distinct(), "oid").orderBy(F.desc("generation"), "oid").limit(1).select("oid", "generation")
+    """(oid, generation): the best common ancestor of highest generation of the refs a and b (each one row of oid); generation is
+    a commits column. For all best ones, or many pairs, see history.CommitIndex."""
+    order = Window.partitionBy("oid").orderBy("parent")
+    rows = commits if "nth" in commits.columns else commits.withColumn("nth", F.row_number().over(order))
+    pairs = a.select(F.lit(1).alias("id"), F.col("oid").alias("a")).crossJoin(b.select(F.col("oid").alias("b")))  # a row each
+    best = CommitIndex(rows, "generation").merge_bases(pairs)
+    return best.join(commits.select("oid", "generation").distinct(), "oid").orderBy(F.desc("generation"), "oid").limit(1).select("oid", "generation")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RepositoryError
 from ..functions import text
-from ..operators.graph import ancestors
+from ..operators.history import CommitIndex
 
 
 def git_root(start: str) -> str | None:
@@ -130,8 +130,13 @@ def ref_exists(refs: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(there, "name", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-def resolve_ref(refs: DataFrame, commits: DataFrame, spec: str) -> str:
-    """The oid of a revision: a branch or tag, a full or abbreviated oid, then its steps. One lookup for each step."""
+#: Steps along first parents that are looked up one by one; more go by the index.
+FEW_STEPS = 8
+
+
+def resolve_ref(refs: DataFrame, commits: DataFrame, spec: str, index: CommitIndex | None = None) -> str:
+    """The oid of a revision: a branch or tag, a full or abbreviated oid, then its steps: by the history's index, if one is
+    given or there are many steps, else by a lookup for each."""
     name, steps = parse_revision(spec)
     tried = (name, f"refs/heads/{name}", f"refs/tags/{name}", f"refs/remotes/{name}")
     found = {r["name"]: r["oid"] for r in refs.where(F.col("name").isin(*tried)).limit(len(tried)).collect()}
@@ -143,22 +148,32 @@ def resolve_ref(refs: DataFrame, commits: DataFrame, spec: str) -> str:
         oid = short[0] if short else None
     if oid is None:
         raise RepositoryError(f"unknown revision {spec!r}")
+    index = index or (CommitIndex(commits, "oid") if sum(n for op, n in steps if op == "~") > FEW_STEPS else None)
     for op, n in steps:
-        for _ in range(n if op == "~" else min(n, 1)):
-            nth = 1 if op == "~" else n
-            got = commits.where((F.col("oid") == oid) & (F.col("nth") == nth) & F.col("parent").isNotNull()).select("parent").limit(1).collect()
-            if not got:
-                raise RepositoryError(f"{oid} has no parent {nth}, asked by {spec!r}")
-            oid = got[0]["parent"]
+        if index is not None:
+            start = commits.sparkSession.createDataFrame([("at", oid, n)], "ref string, oid string, n int")
+            got = (index.back(start) if op == "~" else index.parent(start)).limit(1).collect()
+            found_at = got[0]["oid"] if got else None
+        else:
+            found_at = oid
+            for _ in range(n if op == "~" else min(n, 1)):
+                nth = 1 if op == "~" else n
+                got = commits.where((F.col("oid") == found_at) & (F.col("nth") == nth) & F.col("parent").isNotNull()).select("parent").limit(1).collect()
+                found_at = got[0]["parent"] if got else None
+                if found_at is None:
+                    break
+        if found_at is None:
+            raise RepositoryError(f"{oid} has no {op}{n}, asked by {spec!r}")
+        oid = found_at
     return oid
 
 
-def commit_log(commits: DataFrame, oid: str, depth: int = 100) -> DataFrame:
-    """(oid, message, author) of up to ``depth`` commits reachable from oid, latest generation first."""
-    start = commits.sparkSession.createDataFrame([("log", oid)], "ref string, oid string")
-    reached = ancestors(commits.select("oid", "parent"), start).select("oid")
-    each = commits.groupBy("oid").agg(F.first("message").alias("message"), F.first("author").alias("author"), F.max("generation").alias("_g"))
-    return each.join(reached, "oid", "left_semi").orderBy(F.desc("_g"), "oid").limit(depth).select("oid", "message", "author")
+def commit_log(commits: DataFrame, oid: str, depth: int = 100, order: str = "generation", index: CommitIndex | None = None) -> DataFrame:
+    """(oid, message, author) of the latest ``depth`` commits reachable from oid, by ``order`` (a commits column that rises
+    from parents to children); an index of the history, if there is one, spares making it."""
+    last = (index or CommitIndex(commits, order)).log(oid, depth)
+    each = commits.groupBy("oid").agg(F.first("message").alias("message"), F.first("author").alias("author"))
+    return last.join(each, "oid").orderBy(F.desc("at"), "oid").select("oid", "message", "author")
 
 
 def parents(commits: DataFrame, oids: DataFrame) -> DataFrame:
