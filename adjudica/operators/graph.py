@@ -104,6 +104,39 @@ def in_cycle(edges: DataFrame) -> DataFrame:
     return strong_components(edges).select("node").unionAll(loops).distinct()
 
 
+def edge_cycles(edges: DataFrame) -> DataFrame:
+    """(src, dst, cycle): for every edge (src, dst) on a cycle a shortest cycle through it, as its nodes from the smallest on,
+    without the first again at the end; of several shortest, the one whose way back from dst is least, node by node.
+
+    All edges' ways back are searched for at once, one step a round, inside strong components only: the frontier holds for
+    each dst the nodes that were first reached in this round with their least ways. A dst whose incoming edges all have
+    their cycle drops out, so rounds and rows go by the length of cycles, not by the components' size.
+    """
+    parts = strong_components(edges)
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    inside = edges.select("src", "dst").where("src <> dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select("src", "dst")
+    inside = store(inside, "inside")
+    loops = edges.where("src = dst").select("src", "dst", F.array("src").alias("cycle")).distinct()
+    way = store(inside.select(F.col("dst").alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("way")), "ways")
+    seen, open_, found = way.select("root", "node"), inside.select(F.col("dst").alias("root"), F.col("src").alias("node")), loops
+    while way.limit(1).count():
+        closed = store(open_.join(way, ["root", "node"]).select(F.col("node").alias("src"), F.col("root").alias("dst"), F.col("way").alias("cycle")), "closed")
+        found = found.unionAll(closed)
+        open_ = store(open_.join(closed.select(F.col("dst").alias("root"), F.col("src").alias("node")), ["root", "node"], "left_anti"), "open")
+        live = way.join(open_.select("root").distinct(), "root", "left_semi")
+        step = live.join(inside.select(F.col("src").alias("node"), F.col("dst").alias("to")), "node").groupBy("root", F.col("to").alias("node")).agg(F.min("way").alias("way"))
+        way = store(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.concat("way", F.array("node")).alias("way")), "ways")
+        seen = store(seen.join(open_.select("root").distinct(), "root", "left_semi").unionAll(way.select("root", "node")), "seen")
+    least = F.array_position("cycle", F.array_min("cycle")).cast("int")
+    turned = F.concat(F.slice("cycle", least, F.size("cycle")), F.slice("cycle", F.lit(1), least - 1))
+    return found.select("src", "dst", turned.alias("cycle"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length): the shortest cycles through the edges of (src, dst), each once."""
+    return edge_cycles(edges).select("cycle").distinct().select("cycle", F.size("cycle").alias("length"))
+
+
 def merge_base(commits: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(oid, generation): the best common ancestor of highest generation of the refs a and b (each one row of oid); generation is
     a commits column. For all best ones, or many pairs, see history.CommitIndex."""

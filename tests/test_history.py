@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from adjudica.operators import graph
 from adjudica.operators.history import CommitIndex
 
 SCHEMA = "oid string, parent string, nth int, time long"
@@ -99,3 +100,41 @@ def test_steps_back(spark, made):
     assert {r.ref: r.oid for r in index.back(df).collect()} == want
     second = spark.createDataFrame([("a", "c339", 2), ("b", "c339", 0), ("c", "c0", 1)], "ref string, oid string, n int")
     assert {r.ref: r.oid for r in index.parent(second).collect()} == {"a": f"c{parents[339][1]}", "b": "c339"}
+
+
+def test_shortest_cycle_through_each_edge(spark):
+    rnd = random.Random(9)
+    edges = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(55)] + [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(105, 103), (40, 40), (41, 42)]
+    nexts = {}
+    for a, b in edges:
+        nexts.setdefault(a, set()).add(b)
+
+    def shortest(a, b):  # the least shortest way from b to a
+        ways, seen = {b: (b,)}, {b}
+        while ways:
+            if a in ways:
+                return ways[a]
+            step = {}
+            for node, way in ways.items():
+                for to in nexts.get(node, ()):
+                    if to not in seen:
+                        step[to] = min(step.get(to, (10**9,)), (*way, to))
+            seen |= set(step)
+            ways = step
+        return None
+
+    want = set()
+    for a, b in set(edges):
+        if way := shortest(a, b):
+            k = way.index(min(way))
+            want.add((a, b, way[k:] + way[:k]))
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {(r.src, r.dst, tuple(r.cycle)) for r in graph.edge_cycles(df).collect()} == want
+    got = graph.cycles(df).collect()
+    assert len(got) == len({w[2] for w in want}) and all(len(r.cycle) == r.length for r in got)
+
+
+def test_cycles_of_modules(spark):
+    names = spark.createDataFrame([("src/a.ts", "src/b.ts"), ("src/b.ts", "src/c.ts"), ("src/c.ts", "src/a.ts"), ("src/d.ts", "src/a.ts")], "src string, dst string")
+    assert [r.cycle for r in graph.cycles(names).collect()] == [["src/a.ts", "src/b.ts", "src/c.ts"]]
+    assert graph.cycles(names.where("src <> 'src/c.ts'")).count() == 0
