@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, begin, on_release, store, task
+from .common import batch_rows, batches, begin, on_release, store, task
 
 WINDOW, BLOCK = 20, 10
 #: Text bytes of a shard and of a piece of a text, words of a hash range.
 SHARD_BYTES, PIECE, BUCKET_WORDS = 3_000_000, 1_000_000, 4_000_000
 LEAST_BITS = 6
+#: Documents, and shards, that a Python worker is handed at once.
+DOC_ROWS, SHARD_ROWS = 256, 8
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -47,7 +49,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets all when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -359,13 +361,15 @@ def _results(joined: DataFrame, bits: int, texts: bool) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, texts: bool = False, bucket_words: int = BUCKET_WORDS, shard_bytes: int = SHARD_BYTES, scope: str = "op") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, repeats (maximal repeats as word ranges), and with texts kept_text, of every row."""
-    stored = store(spark, shards(docs, shard_bytes), "shards", scope)
+    with batch_rows(spark, DOC_ROWS):
+        stored = store(spark, shards(docs, shard_bytes), "shards", scope)
     words = stored.agg(F.sum("n_words")).first()[0] or 0
     bits = max(LEAST_BITS, (words // bucket_words).bit_length())
 
     def by_shard(answers: DataFrame, name: str) -> DataFrame:  # at most a bit for each word of the shard
         return answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
-    hits = by_shard(store(spark, shared_blocks(probes(stored, bits)), "hits", scope), "hits")
-    later = by_shard(store(spark, earlier(window_keys(stored.join(hits, "shard"), bits)), "later", scope), "later")
-    return _results(stored.join(hits.join(later, "shard", "left"), "shard", "left"), bits, texts)
+    with batch_rows(spark, SHARD_ROWS):
+        hits = by_shard(store(spark, shared_blocks(probes(stored, bits)), "hits", scope), "hits")
+        later = by_shard(store(spark, earlier(window_keys(stored.join(hits, "shard"), bits)), "later", scope), "later")
+        return store(spark, _results(stored.join(hits.join(later, "shard", "left"), "shard", "left"), bits, texts), "results", scope)
