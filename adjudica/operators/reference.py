@@ -6,89 +6,15 @@ an equi-join.
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import graph, source
-
-#: Declarations of TypeScript and JavaScript, in the order of the kinds; group 1 is the name.
-_DECLARED = (
-    ("function", re.compile(r"(?:^|[\s;{(=,])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]")),
-    ("function", re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+?)?|[A-Za-z_$][\w$]*)\s*=>")),
-    ("class", re.compile(r"(?:^|[\s;{(=])class\s+([A-Za-z_$][\w$]*)")),
-    ("interface", re.compile(r"(?:^|[\s;{])interface\s+([A-Za-z_$][\w$]*)")),
-    ("type", re.compile(r"(?:^|[\s;{])type\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*=")),
-    ("variable", re.compile(r"(?:^|[\s;{(])(?:const|let|var)\s+([A-Za-z_$][\w$]*)")),
-)
-_METHOD = re.compile(r"^\s*(?:(?:public|private|protected|static|readonly|async|override|abstract|get|set)\s+)*(\*?\s*[A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;]*$|^\s*(constructor)\s*\(")
-_NOT_METHODS = frozenset("if for while switch catch return function else do new typeof await super throw with".split())
-_QUIET = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
-_EXPORT = re.compile(r"^\s*export\b")
-
-
-def script_symbols(path: str, content: str) -> list[tuple]:
-    """Rows of source.SYMBOLS for TypeScript or JavaScript: declarations by line, extents by counting brackets.
-
-    Comments and texts are blanked first. A declaration ends with the bracket that its first line opens, or else with
-    itself. The parent is the innermost symbol around it; exported is what an export statement declares or lists.
-    """
-    plain = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content)
-    raw, lines = content.split("\n"), plain.split("\n")
-    depth, before = 0, []
-    for line in lines:
-        before.append(depth)
-        depth += line.count("{") - line.count("}")
-    listed = {x.split(" as ")[0].strip() for m in re.finditer(r"\bexport\s*\{([^}]*)\}(?!\s*from)", plain) for x in m[1].split(",")}
-    ends: dict[int, int] = {}  # by a line's depth, the line that closes what it opens
-    open_: list[int] = []
-    for n, line in enumerate(lines):
-        for c in line:
-            if c == "{":
-                open_.append(n)
-            elif c == "}" and open_:
-                ends[open_.pop()] = n
-    found: list[tuple[int, int, str, str]] = []
-    classes: list[tuple[int, int, int]] = []
-    for n, line in enumerate(lines):
-        end = next((ends[k] for k in (n, n + 1, n + 2) if k in ends and (k == n or "{" not in line and ";" not in "".join(lines[n:k]))), n)
-        taken = set()
-        for kind, pattern in _DECLARED:
-            for m in pattern.finditer(line):
-                if m[1] not in taken:
-                    taken.add(m[1])
-                    found.append((n, end if kind != "variable" else n, kind, m[1]))
-                    if kind == "class":
-                        classes.append((n, end, before[n]))
-        if not taken and (m := _METHOD.match(line)):
-            name = (m[2] or m[1]).lstrip("* ")
-            if name not in _NOT_METHODS and any(a < n <= b and before[n] == d + 1 for a, b, d in classes):
-                found.append((n, end, "method", name))
-    out = []
-    for n, end, kind, name in found:
-        around = [f for f in found if f[0] <= n and end <= f[1] and f[2] != "variable" and (f[0], f[1]) != (n, end)]
-        parent = min(around, key=lambda f: f[1] - f[0])[3] if around else None
-        doc = re.search(r"/\*\*((?:(?!\*/).)*)\*/\s*$", "\n".join(raw[max(0, n - 40) : n]), re.S)
-        told = re.sub(r"\s*\n\s*\*?\s*", " ", doc[1]).strip(" *") if doc else None
-        head = re.sub(r"\s*[{=]\s*$", "", raw[n].strip())[:120]
-        out.append((path, name, kind, n + 1, end + 1, parent, bool(_EXPORT.match(lines[n])) or (parent is None and name in listed), head, told or None))
-    return out
-
+from . import graph, source, tokens
 
 def symbols(files: DataFrame) -> DataFrame:
     """source.SYMBOLS of Python, TypeScript and JavaScript files (path, content); other files have none."""
-
-    def run(rows):
-        for batch in rows:
-            found = [s for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) if c for s in script_symbols(p, c)]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in source.SYMBOLS.split(", ")])
-
-    script = files.where(text.language(F.col("path")).isin("typescript", "javascript")).select("path", "content").mapInArrow(run, source.SYMBOLS)
-    return source.python_symbols(files).unionByName(script)
+    return source.python_symbols(files).unionByName(tokens.symbols(files))
 
 
 def heritage_edges(declared: DataFrame, clauses: DataFrame) -> DataFrame:
