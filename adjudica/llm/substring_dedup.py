@@ -43,6 +43,8 @@ DOC_ROWS, SHARD_ROWS = 256, 8
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: One for each run of BLOCK / 2 words in a window: powers of an odd number, so that no two are alike.
+_FACTORS = [np.uint64(pow(0x5851F42D4C957F2D, k, 1 << 64)) for k in range(1, 5)]
 
 
 class _Hashes(dict):
@@ -85,18 +87,20 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
-def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A hash of every run of n words, built from runs of half the length."""
-    known = {1: hashes ^ np.uint64(seed)}
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of BLOCK / 2 words and of BLOCK words, built from runs of half the length; BLOCK is 10."""
+    longer = lambda a, b, k: _pair(a[: max(0, len(b) - k)], b[k:])  # noqa: E731  a's run, then b's from k words on
+    two = longer(hashes, hashes, 1)
+    five = longer(longer(two, hashes, 2), two, 3)
+    return five, longer(five, five, BLOCK // 2)
 
-    def run(k: int) -> np.ndarray:
-        if k not in known:
-            left, right = run(k - k // 2), run(k // 2)
-            m = max(0, len(hashes) - k + 1)
-            known[k] = _pair(left[:m], right[k - k // 2 :][:m])
-        return known[k]
 
-    return run(n)
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -141,9 +145,11 @@ class Shard:
         self.place = place - np.repeat(ends - self.counts, self.counts)
         self.ends = ends
 
+        self.runs = _runs(self.hashes)
+
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of BLOCK words, and where they lie within one document."""
-        found = grams(self.hashes, BLOCK)
+        found = self.runs[1]
         return found, self.left[: len(found)] >= BLOCK
 
     def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +162,10 @@ class Shard:
         at = np.minimum(np.searchsorted(shared, found), len(shared) - 1)
         hits = np.concatenate([[0], np.cumsum((shared[at] == found) & inside)])
         starts = np.flatnonzero((hits[WINDOW - BLOCK + 1 :][:n] > hits[:n]) & (self.left[:n] >= WINDOW))
-        return starts, grams(self.hashes, WINDOW)[starts], grams(self.hashes, WINDOW, 0x5851F42D4C957F2D)[starts] >> np.uint64(32)
+        second = np.zeros(len(starts), np.uint64)
+        for k, factor in zip(range(0, WINDOW, BLOCK // 2), _FACTORS, strict=True):
+            second += self.runs[0][starts + k] * factor
+        return starts, _pair(found[starts], found[starts + BLOCK]), second >> np.uint64(32)
 
 
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +261,7 @@ def shared_blocks(asked: DataFrame) -> DataFrame:
         columns = [table.column(c).to_pylist() for c in ("hashes", "more", "blocks")]
         found = np.concatenate([_unplanes(x, np.uint32) for x in columns[0]])
         more, index = (np.concatenate([_flags(x, n) for x, n in zip(c, sizes, strict=True)]) for c in columns[1:])
-        blocks = np.unique(found[index])
+        blocks = distinct(found[index])
         if not len(blocks):
             return _answers(table, np.zeros(len(found), bool))
         at = np.minimum(np.searchsorted(blocks, found), len(blocks) - 1)
@@ -266,7 +275,7 @@ def shared_blocks(asked: DataFrame) -> DataFrame:
 def _shared(s: Shard, answers: list[dict] | None, bits: int) -> np.ndarray:
     """The shard's probes that its answers name, sorted."""
     found, inside = s.probes()
-    keys = np.unique(found[inside])
+    keys = distinct(found[inside])
     spans = {k: (a, b) for k, a, b in _ranges(keys, bits)}
     parts = [keys[slice(*spans[x["bucket"]])][_flags(x["bits"], spans[x["bucket"]][1] - spans[x["bucket"]][0])] for x in sorted(answers or (), key=lambda x: x["bucket"])]
     return np.concatenate([np.zeros(0, np.uint64), *parts])

@@ -111,12 +111,14 @@ def test_empty_table(spark):
     assert divergence.audit(spark, none).count() == 0
 
 
-def test_grams_tell_runs_apart():
+def test_runs_are_told_apart():
     """Words in a Thue-Morse order and their complement, which hashes by powers of one base confuse."""
     bits = [bin(i).count("1") % 2 for i in range(4096)]
     h = substring_dedup.word_hashes(" ".join("ab"[x] for x in bits).encode())
-    assert len(set(substring_dedup.grams(h, 20).tolist())) == len({tuple(bits[i : i + 20]) for i in range(4077)})
-    assert len(substring_dedup.grams(h[:19], 20)) == 0
+    for k, found in zip((5, 10), substring_dedup._runs(h), strict=True):
+        of = [tuple(bits[i : i + k]) for i in range(4096 - k + 1)]
+        assert len(found) == len(of) and len(set(zip(found.tolist(), of, strict=True))) == len(set(of)) == len(set(found.tolist()))
+    assert [len(x) for x in substring_dedup._runs(h[:4])] == [0, 0]
 
 
 @settings(max_examples=60, deadline=None)
