@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from bisect import bisect_left
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -42,8 +43,10 @@ from .common import batches, store, task
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _PART = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?""")
 _BARE = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
+_EQUALS = re.compile(r"\s*=\s*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 #: Element names of HTML, fixed values.
@@ -57,6 +60,10 @@ CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr",
 #: Roles that element names and class or id words state.
 NOISE_NAMES = frozenset("nav aside footer form header menu dialog button select label".split())
 NOISE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header menu modal nav navbar navigation newsletter notice pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that make a compound tell how its element is, not what it is; and what has headers and footers of its own.
+STATE_FIRST = frozenset("has have is no not with without".split())
+STATE_LAST = frozenset("closed disabled enabled off on open".split())
+EDGES = frozenset("header footer".split())
 CONTENT_NAMES = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content entry main post story".split())
 #: So many contents of importance 1 stand behind a stated article.
@@ -78,13 +85,21 @@ class _Source:
     def __init__(self, text: str):
         self.text = text
         self._none: dict[str, int] = {}
+        self._next: dict[str, tuple[int, int]] = {}
+        self._dead: set[int] = set()  # places between attributes from which no tag ends
+        self._stops: tuple[list[int], list[int]] | None = None
 
     def find(self, what: str, at: int) -> int:
         if at >= self._none.get(what, len(self.text) + 1):
             return -1
+        a, b = self._next.get(what, (0, -1))
+        if a <= at <= b:
+            return b
         got = self.text.find(what, at)
         if got < 0:
             self._none[what] = at
+        else:
+            self._next[what] = at, got
         return got
 
     def tag(self, at: int) -> tuple[str, bool, dict[str, str], bool, int] | None:
@@ -93,12 +108,18 @@ class _Source:
         m = _NAME.match(self.text, at + 1)
         if not m or self.find(">", at) < 0:
             return None
-        closes, i, found = m[0][0] == "/", m.end(), {}
+        closes, i, found, end = m[0][0] == "/", m.end(), {}, -1
         if self.text[i] == ">":
             return m[1].lower(), closes, found, False, i + 1
+        if self._dead and not self._ends(i):
+            return None
+        passed = []
         while True:
-            end = self.find(">", i)
+            passed.append(i)
+            if end < i:
+                end = self.find(">", i)
             if end < 0:
+                self._dead.update(passed)
                 return None
             part = _PART.match(self.text, i)
             if not part or part.start(1) > end:
@@ -114,21 +135,52 @@ class _Source:
                     value, i = bare[0], bare.end()
             found.setdefault(part[1].lower(), value)
 
+    def _ends(self, i: int) -> bool:
+        """Whether the tag whose attributes begin at i has an end. Once one tag has none, others that begin inside it are first
+        followed by places alone: no place is passed twice, and no run of characters is looked at again."""
+        text = self.text
+        if self._stops is None:
+            self._stops = [m.start() for m in re.finditer(r"[\s/>=]", text)], [m.start() for m in re.finditer(r"[\s>]", text)]
+        after = lambda k, at: stops[j] if (j := bisect_left(stops := self._stops[k], at)) < len(stops) else len(text)
+        passed = []
+        while i not in self._dead:
+            passed.append(i)
+            end = self.find(">", i)
+            if end < 0:
+                break
+            name = _GAP.match(text, i).end()
+            if name >= len(text) or text[name] in ">=" or name > end:
+                return True
+            i = after(0, name)
+            sign = _EQUALS.match(text, i)
+            if sign:
+                i = sign.end()
+                quote = text[i : i + 1]
+                shut = self.find(quote, i + 1) if quote in ("'", '"') and quote else -1
+                i = shut + 1 if shut >= 0 else after(1, i)
+        self._dead.update(passed)
+        return False
+
 
 def _role(name: str, attributes: dict[str, str], outer: str) -> str:
     """'n' noise, 'c' content, 'h' hidden or '' for an element, which then has the role around it; headers and footers of an
-    article are its own. A word counts where it is a class or id by itself, or all words of a compound are noise; a compound
-    ends in what it is (main-content), but with both kinds of words (entry-header, has-sidebar) it states nothing."""
+    article are its own. A class or id is taken by its words, camel case too. It is noise where its first or last word is, or
+    where a word is and none is of content; content where it ends in such a word (main-content). Inner words of both kinds
+    (content-sidebar-wrap), states (has-sidebar, comments-open), and headers and footers of content (entry-header) state nothing."""
     noise = content = False
     if attributes and name not in ("html", "body"):
         if ("hidden" in attributes and attributes["hidden"].lower() != "until-found") or _HIDDEN.search(attributes.get("style", "")):
             return "h"
         for key in ("class", "id", "role"):
-            for token in attributes.get(key, "").lower().split():
-                words = _WORDS.findall(token)
-                bad = sum(w in NOISE_WORDS for w in words)
-                noise |= 0 < bad == len(words)
-                content |= not bad and bool(words) and words[-1] in CONTENT_WORDS
+            for token in attributes.get(key, "").split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                bad, good = [w in NOISE_WORDS for w in words], [w in CONTENT_WORDS for w in words]
+                if not words or any(bad) and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+                    continue
+                if any(bad) and words[-1] in EDGES and (any(good) or outer == "c"):
+                    continue
+                noise |= bad[0] or bad[-1] or any(bad) and not any(good)
+                content |= good[-1] and not bad[0]
     if name in CONTENT_NAMES:
         return "n" if noise and not content else "c"
     if name in NOISE_NAMES and not (outer == "c" and name == "header"):

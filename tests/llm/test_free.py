@@ -86,6 +86,33 @@ def test_odd_pages_are_read_in_linear_time():
     for page in ("<a " * 300_000, "<div>" * 100_000 + "x" + "</b>" * 100_000, '<a href="' * 100_000, "<p>" + "<b>" * 50_000 + "<div></div>" * 50_000, "<!--" * 100_000, "<![CDATA[" * 50_000, "<ul><li>" * 30_000 + "</li>" * 50_000):
         html_extract.blocks(page)
     assert time.time() - began < 20
+    n = 1_000_000
+    for page in ("<p>" + '<a href="x>" ' * (n // 13), "<a " + "x " * (n // 2) + ">", "<p>" + "<a x=<b/x=" * (n // 10) + ' y=">"', "<p>" + " <a<a" * (n // 5) + ' b=">"', "<p>" + '<a x="' * (n // 6) + "'>"):
+        began = time.time()
+        html_extract.blocks(page)
+        assert time.time() - began < 10  # twice that of half the length; a second or two on an idle machine
+
+
+def test_compound_names():
+    page = "<body><div class={}>out</div><article><p>in</p><div class={}>more</div></article></body>"
+    for name in ("comment-body", "share-buttons", "user-comments-section", "main-menu", "sidebar-left", "article-comments", "adBanner", "site-nav", "relatedPosts"):
+        assert text_of(page.format("x", name)) == "in", name
+    for name in ("site-footer", "main-menu", "sidebar-left", "adBanner", "page-header"):
+        assert [r for _, r, t in html_extract.blocks(page.format(name, "x")) if t == "out"] == ["n"], name
+    for name in ("entry-header", "has-sidebar", "comments-open", "content-sidebar-wrap", "post-header", "lead"):
+        assert text_of(page.format("x", name)) == "in\nmore", name
+    wrapped = "<div class='{}'><article><p>in</p></article></div>"
+    assert all(text_of(wrapped.format(name)) == "in" for name in ("content has-sidebar", "post comments-open", "content-sidebar-wrap"))
+
+
+def test_tags_without_an_end_are_text_whatever_came_before():
+    """The careful reading after a failed tag gives what a fresh one gives."""
+    rnd = random.Random(6)
+    for _ in range(3000):
+        page = "".join(rnd.choice(["<", "<a", "<p", ">", '"', "'", " ", "=", "/", "x", 'x="', "b=", "\n", "</p>"]) for _ in range(rnd.randrange(24)))
+        source = html_extract._Source(page)
+        for at in [i for i, c in enumerate(page) if c == "<"]:
+            assert source.tag(at) == html_extract._Source(page).tag(at), page
 
 
 # URLs
@@ -311,3 +338,12 @@ def test_long_text_hashes_like_its_pieces(monkeypatch):
     whole = near_dedup.shingle_sets([t.encode()], 4)[0]
     monkeypatch.setattr(near_dedup, "SLICE_BYTES", 500)
     assert (near_dedup.shingle_sets([t.encode()], 4)[0] == whole).all()
+
+
+def test_words_that_powers_of_a_base_confuse_are_not_linked(spark):
+    """A Thue-Morse word of 2048 letters and its complement have one hash under every odd base modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(spark, docs, words=4, percent=80).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
