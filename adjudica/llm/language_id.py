@@ -1,7 +1,7 @@
 """Operator 1, language identification.
 
 An interpolated Kneser-Ney character model per language. Fitting runs on a bounded sample of labelled rows
-(``sample_rows`` per language and ``sample_total`` in all, in expectation, each row of its first ``sample_chars``
+(``sample_rows`` per language and ``sample_total`` in all, each row of its first ``sample_chars``
 characters); scoring covers every whole text. The models are kept as sorted hash arrays: for each order, the sorted 64-bit hashes of the n-grams
 that any language has seen, and a row of log probabilities (one column for each language) for each. Log probabilities
 are interpolated at fitting time, so that scoring looks up the longest known n-gram and adds the back-off weights of
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -336,22 +336,23 @@ def _calibrate(model: Ensemble, held: list[tuple[int, str, str]]) -> None:
         model.limit = known + slack
 
 
-#: Rows of each language that are learned from in expectation, however many languages there are.
+#: Rows of each language that are learned from at least, however many languages there are.
 LEAST_ROWS = 16
 
 
 def sampled(docs: DataFrame, allowed: F.Column, sample_rows: int, sample_chars: int, sample_total: int) -> list[tuple[int, str, str]]:
-    """A bounded sample of labelled rows: of each language, a share of rows by the hash of the id that gives sample_rows in
-    expectation, or fewer where all languages together would have over sample_total."""
-    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A bounded sample of labelled rows: of each language the sample_rows with the smallest hashes of id and text, or fewer
+    where all languages together would have over sample_total. First the hash that bounds each language's sample is found,
+    without texts; rows that repeat id and text have one hash, so the second pick counts again."""
+    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("place"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # the languages that a result may name
     if not counts:
         return []
     sample_rows = min(sample_rows, max(LEAST_ROWS, sample_total // len(counts)))
-    shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["n"]))]
-    share = F.element_at(F.create_map(*shares), F.col("lang"))
-    place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003))
-    got = known.where(place < share * 1_000_003).select(place.alias("place"), F.substring("text", 1, sample_chars).alias("text"), "lang")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    bounds = known.select("lang", "place").withColumn("k", nth).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("place").alias("bound")).collect()
+    bound = F.element_at(F.create_map(*[F.lit(x) for r in bounds for x in (r["lang"], r["bound"])]), F.col("lang"))
+    got = known.where(F.col("place") <= bound).select("place", F.substring("text", 1, sample_chars).alias("text"), "lang").withColumn("k", nth).where(F.col("k") <= sample_rows)
     return sorted((r["place"], r["text"], r["lang"]) for r in got.collect())
 
 

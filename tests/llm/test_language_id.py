@@ -88,3 +88,14 @@ def test_a_language_of_long_rows_only_is_learned(spark):
     docs = spark.createDataFrame([(1, "le monde est grand et les gens aussi " * 1000, "fr"), (2, "the world is large and so are the people", "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in L.identify(spark, docs).collect()}
     assert got == {1: "fr", 2: "en"}
+
+
+def test_sample_is_bounded_whatever_ids_repeat(spark):
+    null = [(None, f"text {i} of many", "en") for i in range(5000)]
+    same = [(None, "one text", "fr")] * 900 + [(7, "one text", "fr")] * 900
+    few = [(i, f"selten {i}", "de") for i in range(3)]
+    docs = spark.createDataFrame(null + same + few, "doc_id long, text string, lang string").repartition(5)
+    got = L.sampled(docs, F.lit(True), 400, 100, 8000)
+    count = lambda lang: sum(x == lang for *_, x in got)
+    assert (count("en"), count("fr"), count("de")) == (400, 400, 3)
+    assert got == L.sampled(docs.repartition(2), F.lit(True), 400, 100, 8000)
