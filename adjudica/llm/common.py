@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +73,52 @@ def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges [a, b) whose texts hold about limit bytes together; one longer text is a range of its own."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+def spans(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Index ranges [a, b) whose sizes add up to about the limit; one larger is a range of its own."""
+    a = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield a, i
-            a, size = i, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """spans() of texts by their bytes."""
+    return spans([len(t) for t in texts], limit)
+
+
+class WordHashes(dict):
+    """Word to 64-bit hash; forgets all when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 150_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = WordHashes()
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes of a text that are split at once.
+PIECE = 1_000_000
+
+
+def pieces(text: bytes, limit: int = PIECE) -> Iterator[list[bytes]]:
+    """The words [^\\x20\\x09-\\x0D]+ of the text, in pieces of about limit bytes."""
+    a = 0
+    while a < len(text):
+        cut = _BLANK.search(text, a + limit) if len(text) - a > limit else None
+        b = cut.start() if cut else len(text)
+        yield text[a:b].split()
+        a = b + 1
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    parts = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in pieces(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -103,6 +142,9 @@ def on_release(drop: Callable[[], None]) -> None:
     _drops.append(drop)
 
 
+on_release(_hashes.clear)
+
+
 def begin(operator: str) -> None:
     if _served[0] != operator:
         for drop in _drops:

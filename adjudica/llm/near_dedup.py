@@ -24,7 +24,6 @@ its shingle set is held in one worker. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, batch_rows, batches, on_release, slices, store, task, utf8
+
+from . import common
+from .common import SLICE_BYTES, batch_rows, batches, slices, store, task, utf8
 
 BANDS, ROWS = 24, 4
 #: Registers of a signature; the first BANDS * ROWS make the bands, all serve the estimate.
@@ -47,9 +48,6 @@ SALTS = 16
 ELEMENTS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x100000001B3
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,45 +56,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    a, b = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    a[0] = b[0] = 1
-    return np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
-
-
-on_release(_powers.cache_clear)
-
-
-def _hash_words(low: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the words of a lower-cased buffer, and their hashes."""
-    buf = np.frombuffer(low, np.uint8)
-    word = np.zeros(len(buf) + 2, bool)
-    word[1:-1] = ~_WHITE[buf]
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(21, (len(buf) + 1).bit_length()))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The text's number and the hash of each word, in order. A text longer than SLICE_BYTES is hashed in pieces cut at white space."""
-    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
-        text, found, a = texts[0], [], 0
-        while a < len(text):
-            b = min(a + SLICE_BYTES, len(text))
-            while b < len(text) and not _WHITE[text[b]]:
-                b += 1
-            found.append(_hash_words(text[a:b].lower())[1])
-            a = b
-        h = np.concatenate(found)
-        return np.zeros(len(h), np.int64), h
-    start, h = _hash_words(b"\n".join(texts).lower())
-    heads = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    return np.searchsorted(heads, start, "right") - 1, h
+    """The text's number and the hash of each word, in order. Words are hashed as whole strings, so that no rule of letters
+    makes different ones alike."""
+    each = [common.word_hashes(t.lower()) for t in texts]
+    return np.repeat(np.arange(len(texts)), [len(h) for h in each]), np.concatenate([np.zeros(0, np.uint64), *each])
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:

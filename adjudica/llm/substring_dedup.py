@@ -14,68 +14,36 @@ order. Ranges grow in number with the corpus (``bucket_words`` words each); a wo
 Defined results: null or empty text has no words; nothing is removed and the digest is that of no bytes. A document of
 fewer words than a window keeps all. A null id is later than all others. Rows that share an id are documents of their own,
 in the order of their texts' hashes; of rows that repeat both, the first keeps its words and the others are copies. Extra
-columns aren't read. A very long text is a shard of its own, hashed in pieces of ``PIECE`` bytes. An empty table gives no rows.
+columns aren't read. A very long text is a shard of its own, hashed in pieces. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, batches, begin, on_release, store, task
+from .common import batch_rows, batches, begin, pieces, store, task, word_hashes
 
 WINDOW, BLOCK = 20, 10
-#: Text bytes of a shard and of a piece of a text, words of a hash range.
-SHARD_BYTES, PIECE, BUCKET_WORDS = 3_000_000, 1_000_000, 4_000_000
+#: Text bytes of a shard, words of a hash range.
+SHARD_BYTES, BUCKET_WORDS = 3_000_000, 4_000_000
 LEAST_BITS = 6
 #: Documents, and shards, that a Python worker is handed at once.
 DOC_ROWS, SHARD_ROWS = 256, 8
 
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: One for each run of BLOCK / 2 words in a window: powers of an odd number, so that no two are alike.
 _FACTORS = [np.uint64(pow(0x5851F42D4C957F2D, k, 1 << 64)) for k in range(1, 5)]
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets all when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-on_release(_hashes.clear)
-
-
-def pieces(text: bytes, limit: int = PIECE) -> Iterator[list[bytes]]:
-    """The words [^\\x20\\x09-\\x0D]+ of the text, in pieces of about limit bytes."""
-    a = 0
-    while a < len(text):
-        cut = _SPACE.search(text, a + limit) if len(text) - a > limit else None
-        b = cut.start() if cut else len(text)
-        yield text[a:b].split()
-        a = b + 1
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    parts = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in pieces(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
-
-
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One well-mixed number for each two, in their order."""
     x = left * _ODD
