@@ -45,6 +45,8 @@ _HEAD = struct.Struct("<4sIIQ")
 
 #: A space between two characters that aren't white space: the byte-level pre-tokenizer always starts a piece there.
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: So it does around a newline.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 #: White space other than spaces and newlines, and what a plain split at spaces would cut wrongly.
 _ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", " \n", "\n "]
 
@@ -182,6 +184,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.spaced, self.bare = Memo(self.after_space), Memo(self.plain)
         self.newline = self.whole("\n")
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
@@ -197,7 +200,8 @@ class Encoder:
         """Of letters, after a space or not: always one piece, so the tokenizer's model can be asked at once."""
         if not self.one_piece:
             return self.whole(text)
-        return _u4([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
+        shown = text if text.isascii() else text.encode().decode("latin-1")
+        return _u4([t.id for t in self.model.tokenize(shown.translate(self.letters))])
 
     def after_space(self, piece: str) -> bytes:
         return self.word(" " + piece) if piece.isalpha() else self.parts(piece, self.spaced) or self.whole(" " + piece)
@@ -217,9 +221,15 @@ class Encoder:
             return memo[stem] + self.bare[piece[len(stem) :]]
         return None
 
-    def __call__(self, text: str) -> bytes:
+    def line(self, text: str) -> bytes:
         first, *rest = cut(text)
-        return self.whole(first) + b"".join(map(self.spaced.__getitem__, rest)) if rest else self.whole(first)
+        head = self.bare[first] if first.split() == [first] else self.whole(first)
+        return head + b"".join(map(self.spaced.__getitem__, rest)) if rest else head
+
+    def __call__(self, text: str) -> bytes:
+        """Line by line where a single newline stands between other characters, so that words around it aren't remembered
+        in pairs."""
+        return self.newline.join(map(self.line, _LINE.split(text))) if "\n" in text else self.line(text)
 
 
 @lru_cache(2)
