@@ -57,6 +57,19 @@ from {documents}
 """
 
 
+_GROUP = "'src/g' || cast(cast(floor(doc_id / 10) as bigint) as {string}) || '/m'"
+
+#: Script files: each document is a module with a function and a class, its text being a comment; two of ten are tests. Modules
+#: of ten documents import each other in a line.
+SOURCES = f"""
+select case when doc_id % 5 = 4 then {_GROUP} || cast(doc_id - 1 as {{string}}) || '.test.ts' else {_GROUP} || cast(doc_id as {{string}}) || '.ts' end as path,
+  case when doc_id % 10 <> 0 then replace('import {{ fP }} from {{q}}./mP{{q}};\n', 'P', cast(doc_id - 1 as {{string}})) else '' end ||
+  case when doc_id % 5 = 4 then replace('const t = fP({{q}}x{{q}});\n', 'P', cast(doc_id - 1 as {{string}}))
+  else '/** ' || replace(coalesce(text, ''), '*/', '* /') || '\n */\n' || replace(replace('export function fK(\n  first: string,\n  second = /[{{"`]/,\n) {{\n  // }}\n  return `a ${{ fP(`b }}`) }} {{`;\n}}\nclass CK extends CP {{\n  get(x) {{\n    return {{q}}}}{{q}};\n  }}\n}}\n', 'K', cast(doc_id as {{string}})), 'P', cast(doc_id - 1 as {{string}})) end as content
+from {{documents}}
+"""
+
+
 def _days(column: str) -> str:
     return f"datediff({column}, date'1992-01-01')"
 
@@ -112,10 +125,27 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PATHS.replace("{string}", "string"), documents=table(spark, sf_dir, "documents"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of script files made of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    docs.createOrReplaceTempView("_sources_documents")
+    return spark.sql(SOURCES.replace("{string}", "string").replace("{documents}", "_sources_documents").replace("{q}", "\\'"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(oid, parent, nth, time): orders as commits; the parent is an order up to 40 before, and of every fourth a second one up to
+    7 before; orders without one are roots."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    first = orders.select("k", F.lit(1).alias("nth"), (F.col("k") - 1 - F.col("c") % 40).alias("p"))
+    second = orders.where("k % 4 = 0").select("k", F.lit(2).alias("nth"), (F.col("k") - 1 - F.col("c") % 7).alias("p"))
+    return first.unionAll(second).select(F.col("k").cast("string").alias("oid"), F.when(F.col("p") >= 0, F.col("p")).cast("string").alias("parent"), "nth", F.col("k").alias("time"))
+
+
 def duck(sql: str) -> str:
     """A binding in DuckDB's dialect."""
     days = "cast(datediff('day', date '1992-01-01', cast({} as date)) as int)"
-    out = sql.replace("{findings}", FINDINGS).replace("{days}", days.format("l_shipdate")).replace("{odays}", days.format("o_orderdate")).replace("{string}", "varchar")
+    out = sql.replace("\\n", "' || chr(10) || '") if sql is SOURCES else sql
+    out = out.replace("{q}", "''").replace("{findings}", FINDINGS).replace("{days}", days.format("l_shipdate")).replace("{odays}", days.format("o_orderdate")).replace("{string}", "varchar")
     for name in ("lineitem", "orders", "part", "documents", "supplier"):
         out = out.replace("{" + name + "}", name)
     return out

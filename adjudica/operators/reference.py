@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.shared import store
 from . import graph, source, tokens
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -39,13 +40,13 @@ def test_edges(files: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def build(files: DataFrame, aliases: dict[str, str] | None = None, packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, symbols) of files (path, content). Every edge has its mirror."""
-    declared = symbols(files)
+    declared = store(symbols(files), "symbols")
     at = text.layer(F.col("path")).alias("layer")
     nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), text.basename(F.col("path")).alias("name"), "path", at)
     ident = text.symbol_id(F.col("path"), F.col("name"), F.col("kind"))
     nodes = nodes.unionByName(declared.select(ident.alias("id"), F.lit("symbol").alias("kind"), "name", "path", at)).dropDuplicates(["id"])
-    found = source.imports(files)
-    resolved = source.resolve_imports(found, files, aliases, packages)
+    found = store(source.imports(files), "imports")
+    resolved = store(source.resolve_imports(found, files, aliases, packages), "resolved")
     links = resolved.where("resolved is not null").select(F.col("path").alias("src"), F.col("resolved").alias("dst"), F.lit("imports").alias("kind"))
     calls = source.call_edges(found, resolved, declared)
     edges = links.unionByName(calls).unionByName(heritage_edges(declared, source.heritage(files))).unionByName(test_edges(files, resolved))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.shared import store
 from . import intervals
 
 TOKENS = "path string, seq int, kind string, text string, line int, end_line int"
@@ -188,9 +189,9 @@ def doc_comments(found: DataFrame) -> DataFrame:
 def symbols(files: DataFrame) -> DataFrame:
     """(path, name, kind, start_line, end_line, parent, exported, signature, docstring) of the files' declarations. The
     signature is the text from the symbol's line on, up to three lines, up to a brace or semicolon, or else 120 characters."""
-    found = tokens(files)
-    code = structure(found)
-    declared = declarations(code)
+    found = store(tokens(files), "tokens")  # read many times below
+    code = store(structure(found), "code")
+    declared = store(declarations(code), "declarations")
     inside = declared.where("close is not null and kind <> 'variable'").select("path", F.struct("open", "name").alias("r_id"), F.col("open").alias("r_start"), F.col("close").alias("r_end"))
     around = intervals.innermost(declared.withColumn("id", F.struct("path", "at", "name", "kind")), inside, "path", "at", ["id"]).select(F.col("id.path").alias("path"), F.col("id.at").alias("at"), F.col("id.name").alias("name"), F.col("id.kind").alias("kind"), F.col("r_id.name").alias("parent"))
     lines = files.select("path", F.split("content", "\n").alias("_lines"))

@@ -146,7 +146,29 @@ _FLOOR = f"""(select r.*, ne, case when quantity % 7 = 0 then 'todo: ' || title
  from {_RELEVANT} r join (select fixture, count(*) - 1 ne from {F_} group by 1) e using (fixture))"""
 _MINUS = f"(select * from {_HUNKS} where r_start % 4 = 0)"
 
+#: Script files: number, path, whether a test, and the line of the function.
+_S = f"""(select doc_id k, path, doc_id % 5 = 4 test, (doc_id % 10 <> 0)::int + 2 + length(text) - length(replace(text, chr(10), '')) + 1 s from documents join (
+ select doc_id, case when doc_id % 5 = 4 then 'src/g' || doc_id // 10 || '/m' || (doc_id - 1) || '.test.ts' else 'src/g' || doc_id // 10 || '/m' || doc_id || '.ts' end path from documents) using (doc_id))"""
+_LINKS = f"""(select a.path src, b.path dst, 'imports' kind from {_S} a join {_S} b on b.k = a.k - 1 and a.k % 10 <> 0 and not b.test
+ union all select a.path, sha256(b.path || 'f' || b.k || 'function'), 'calls' from {_S} a join {_S} b on b.k = a.k - 1 and a.k % 10 <> 0 and not b.test
+ union all select sha256(a.path || 'C' || a.k || 'class'), sha256(b.path || 'C' || b.k || 'class'), 'implements' from {_S} a join {_S} b on b.k = a.k - 1 and not b.test and not a.test
+ union all select a.path, b.path, 'tests' from {_S} a join {_S} b on b.k = a.k - 1 and a.test, range(2) t)"""
+_COMMITS = "(select o_orderkey k, o_orderkey - 1 - o_custkey % 40 p from orders union all select o_orderkey, o_orderkey - 1 - o_custkey % 7 from orders where o_orderkey % 4 = 0)"
+
 ORACLES = {
+    "reference_graph": f"select * from {_LINKS} union all select dst, src, case kind when 'imports' then 'imported_by' when 'calls' then 'called_by' when 'implements' then 'implemented_by' else 'tested_by' end from {_LINKS}",
+    "script_symbols": f"""select path, 'f' || k as name, 'function' kind, s::bigint start_line, (s + 6)::bigint end_line, null::varchar parent, true exported, 'export function f' || k || '(   first: string,   second = /[' as signature from {_S} where not test
+union all select path, 'C' || k, 'class', s + 7, s + 11, null, false, 'class C' || k || ' extends C' || (k - 1) from {_S} where not test
+union all select path, 'get', 'method', s + 8, s + 10, 'C' || k, false, 'get(x)' from {_S} where not test
+union all select path, 't', 'variable', 2, 2, null, false, 'const t = f' || (k - 1) || '(''x'')' from {_S} where test""",
+    "repository_files": """select 'c-' || source as name, lang || '/' || (doc_id % 100) || '/' || doc_id || '.txt' as path, case when doc_id % 3 = 0 then '100755' else '100644' end as mode, sha1('blob ' || strlen(text) || chr(0) || text) oid,
+(source > (select min(source) from documents))::bigint n_parents from documents""",
+    "history_bases": f"""with recursive e as (select * from {_COMMITS} where p >= 0), l as (select o_orderpriority r, max(o_orderkey) k from orders group by 1),
+reach(r, k) as (select r, k from l union select reach.r, e.p from reach join e using (k)),
+common as (select a.r || '|' || b.r id, k from reach a join reach b using (k) where a.r < b.r)
+select id, k::varchar oid from common c where not exists (select 1 from e join common x on x.k = e.k where e.p = c.k and x.id = c.id)""",
+    "history_log": f"""with recursive e as (select * from {_COMMITS} where p >= 0), reach(k) as (select max(o_orderkey) from orders union select e.p from reach join e using (k))
+select k::varchar oid, k as at from reach order by k desc limit 100""",
     "token_usage": "select event_type, sum(strlen(props))::bigint prompt_tokens, sum(case when user_id % 3 > 0 then user_id else 0 end)::bigint completion_tokens, sum(case when user_id % 3 > 0 then strlen(props) + user_id else 0 end)::bigint total_tokens from events group by 1",
     "retry_replay": """with c as (select user_id request, event_id % 7 k, row_number() over (partition by user_id order by event_id) rn from events),
 g as (select request, count(*) n, min(rn) filter (k >= 4) t, arg_min(k, rn) filter (k >= 4) kt from c where rn <= 4 group by 1)

@@ -7,17 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bind
 from .functions import scoring, text, vocab
-from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, reference, relevance, selection, snapshot
+from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, reference, relevance, selection, snapshot, tokens
+from .operators.history import CommitIndex
 from .oracles import ORACLES
 from .plans import review, stages
 from .plans.shared import store
 from .sinks import report
-from .sources import repository
+from .sources import gitstore, repository
 from .sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,10 +410,52 @@ def review_stages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between paths by the names of tests, with their mirrors."""
-    files = bind.paths(spark, d).select("path").distinct()
-    got = reference.test_edges(files, spark.createDataFrame([], "path string, resolved string"))
-    return graph.reciprocal(got)
+    """All edges between the files and symbols of script files."""
+    return reference.build(store(bind.sources(spark, d), "sources"))[1]
+
+
+def script_symbols(spark: SparkSession, d: str) -> DataFrame:
+    got = tokens.symbols(store(bind.sources(spark, d), "sources"))
+    return _long(got.drop("docstring"), "start_line", "end_line")
+
+
+def repository_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each commit of a packed repository, one commit for each source on a line of them, each with its source's documents; what is
+    read back from the packs."""
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("c-"), F.coalesce("source", F.lit("none")))
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(name.alias("commit"), path.alias("path"), F.when(F.col("doc_id") % 3 == 0, "100755").otherwise("100644").alias("mode"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    names = files.select("commit").distinct()
+    line = names.select("commit", F.lag("commit").over(Window.orderBy("commit")).alias("parent"), F.row_number().over(Window.orderBy("commit")).cast("long").alias("time"))  # a row for each source
+    at = gitstore.shared_path(spark)
+    made = gitstore.write_repository(files, line.select("commit", "parent", F.lit("adjudica").alias("author"), "time", F.col("commit").alias("message")), at)
+    read = gitstore.commits(spark, at).select(F.col("oid").alias("commit"), F.trim("message").alias("name"), F.size("parents").cast("long").alias("n_parents"))
+    read = read.join(made.select(F.col("oid").alias("commit")), "commit", "left_semi").select(F.regexp_replace("name", r"\s+$", "").alias("name"), "commit", "n_parents")
+    found = gitstore.snapshots(spark, at, read.select("commit"))
+    return found.join(read, "commit").select("name", "path", "mode", "oid", "n_parents")
+
+
+def history_bases(spark: SparkSession, d: str) -> DataFrame:
+    """All best merge bases of each two of five commits, the latest order of each priority."""
+    index = CommitIndex(bind.history(spark, d))
+    last = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.max("o_orderkey").cast("string").alias("oid"))
+    a, b = (last.select(F.col("o_orderpriority").alias(f"p_{x}"), F.col("oid").alias(x)) for x in "ab")
+    pairs = a.join(b, F.col("p_a") < F.col("p_b")).select(F.concat_ws("|", "p_a", "p_b").alias("id"), "a", "b")  # five rows by five
+    return index.merge_bases(pairs)
+
+
+def history_log(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 latest commits before the last order."""
+    last = table(spark, d, "orders").agg(F.max("o_orderkey").cast("string")).first()[0]
+    return CommitIndex(bind.history(spark, d)).log(last, 100) if last is not None else bind.history(spark, d).select("oid", F.col("time").alias("at"))
+
+
+def cycle_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A shortest cycle through each edge of cycle_nodes' graph."""
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + F.col("o_custkey") % 3).alias("dst"))
+    got = graph.edge_cycles(edges)
+    return got.select("src", "dst", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
 
 
 def review_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -422,7 +465,7 @@ def review_plan(spark: SparkSession, d: str) -> DataFrame:
 _OWN = (
     score_findings, protected_top, summary_counts, nav_list, overlap_clusters, merge_clusters, consolidate, innermost_symbol, hunk_overlap, coalesce_lines, normalize_titles, redact_texts, token_estimates, path_classes, hash_keys,
     production_files, finding_validation, diff_relevance, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
-    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, review_stages, reference_graph, review_plan,
+    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, review_stages, reference_graph, script_symbols, repository_files, history_bases, history_log, cycle_paths, review_plan,
 )
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import mmap
 import os
 import struct
+import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..errors import RepositoryError
 from ..functions import text
 from ..operators import snapshot
-from ..plans.shared import store
+from ..plans.shared import folder, store
 from .readers import decode_text
 
 SCHEMAS = {
@@ -580,6 +581,15 @@ def write_packs(found: DataFrame, path: str) -> None:
     found.select("oid", "kind", "content").sortWithinPartitions("kind", "oid").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder for a repository in the folder that driver and executors share, if that is a mounted one."""
+    at = folder(spark)
+    scheme, _, rest = at.partition(":/")
+    if rest and scheme != "file":
+        raise RepositoryError(f"packs are written to mounted folders only, not to {at}")
+    return os.path.join("/" + rest.lstrip("/") if rest else at, "repositories", uuid.uuid4().hex[:12])
+
+
 def write_repository(files: DataFrame, history: DataFrame, path: str, branch: str = "main") -> DataFrame:
     """A bare repository at path of files (commit, path, mode, content), commit being a name, and history (commit, parent,
     author, time, message), each commit with its parents' names. HEAD is the latest. Returns (commit, oid). Commits are few
