@@ -125,6 +125,20 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PATHS.replace("{string}", "string"), documents=table(spark, sf_dir, "documents"))
 
 
+#: What findings say of code, by their part: eight claims, some of which are safe idioms.
+CLAIMS = ("see `throw new NotFoundError(x)`", 'see `subprocess.run(["ls", "-l"])`', 'see `subprocess.run(["ls", path])`', "see `body as User`", "see `el.innerHTML = body as string`", "see `while (true) {}`", "see\n```ts\nfor (let i = 0; i < xs.length; i++) {}\n```", "see above")
+
+
+def claim() -> F.Column:
+    return F.element_at(F.array(*map(F.lit, CLAIMS)), (F.col("part") % len(CLAIMS) + 1).cast("int"))
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(diff_id, diff): a section for each file; those of every third nation have a suppression comment."""
+    mark = F.when(F.col("s_nationkey") % 3 == 0, "+// @ts-ignore\n").otherwise("")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("diff_id"), F.concat(F.lit("+++ b/"), _path("s_suppkey"), F.lit("\n@@ -1 +1,2 @@\n+x\n"), mark).alias("diff"))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of script files made of the documents."""
     docs = table(spark, sf_dir, "documents")

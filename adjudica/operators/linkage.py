@@ -40,12 +40,12 @@ def consolidate(findings: DataFrame, order: list[str]) -> DataFrame:
     rows = islands(findings, ["file"], "start_line", "end_line", order)
     hub = lambda tag, *cols: F.concat_ws("|", F.lit(tag), *[F.col(c).cast("string") for c in cols])
     hubs = F.array(hub("I", "file", "island"), F.when(F.col("symbol").isNotNull(), hub("S", "file", "symbol", "category")), hub("T", "file", "norm_title"))
-    links = rows.select("id", F.explode(F.filter(hubs, lambda h: h.isNotNull())).alias("hub"))
-    # A hub is named by its smallest row, so that hubs need no ids of their own.
-    heads = links.groupBy("hub").agg(F.min("id").alias("b"))
-    edges = links.join(heads, "hub").select(F.col("id").alias("a"), "b").distinct()
-    label = components(edges, "consolidate").select("id", F.col("label").alias("cluster"))
-    return findings.join(label, "id")
+    links = store(rows.select("id", F.explode(F.filter(hubs, lambda h: h.isNotNull())).alias("hub")), "consolidate-links")
+    # A hub is named by its smallest row, so that hubs need no ids of their own; a hub of one row links nothing.
+    heads = links.groupBy("hub").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("hub", "b")
+    edges = links.join(heads, "hub").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    label = components(edges, "consolidate")
+    return findings.join(label, "id", "left").withColumn("cluster", F.coalesce("label", "id")).drop("label")
 
 
 def survive(findings: DataFrame, by: list[str], cap: int = 5) -> DataFrame:

@@ -163,6 +163,10 @@ union all select path, 'get', 'method', s + 8, s + 10, 'C' || k, false, 'get(x)'
 union all select path, 't', 'variable', 2, 2, null, false, 'const t = f' || (k - 1) || '(''x'')' from {_S} where test""",
     "repository_files": """select 'c-' || source as name, lang || '/' || (doc_id % 100) || '/' || doc_id || '.txt' as path, case when doc_id % 3 = 0 then '100755' else '100644' end as mode, sha1('blob ' || strlen(text) || chr(0) || text) oid,
 (source > (select min(source) from documents))::bigint n_parents from documents""",
+    "suppression_replay": """with a as (select user_id review, event_id seq, case event_type when 'error' then 'reset' when 'view' then 'restore' else 'suppress' end act, floor(value)::bigint finding from events),
+r as (select review, max(seq) l, coalesce(max(seq) filter (act = 'reset'), -1) z from a group by 1),
+h as (select review, count(*) n from (select review, finding, arg_max(act, seq) act from a join r using (review) where seq > z group by 1, 2) where act = 'suppress' group by 1)
+select review, l seq, coalesce(n, 0) suppressed from r left join h using (review)""",
     "history_bases": f"""with recursive e as (select * from {_COMMITS} where p >= 0), l as (select o_orderpriority r, max(o_orderkey) k from orders group by 1),
 reach(r, k) as (select r, k from l union select reach.r, e.p from reach join e using (k)),
 common as (select a.r || '|' || b.r id, k from reach a join reach b using (k) where a.r < b.r)
@@ -213,7 +217,7 @@ select id, l cluster from lab where k = 60""",
     "decision_gate": f"""select id, final_disposition, final_disposition not in ('blocking', 'rejected') as downgraded, array_to_string(failed, ',') failed, (11 - len(failed))::bigint n_passed from {_GATED}""",
     "gate_summary": _zero("final_disposition", _GATED, vocab.DISPOSITIONS),
     "exit_code": f"select count(*) filter (final_disposition = 'blocking' and {_LEVEL} >= 4) n_blocking, (count(*) filter (final_disposition = 'blocking' and {_LEVEL} >= 4) > 0)::bigint exit_code from {_GATED}",
-    "hard_floor": f"""select id, case when conf_pct < 60 then 'confidence' when ne <= 0 then 'evidence' when length(trim(fix)) < 15 or starts_with(fix, 'todo:') then 'fix' when path = 'tests/a.py' then 'intent' when not in_diff then 'diff' when not grounded then 'grounding' end dropped_by from {_FLOOR}""",
+    "hard_floor": f"""select id, case when conf_pct < 60 then 'confidence' when ne <= 0 then 'evidence' when length(trim(fix)) < 15 or starts_with(fix, 'todo:') then 'fix' when path = 'tests/a.py' or s_nationkey % 3 = 0 then 'intent' when part % 8 in (0, 1, 3, 6) then 'benign' when not in_diff then 'diff' when not grounded then 'grounding' end dropped_by from {_FLOOR} join supplier on file = s_suppkey""",
     "patch_attribution": f"""select f.id, case when x.status = 'deleted' then case when removed then 'fixed_by_patch' else 'pre_existing' end
  when (removed or quantity % 6 = 0) and m.file is not null and dm.id is not null then 'fixed_by_patch'
  when a.file is null or hp.id is not null or eh.id is not null then 'introduced_by_patch' when dm.id is not null then 'fixed_by_patch' when causal_link is not null then 'worsened_by_patch' else 'pre_existing' end attribution

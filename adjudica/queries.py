@@ -5,6 +5,7 @@ A query runs its operator over whole tables. Arrays are returned as joined text,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,11 +16,12 @@ from .functions import scoring, text, vocab
 from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, reference, relevance, selection, snapshot, tokens
 from .operators.history import CommitIndex
 from .oracles import ORACLES
-from .plans import review, stages
+from .plans import review, shared, stages
 from .plans.shared import store
 from .sinks import report
 from .sources import gitstore, repository
 from .sources.readers import table
+from .streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOP = 13_000
@@ -119,16 +121,19 @@ def production_files(spark: SparkSession, d: str) -> DataFrame:
     return got.select("path", F.array_join(text.production_candidates(F.col("path")), ",").alias("candidates"))
 
 
-def _patch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Changed files, hunks by their findings' paths, and files with their lines."""
-    hunks = bind.patch_hunks(spark, d).withColumn("path", F.regexp_replace("path", "^pkg/", ""))
+Patch = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def _patch(spark: SparkSession, d: str) -> Patch:
+    """Changed files, stored hunks by their findings' paths, and files with their lines."""
+    hunks = store(bind.patch_hunks(spark, d).withColumn("path", F.regexp_replace("path", "^pkg/", "")), "hunks")
     files = bind.files(spark, d)
     return files.select("path", "status"), hunks, files.where("status <> 'deleted'").select("path", "total_lines")
 
 
-def _items(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+def _items(df: DataFrame, patch: Patch) -> DataFrame:
     """Evidence items (id, …) after validation against files and patch; an item goes by its finding's id."""
-    changed, hunks, files = _patch(spark, d)
+    changed, hunks, files = patch
     items = bind.evidence(df).withColumn("item", F.col("id"))
     return evidence.validate_items(relevance.evidence_flags(items, files, changed, hunks))
 
@@ -136,11 +141,12 @@ def _items(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
 def _validated(spark: SparkSession, d: str) -> DataFrame:
     """Findings with the validation columns of the gate, by joins with files and patch; what a model would say is bound by rules."""
     found = store(bind.findings(spark, d), "findings")
-    changed, hunks, files = _patch(spark, d)
+    patch = _patch(spark, d)
+    _, hunks, files = patch
     placed = bind.placed(found).select("id", "path", "start", "end")
     anchors = relevance.grounded(placed, files).select("id", F.col("grounded").alias("anchor_valid"))
     primary = relevance._hits(placed.withColumnRenamed("path", "target"), hunks.where("side = '+'"), 1).withColumn("primary_in_diff", F.lit(True))
-    items = _items(spark, d, found).join(anchors, "id").join(primary, "id", "left").withColumn("primary_in_diff", F.coalesce("primary_in_diff", F.lit(False)))
+    items = _items(found, patch).join(anchors, "id").join(primary, "id", "left").withColumn("primary_in_diff", F.coalesce("primary_in_diff", F.lit(False)))
     judged = evidence.validate_findings(items, ["id"])
     df = bind.with_evidence(found).join(judged, "id", "left")
     return df.withColumns(
@@ -161,11 +167,16 @@ def finding_validation(spark: SparkSession, d: str) -> DataFrame:
     return _long(_validated(spark, d).select("id", *names), "v_n_valid", "v_n_invalid", "v_strength")
 
 
+def _relevant(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    hunks = store(bind.patch_hunks(spark, d), "hunks")
+    near = relevance.in_diff(bind.placed(found).select("id", "path", "start", "end"), bind.evidence(found), hunks)
+    return relevance.grounded(near, bind.files(spark, d).where("status <> 'deleted'").select("path", "total_lines"))
+
+
 def diff_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Whether findings are near hunks, files being met by path or base name, and inside their files."""
     found = store(bind.findings(spark, d), "findings")
-    near = relevance.in_diff(bind.placed(found).select("id", "path", "start", "end"), bind.evidence(found), bind.patch_hunks(spark, d))
-    return _long(relevance.grounded(near, _patch(spark, d)[2]).select("id", "in_diff", "grounded", "end"), "end")
+    return _long(_relevant(spark, d, found).select("id", "in_diff", "grounded", "end"), "end")
 
 
 def decision_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -183,18 +194,22 @@ def exit_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Findings through all rules of the floor: claims with snippets, sections with suppression comments, files and hunks by joins."""
+    found = store(bind.findings(spark, d), "findings")
     fix = F.when(F.col("quantity") % 7 == 0, F.concat(F.lit("todo: "), F.col("title"))).otherwise(F.concat(F.lit("replace "), F.col("title")))
-    path = F.when(F.col("part") % 9 == 0, F.lit("tests/a.py")).otherwise(F.lit("src/a.py"))
-    df = bind.with_evidence(bind.findings(spark, d)).withColumns({"suggested_fix": fix, "path": path}).join(diff_relevance(spark, d).select("id", "in_diff", "grounded"), "id")
-    return gate.floor(df, 0.6).select("id", "dropped_by")
+    df = bind.placed(bind.with_evidence(found)).withColumns({"suggested_fix": fix, "claim": bind.claim()})
+    df = relevance.intent_in_section(df, bind.diffs(spark, d))
+    df = df.withColumn("path", F.when(F.col("part") % 9 == 0, F.lit("tests/a.py")).otherwise(F.col("path")))
+    return gate.floor(df.join(_relevant(spark, d, found).select("id", "in_diff", "grounded"), "id"), 0.6).select("id", "dropped_by")
 
 
 def patch_attribution(spark: SparkSession, d: str) -> DataFrame:
     found = store(bind.findings(spark, d), "findings")
-    changed, hunks, _ = _patch(spark, d)
+    patch = _patch(spark, d)
+    changed, hunks, _ = patch
     stated = F.when(F.col("quantity") % 6 == 0, F.lit("fixed_by_patch"))
     df = bind.placed(found).withColumn("introduced_by_patch", stated).select("id", "path", "start", "end", "title", "message", "introduced_by_patch")
-    return gate.attributed(relevance.patch_flags(df, _items(spark, d, found), changed, hunks)).select("id", "attribution")
+    return gate.attributed(relevance.patch_flags(df, _items(found, patch), changed, hunks)).select("id", "attribution")
 
 
 def evidence_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -436,6 +451,21 @@ def repository_files(spark: SparkSession, d: str) -> DataFrame:
     return found.join(read, "commit").select("name", "path", "mode", "oid", "n_parents")
 
 
+def suppression_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Events as actions of users' reviews, replayed as a stream that is stopped and started again half way."""
+    ev = table(spark, d, "events")
+    action = F.when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "view", "restore").otherwise("suppress")
+    acts = ev.select(F.col("user_id").alias("review"), F.col("event_id").alias("seq"), action.alias("action"), F.floor("value").cast("long").alias("finding"))
+    at = f"{shared.folder(spark)}/core/replay-{uuid.uuid4().hex[:12]}"
+    half = F.pmod(F.xxhash64("seq"), F.lit(2))
+    for part in (0, 1):  # both runs share the state's checkpoint
+        acts.where(half == part).write.mode("append").parquet(f"{at}/actions")
+        stream = progress.suppressions(progress.read(spark, f"{at}/actions", "review long, seq long, action string, finding long", 4))
+        progress.run_to_table(stream, f"{at}/changes", f"{at}/state")
+    changes = spark.read.schema("review long, seq long, suppressed long, batch long").parquet(f"{at}/changes")
+    return progress.latest(changes, "review")
+
+
 def history_bases(spark: SparkSession, d: str) -> DataFrame:
     """All best merge bases of each two of five commits, the latest order of each priority."""
     index = CommitIndex(bind.history(spark, d))
@@ -465,7 +495,7 @@ def review_plan(spark: SparkSession, d: str) -> DataFrame:
 _OWN = (
     score_findings, protected_top, summary_counts, nav_list, overlap_clusters, merge_clusters, consolidate, innermost_symbol, hunk_overlap, coalesce_lines, normalize_titles, redact_texts, token_estimates, path_classes, hash_keys,
     production_files, finding_validation, diff_relevance, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
-    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, review_stages, reference_graph, script_symbols, repository_files, history_bases, history_log, cycle_paths, review_plan,
+    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, review_stages, reference_graph, script_symbols, repository_files, suppression_replay, history_bases, history_log, cycle_paths, review_plan,
 )
 
 
