@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from .intervals import coalesce_lines
+from .intervals import coalesce_lines, islands
 
 def tree_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """(path, status) of paths whose object or mode differ between two trees (path, oid, mode). No rename detection."""
@@ -203,6 +203,30 @@ def diff_intervals(diffs: DataFrame, key: str = "diff_id") -> DataFrame:
     return coalesce_lines(diff_lines(diffs, key), [key, "path", "side"], "line")
 
 
+def context_windows(lines: DataFrame, key: list[str], line: str, context: int = 3) -> DataFrame:
+    """(key, start, end): changed lines with so many lines around them, windows that meet or touch as one."""
+    spans = lines.select(*key, (F.col(line) - context).alias("_a"), (F.col(line) + context + 1).alias("_b"))
+    met = islands(spans, key, "_a", "_b", ["_a"])
+    return met.groupBy(*key, "island").agg(F.greatest(F.lit(1), F.min("_a")).alias("start"), (F.max("_b") - 1).alias("end")).drop("island")
+
+
+def file_hunks(diffs: DataFrame, wanted: DataFrame, key: str = "diff_id") -> DataFrame:
+    """wanted (key, path) with ``hunks``: the hunk lines of that file in its diff (key, diff), as text; a path is met as it is, or
+    where one ends in the other at a folder. Empty if there are none."""
+    plain = lambda p: F.regexp_replace(F.regexp_replace(p, r"\\\\", "/"), r"^\.?/", "")
+    rows = diffs.select(F.col(key), F.posexplode(F.split("diff", r"\r?\n")).alias("n", "line"))
+    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.when(F.col("line").rlike("^diff --git a/.+? b/.+"), F.regexp_extract("line", "^diff --git a/.+? b/(.+)$", 1)).when(F.col("line").rlike(r"^\+\+\+ ."), F.trim(F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.+)$", 1)))
+    rows = rows.withColumns({"_h": named, "_file": F.last(plain(named), True).over(w)})
+    rows = rows.where(F.col("_h").isNull() & F.col("_file").isNotNull() & F.col("line").rlike(r"^(@@|[-+ \\])"))
+    whole = rows.groupBy(key, "_file").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("_l"))
+    asked = wanted.select(key, "path").distinct().withColumn("_p", plain(F.col("path")))
+    inside = (F.col("_file") == F.col("_p")) | F.endswith("_file", F.concat(F.lit("/"), "_p")) | F.endswith("_p", F.concat(F.lit("/"), "_file"))
+    met = asked.join(whole, key).where(inside & (F.trim("path") != "")).groupBy(key, "path").agg(F.array_sort(F.flatten(F.collect_list("_l"))).alias("_l"))
+    text_ = F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
+    return asked.select(key, "path").join(met.select(key, "path", text_.alias("hunks")), [key, "path"], "left").withColumn("hunks", F.coalesce("hunks", F.lit("")))
+
+
 def filter_sections(diffs: DataFrame, paths: DataFrame, key: str = "diff_id") -> DataFrame:
     """Only the sections of diffs whose path is in paths, joined again."""
     rows = diffs.select(F.col(key), F.posexplode(F.split("diff", "\n")).alias("n", "line"))

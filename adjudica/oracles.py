@@ -163,6 +163,12 @@ union all select path, 'get', 'method', s + 8, s + 10, 'C' || k, false, 'get(x)'
 union all select path, 't', 'variable', 2, 2, null, false, 'const t = f' || (k - 1) || '(''x'')' from {_S} where test""",
     "repository_files": """select 'c-' || source as name, lang || '/' || (doc_id % 100) || '/' || doc_id || '.txt' as path, case when doc_id % 3 = 0 then '100755' else '100644' end as mode, sha1('blob ' || strlen(text) || chr(0) || text) oid,
 (source > (select min(source) from documents))::bigint n_parents from documents""",
+    "sarif_objects": f"""select '{{"ruleId":"' || category || '","level":"' || {_case("severity", vocab.SARIF_LEVEL, 'note')} || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || start_line || ',"endLine":' || end_line || '}}}}}}]}}' as value, count(*) n from {F_} group by 1""",
+    "reviewer_triggers": f"""select variant, reviewer, case when reviewer = 'semantic' then variant = 'hit' else true end runs from (select unnest(['hit', 'miss']) variant) a, (select unnest(['structural', 'semantic', 'security']) reviewer) b
+where (select count(*) > 0 from {_PATHS} where path = 'package-lock.json')""",
+    "diagnostic_keys": """with h as (select source, substr(sha256(string_agg(coalesce(substr(sha256(text), 1, 16), 'missing'), '|' order by doc_id::varchar)), 1, 16) f, count(*) n from documents group by 1)
+select source, substr(sha256('configVersion:no-config|fileCount:' || n || '|filesHash:' || f || '|tools:biome,ruff,tsc'), 1, 32) all_tools, substr(sha256('configVersion:no-config|fileCount:' || n || '|filesHash:' || f || '|tool:ruff|toolVersion:1.2'), 1, 32) as key from h""",
+    "hunks_of_files": """select s_nationkey diff_id, './f' || s_suppkey || '.ts' path, '--- a/src/f' || s_suppkey || '.ts' || chr(10) || '@@ -1 +1,2 @@' || chr(10) || ' x' || chr(10) || '+' || s_suppkey hunks from supplier""",
     "suppression_replay": """with a as (select user_id review, event_id seq, case event_type when 'error' then 'reset' when 'view' then 'restore' else 'suppress' end act, floor(value)::bigint finding from events),
 r as (select review, max(seq) l, coalesce(max(seq) filter (act = 'reset'), -1) z from a group by 1),
 h as (select review, count(*) n from (select review, finding, arg_max(act, seq) act from a join r using (review) where seq > z group by 1, 2) where act = 'suppress' group by 1)

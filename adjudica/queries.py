@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import bind
 from .functions import scoring, text, vocab
-from .operators import caches, evaluate, evidence, gate, graph, intervals, linkage, payloads, ranking, reference, relevance, selection, snapshot, tokens
+from .operators import caches, evaluate, evidence, gate, graph, intervals, keys, linkage, payloads, ranking, reference, relevance, selection, snapshot, tokens
 from .operators.history import CommitIndex
 from .oracles import ORACLES
 from .plans import review, shared, stages
@@ -365,6 +365,13 @@ def sarif(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.get_json_object("value", "$.ruleId").alias("rule_id"), F.get_json_object("value", "$.level").alias("level")).agg(F.count("*").alias("n"))
 
 
+def sarif_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Each finding's whole object."""
+    df = bind.findings(spark, d)
+    out = report.sarif_results(df.select("category", "severity", "message", F.col("file").cast("string").alias("file"), "start_line", "end_line"))
+    return out.groupBy("value").agg(F.count("*").alias("n"))
+
+
 def quiet_report(spark: SparkSession, d: str) -> DataFrame:
     return report.quiet_lines(bind.findings(spark, d))
 
@@ -419,6 +426,32 @@ def reviewer_schedule(spark: SparkSession, d: str) -> DataFrame:
     return stages.scheduled(paths, docs.select(F.col("text").alias("diff")), spark.createDataFrame([], "path string, r_start int, r_end int"), none, lines)
 
 
+def reviewer_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """Which reviewers run where hunks meet functions, and where they miss them; removed lines have no say."""
+    paths, docs = bind.paths(spark, d), table(spark, d, "documents")
+    where = paths.select(text.normalize_path(F.col("path")).alias("path")).distinct()
+    parts = where.select("path", F.lit("function").alias("kind"), F.lit("parse").alias("name"), F.lit(1).alias("start_line"), F.lit(5).alias("end_line"))
+    lines = docs.select(F.lit("-").alias("side"), F.explode(F.split("text", "\n")).alias("content"))
+    plain = docs.select(F.lit("nothing of note").alias("diff"))
+    rows = [stages.scheduled(paths, plain, where.select("path", F.lit(a).alias("r_start"), F.lit(b).alias("r_end")), parts, lines).withColumn("variant", F.lit(n)) for n, a, b in (("hit", 5, 9), ("miss", 6, 9))]
+    return rows[0].unionByName(rows[1])
+
+
+def diagnostic_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of each source's documents as one collection, and of one tool's result on them."""
+    files = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    whole = keys.diagnostics_keys(files, ["source"], ["tsc", "ruff", "biome"], "no-config").withColumnRenamed("key", "all_tools")
+    return whole.join(keys.tool_keys(files, ["source"], "ruff", "1.2", "no-config"), "source")
+
+
+def hunks_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """The hunk lines of each file in its nation's diff."""
+    sup = table(spark, d, "supplier").select(F.col("s_nationkey").alias("diff_id"), F.col("s_suppkey").alias("k"), F.concat(F.lit("src/f"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("path"))
+    body = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1 +1,2 @@\n x\n+"), F.col("k").cast("string"))
+    diffs = sup.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]), "\n").alias("diff"))
+    return snapshot.file_hunks(diffs, sup.select("diff_id", F.regexp_replace("path", "^src/", "./").alias("path")))
+
+
 def review_stages(spark: SparkSession, d: str) -> DataFrame:
     found = bind.findings(spark, d)
     return stages.stage_counts({"raw": found, "confident": found.where("conf_pct >= 60"), "severe": found.where(F.col("severity").isin("critical", "high"))})
@@ -495,7 +528,7 @@ def review_plan(spark: SparkSession, d: str) -> DataFrame:
 _OWN = (
     score_findings, protected_top, summary_counts, nav_list, overlap_clusters, merge_clusters, consolidate, innermost_symbol, hunk_overlap, coalesce_lines, normalize_titles, redact_texts, token_estimates, path_classes, hash_keys,
     production_files, finding_validation, diff_relevance, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
-    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, review_stages, reference_graph, script_symbols, repository_files, suppression_replay, history_bases, history_log, cycle_paths, review_plan,
+    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, reviewer_triggers, review_stages, sarif_objects, diagnostic_keys, hunks_of_files, reference_graph, script_symbols, repository_files, suppression_replay, history_bases, history_log, cycle_paths, review_plan,
 )
 
 
