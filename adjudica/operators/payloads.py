@@ -1,6 +1,7 @@
 """Model payloads and tool output: JSON extraction and repair, validation, diagnostics.
 
-Repair is a stack machine over characters, so it is an Arrow UDF; validation and normalisation are built-in.
+Texts that parse are told by built-in functions; the repair of others is a stack machine over characters, so it is an Arrow
+UDF. Validation and normalisation are built-in.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def _odd(body: str, at: int) -> bool:
 
 
 def parse_loosely(raw: str | None) -> str | None:
-    """The payload as strict JSON text: as it is, with single quotes as double, closed, or both; null if none parses."""
+    """The payload's text as it parses strictly: as it is, with single quotes as double, closed, or both; null if none parses."""
     body = extract_json(raw)
     if body is None:
         return None
@@ -78,20 +79,40 @@ def parse_loosely(raw: str | None) -> str | None:
     for attempt in (body, quotes, close_truncated(body), close_truncated(quotes)):
         if attempt is not None:
             try:
-                return json.dumps(json.loads(_TRAILING.sub(r"\1", attempt)), ensure_ascii=False, separators=(",", ":"))
+                json.loads(plain := _TRAILING.sub(r"\1", attempt))
+                return plain
             except ValueError:
                 continue
     return None
 
 
-def repaired(raw: Column) -> Column:
-    """parse_loosely of a column, in Arrow batches."""
+def strict(raw: Column) -> Column:
+    """What parse_loosely gives where nothing is cut off, by built-in functions: the first of the text as it is and with single
+    quotes as double that parses as a variant; null if neither does."""
+    then = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is worked out once, not at each use
+    fence = r"(?si)```(?:json)?\s*\n?(.*?)```"
+    whole = F.when(raw.rlike(fence), F.regexp_extract(raw, fence, 1)).otherwise(raw)
+    cut = lambda x: F.when(x.startswith("{"), F.regexp_extract(x, r"(?s)^(.*\})", 1)).otherwise(F.regexp_extract(x, r"(?s)^(.*\])", 1))
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?:\{\s*)+(?=\{)", ""), r",\s*([}\]])", "$1")
+    # A parser stops after the first value: as the one item of a list, and with as many brackets closed as opened, it is all.
+    bare = lambda x: F.regexp_replace(x, r'"(?:\\.|[^"\\])*"', "")
+    even = lambda x: F.length(F.regexp_replace(bare(x), r"[^\{\[]", "")) == F.length(F.regexp_replace(bare(x), r"[^\}\]]", ""))
+    alone = lambda x: F.size(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<variant>")) == 1
+    good = lambda x: F.when((x != "") & F.try_parse_json(x).isNotNull() & F.coalesce(alone(x), F.lit(False)) & even(x), x)
+    body = then(F.regexp_extract(whole, r"(?s)([\{\[].*)", 1), lambda x: tidy(cut(x)))
+    return then(body, lambda x: F.coalesce(good(x), good(F.translate(x, "'", '"'))))
+
+
+def repaired(df: DataFrame, raw: str, name: str = "json") -> DataFrame:
+    """df with the payload's JSON text. Only texts that don't parse as they are go to Python, in Arrow batches."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(parse_loosely)
 
-    return run(raw)
+    tried = df.withColumn(name, strict(F.col(raw)))
+    left = tried.where(F.col(name).isNull())
+    return tried.where(F.col(name).isNotNull()).unionByName(left.withColumn(name, run(raw)))
 
 
 FINDING = "struct<severity: string, category: string, title: string, message: string, file: string, startLine: int, endLine: int, confidence: double, suggestedFix: string, reviewer: string>"
@@ -100,7 +121,7 @@ FINDING = "struct<severity: string, category: string, title: string, message: st
 def findings_of(payloads: DataFrame, key: str, raw: str) -> DataFrame:
     """(key, ok, finding…): the payload's findings, whether wrapped, a bare list or a single one. One bad finding makes the
     whole payload invalid: it gives one row with ok false and no finding."""
-    fixed = payloads.select(F.col(key), repaired(F.col(raw)).alias("_j"))
+    fixed = repaired(payloads.select(key, raw), raw, "_j").select(key, "_j")
     wrapped = F.from_json("_j", f"struct<findings: array<{FINDING}>>")["findings"]
     bare = F.from_json("_j", f"array<{FINDING}>")
     single = F.array(F.from_json("_j", FINDING))

@@ -169,6 +169,8 @@ where (select count(*) > 0 from {_PATHS} where path = 'package-lock.json')""",
     "diagnostic_keys": """with h as (select source, substr(sha256(string_agg(coalesce(substr(sha256(text), 1, 16), 'missing'), '|' order by doc_id::varchar)), 1, 16) f, count(*) n from documents group by 1)
 select source, substr(sha256('configVersion:no-config|fileCount:' || n || '|filesHash:' || f || '|tools:biome,ruff,tsc'), 1, 32) all_tools, substr(sha256('configVersion:no-config|fileCount:' || n || '|filesHash:' || f || '|tool:ruff|toolVersion:1.2'), 1, 32) as key from h""",
     "hunks_of_files": """select s_nationkey diff_id, './f' || s_suppkey || '.ts' path, '--- a/src/f' || s_suppkey || '.ts' || chr(10) || '@@ -1 +1,2 @@' || chr(10) || ' x' || chr(10) || '+' || s_suppkey hunks from supplier""",
+    "payload_repair": """select event_id, case event_id % 5 when 3 then '{"a":[' || props || ']}' when 4 then null else props end json from events""",
+    "payload_strict": "select event_id, case when event_id % 5 < 3 then props end json from events",
     "suppression_replay": """with a as (select user_id review, event_id seq, case event_type when 'error' then 'reset' when 'view' then 'restore' else 'suppress' end act, floor(value)::bigint finding from events),
 r as (select review, max(seq) l, coalesce(max(seq) filter (act = 'reset'), -1) z from a group by 1),
 h as (select review, count(*) n from (select review, finding, arg_max(act, seq) act from a join r using (review) where seq > z group by 1, 2) where act = 'suppress' group by 1)

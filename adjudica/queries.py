@@ -325,11 +325,20 @@ def diagnostic_dedup(spark: SparkSession, d: str) -> DataFrame:
     return linkage.first_of(ev.drop("zero"), ["user_id", "event_type"], ["event_id"])
 
 
-def payload_repair(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events")
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Events as fenced, chatty, sloppy and truncated payloads, and none."""
     k = F.col("event_id") % 5
     raw = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure: "), F.regexp_replace("props", '"', "'"))).when(k == 2, F.regexp_replace("props", r"\}$", ",}")).when(k == 3, F.concat(F.lit('{"a":['), "props", F.lit(',{"b":'))).otherwise(F.lit("no payload"))
-    return ev.select("event_id", payloads.repaired(raw).alias("json"))
+    return table(spark, d, "events").select("event_id", raw.alias("raw"))
+
+
+def payload_repair(spark: SparkSession, d: str) -> DataFrame:
+    return payloads.repaired(_payloads(spark, d), "raw").select("event_id", "json")
+
+
+def payload_strict(spark: SparkSession, d: str) -> DataFrame:
+    """What built-in functions make of them."""
+    return _payloads(spark, d).select("event_id", payloads.strict(F.col("raw")).alias("json"))
 
 
 def lru_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -528,7 +537,7 @@ def review_plan(spark: SparkSession, d: str) -> DataFrame:
 _OWN = (
     score_findings, protected_top, summary_counts, nav_list, overlap_clusters, merge_clusters, consolidate, innermost_symbol, hunk_overlap, coalesce_lines, normalize_titles, redact_texts, token_estimates, path_classes, hash_keys,
     production_files, finding_validation, diff_relevance, decision_gate, gate_summary, exit_code, hard_floor, patch_attribution, evidence_validation, context_selection, nearest_callers, blast_radius, reciprocal_edges, dependency_classes, cycle_nodes, snapshot_diff,
-    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, reviewer_triggers, review_stages, sarif_objects, diagnostic_keys, hunks_of_files, reference_graph, script_symbols, repository_files, suppression_replay, history_bases, history_log, cycle_paths, review_plan,
+    status_matrix, content_verdict, text_diffs, diff_intervals, diagnostics, diagnostic_dedup, payload_repair, payload_strict, lru_replay, fifo_replay, fixture_metrics, scorecard, sarif, quiet_report, token_usage, retry_replay, file_languages, folder_sizes, point_reads, known_refs, workspace_list, reviewer_schedule, reviewer_triggers, review_stages, sarif_objects, diagnostic_keys, hunks_of_files, reference_graph, script_symbols, repository_files, suppression_replay, history_bases, history_log, cycle_paths, review_plan,
 )
 
 

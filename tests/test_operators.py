@@ -161,6 +161,18 @@ def test_json_repair(raw, want):
     assert (json.loads(got) if got else None) == want
 
 
+def test_built_in_parsing_agrees(spark):
+    raws = ['{"a": 1}', "```\n[1, 2,]\n```", "Here: {'a': [1, 2]} thanks", '{"findings":[]} see [1]', "[1] or {2}", '{ {"a": 1} }', '{"a": "b\\"}"}', "", " ", None, "nothing", "}{", "{", '```json {"x": {"y": [1, {"z": 2}]}} ``` and ```[1]```', "{'a': 'it''s'}"]
+    df = spark.createDataFrame(list(enumerate(raws)), "k int, raw string").withColumn("strict", payloads.strict(F.col("raw")))
+    for r in df.collect():
+        want = payloads.parse_loosely(r.raw)
+        assert r.strict == want or (r.strict is None and want is not None and payloads.close_truncated(payloads.extract_json(r.raw)) is not None), r
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    got = {r.k: r.json for r in payloads.repaired(df.drop("strict"), "raw").collect()}
+    assert got == {k: payloads.parse_loosely(r) for k, r in enumerate(raws)}
+
+
 def test_payload_is_all_or_nothing(spark):
     ok = {"severity": "high", "category": "security", "title": "t", "message": "m", "file": "f", "startLine": 1, "endLine": 2, "confidence": 0.5}
     rows = [(1, json.dumps({"findings": [ok, ok]})), (2, json.dumps([ok, ok | {"confidence": 7}])), (3, json.dumps(ok)), (4, "garbage")]

@@ -23,7 +23,7 @@ def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", ["review_plan", "text_diffs", "production_files", "context_selection", "cycle_paths", "lru_replay", "fifo_replay", "payload_repair"])
+@pytest.mark.parametrize("name", ["review_plan", "text_diffs", "production_files", "context_selection", "cycle_paths", "lru_replay", "fifo_replay"])
 def test_runs(name, spark):
     assert core.queries()[name](spark, DATA).count() > 0
 
