@@ -50,9 +50,11 @@ def consolidate(findings: DataFrame, order: list[str]) -> DataFrame:
 
 def survive(findings: DataFrame, by: list[str], cap: int = 5) -> DataFrame:
     """One row for each cluster: highest severity level and confidence, the lines' hull, the representative's id, title and
-    message (most confident, then longest message, then first), all reviewers and up to ``cap`` evidence items in order."""
+    message (most confident, then longest message, then first), all reviewers, related files and symbols where there are such
+    columns of arrays, and up to ``cap`` evidence items in order."""
     first = F.struct(F.col("confidence"), F.length("message"), (-F.col("id")).alias("_neg"))
     ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("id", c))), lambda x: x[c]))
+    related = [c for c in ("related_files", "related_symbols") if c in findings.columns]
     return findings.groupBy(*by).agg(
         F.max("severity_level").alias("severity_level"),
         F.max("confidence").alias("confidence"),
@@ -62,7 +64,13 @@ def survive(findings: DataFrame, by: list[str], cap: int = 5) -> DataFrame:
         F.slice(ordered("evidence_key"), 1, cap).alias("evidence_keys"),
         F.array_sort(F.collect_set("reviewer")).alias("reviewers"),
         F.count("*").alias("members"),
-    ).select(*by, "severity_level", "confidence", "start_line", "end_line", "evidence_keys", "reviewers", "members", F.col("_rep.id").alias("rep_id"), F.col("_rep.title").alias("title"), F.col("_rep.message").alias("message"), F.col("_rep.category").alias("category"))
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in related],
+    ).select(*by, "severity_level", "confidence", "start_line", "end_line", "evidence_keys", "reviewers", "members", *related, F.col("_rep.id").alias("rep_id"), F.col("_rep.title").alias("title"), F.col("_rep.message").alias("message"), F.col("_rep.category").alias("category"))
+
+
+def before_critic(findings: DataFrame, order: list[str], cap: int = 5) -> DataFrame:
+    """Findings of a file whose lines overlap as one, before the critic sees them: by lines alone, not by symbols or titles."""
+    return survive(overlap_clusters(findings, order), ["file", "cluster"], cap)
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -460,12 +460,21 @@ def blob_oid(content) -> F.Column:
     return F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length(content).cast("string")).cast("binary"), F.lit(b"\0"), content))
 
 
-def working_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, oid) of the files in a working folder, without those of the repository itself; oid as of a blob."""
+def _working(spark: SparkSession, root: str) -> DataFrame:
     top = os.path.realpath(root).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top)
     at = F.substring(F.regexp_replace("path", "^[a-z]+:/+", "/"), len(top) + 2, 1 << 30)
-    return files.select(at.alias("path"), blob_oid(F.col("content")).alias("oid")).where("path not rlike '(^|/)[.]git(/|$)'")
+    return files.select(at.alias("path"), "content").where("path not rlike '(^|/)[.]git(/|$)'")
+
+
+def working_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, oid) of the files in a working folder, without those of the repository itself; oid as of a blob."""
+    return _working(spark, root).select("path", blob_oid(F.col("content")).alias("oid"))
+
+
+def working_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content): their text, null for binary ones."""
+    return _working(spark, root).select("path", decode_text(F.col("content")).alias("content"))
 
 
 def head_files(spark: SparkSession, root: str) -> DataFrame:

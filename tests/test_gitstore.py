@@ -7,7 +7,8 @@ import subprocess
 
 import pytest
 
-from adjudica.sources import gitstore
+from adjudica.errors import RepositoryError
+from adjudica.sources import gitstore, scopes
 
 pytestmark = pytest.mark.skipif(shutil.which("git") is None, reason="git makes the repositories")
 
@@ -140,3 +141,41 @@ def test_git_reads_what_is_written(spark, repo, tmp_path):
     assert git("--git-dir", bare, "show", "main:a/b/c.txt") == "a/b/c.txt of two"
     got = gitstore.snapshots(spark, bare, spark.createDataFrame([(made["one"],)], "commit string"))
     assert {r.path for r in got.collect()} == {"a/b/c.txt", "a/b.sh", "a.txt", "z"}
+
+
+def test_scopes_of_a_repository(spark, repo):
+    at, git = repo
+    found = scopes.Repository(spark, str(at))
+    codes = {"M": "modified", "A": "added", "D": "deleted"}
+
+    def named(*args):
+        parts = git("diff", "--name-status", "--no-renames", "-z", *args).split("\0")[:-1]
+        return {(p, codes[c]) for c, p in zip(parts[::2], parts[1::2], strict=True)}
+
+    def got(kind, **names):
+        return {(r.path, r.status) for r in found.changed(kind, **names).collect()}
+
+    root = git("rev-list", "--max-parents=0", "HEAD").strip()
+    assert got("commit", head="HEAD~2") == named("HEAD~3", "HEAD~2")
+    assert got("commit", head=root) == named("4b825dc642cb6eb9a060e54bf8d69288fbee4904", root)
+    assert got("range", spec="side..main") == named("side", "main") and got("range", spec="main...side") == named("main...side")
+    assert got("branch", base="side") == named("side...HEAD")
+    assert found.merge_base("side", "HEAD~5") == git("merge-base", "side", "HEAD~5").strip()
+    assert [r.oid for r in found.log("HEAD", 8).collect()] == git("log", "-8", "--format=%H").split()
+    merged = git("rev-list", "--merges", "HEAD").split()[0]
+    assert found.resolve(f"{merged[:12]}^2~1") == git("rev-parse", f"{merged}^2~1").strip()
+    assert found.resolve("HEAD~12") == git("rev-parse", "HEAD~12").strip()
+    for bad in (("commit", {}), ("branch", {}), ("odd", {}), ("range", {"spec": "none..main"})):
+        with pytest.raises((RepositoryError, ValueError)):
+            found.sides(bad[0], **bad[1])
+    (at / "loose.txt").write_text("not packed\nbut changed\n")
+    (at / "bytes.bin").write_bytes(b"\0")
+    diffs = {r.path: r.diff for r in found.diff("working-tree").collect()}
+    assert set(diffs) == {"loose.txt"} and "+but changed" in diffs["loose.txt"] and "-not packed" not in diffs["loose.txt"]
+    assert got("working-tree") == {("loose.txt", "modified"), ("bytes.bin", "added")} and got("staged") == set()
+    os.remove(at / "bytes.bin")
+    git("reset", "-q", "--hard")
+    big = {r.path: r.diff for r in found.diff("commit", head="HEAD~2").collect()}["src/big.txt"]
+    ours = [x for x in big.split("\n") if x[:1] in ("+", "-") and x[:3] not in ("+++", "---")]
+    theirs = [x for x in git("diff", "HEAD~3", "HEAD~2", "--", "src/big.txt").split("\n") if x[:1] in ("+", "-") and x[:3] not in ("+++", "---")]
+    assert sorted(ours) == sorted(theirs)

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from adjudica.operators import keys, snapshot
+from adjudica.operators import gate, keys, linkage, snapshot
 
 
 def sha(text, n=16):
@@ -42,3 +42,23 @@ def test_hunks_and_windows(spark):
     assert got == {(1, "a.ts"): a, (1, "./lib/b.ts"): "@@ -2 +2 @@\n z", (1, "none"): "", (1, "x/src/a.ts"): a, (2, "a.ts"): "", (1, ""): ""}
     lines = spark.createDataFrame([("f", n) for n in (2, 8, 9, 30)], "file string, line int")
     assert sorted((r.start, r.end) for r in snapshot.context_windows(lines, ["file"], "line").collect()) == [(1, 12), (27, 33)]
+
+
+def test_merges_and_routes(spark):
+    schema = "id int, file string, start_line int, end_line int, severity_level int, confidence double, title string, message string, category string, reviewer string, evidence_key string, related_files array<string>, related_symbols array<string>"
+    rows = [
+        (1, "a", 1, 5, 2, 0.7, "one", "long message", "security", "r2", "k1", ["x", "y"], ["s"]),
+        (2, "a", 5, 9, 4, 0.9, "two", "tie", "security", "r1", "k2", ["y", "z"], []),
+        (3, "a", 9, 9, 1, 0.9, "three", "tie", "testing", "r1", "k1", None, ["t", "s"]),
+        (4, "a", 20, 21, 1, 0.5, "four", "m", "testing", None, "k9", [], None),
+        (5, "b", 1, 5, 3, 0.5, "five", "m", "testing", "r3", None, ["b"], ["b"]),
+    ]
+    got = {r.rep_id: r for r in linkage.before_critic(spark.createDataFrame(rows, schema), ["id"]).collect()}
+    assert set(got) == {2, 4, 5}  # of equals the first
+    two = got[2]
+    assert (two.title, two.severity_level, two.confidence, two.start_line, two.end_line, two.members) == ("two", 4, 0.9, 1, 9, 3)
+    assert (two.related_files, two.related_symbols, two.reviewers, two.evidence_keys) == (["x", "y", "z"], ["s", "t"], ["r1", "r2"], ["k1", "k2"])
+    found = spark.createDataFrame([(i, d) for i, d in enumerate(["blocking", "rejected", "advisory", "informational", "advisory"])], "id int, final_disposition string")
+    by, left = gate.routed(found)
+    assert {d: sorted(r.id for r in df.collect()) for d, df in by.items()} == {"blocking": [0], "rejected": [1], "advisory": [2, 4], "informational": [3]}
+    assert sorted(r.id for r in left.collect()) == [0, 2, 3, 4]
