@@ -1,10 +1,11 @@
 """Keys by what results are made from, and hunks of files."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
-from adjudica.operators import gate, keys, linkage, snapshot
+from adjudica.operators import evaluate, gate, keys, linkage, snapshot
 
 
 def sha(text, n=16):
@@ -62,3 +63,14 @@ def test_merges_and_routes(spark):
     by, left = gate.routed(found)
     assert {d: sorted(r.id for r in df.collect()) for d, df in by.items()} == {"blocking": [0], "rejected": [1], "advisory": [2, 4], "informational": [3]}
     assert sorted(r.id for r in left.collect()) == [0, 2, 3, 4]
+
+
+def test_exact_ranks(spark):
+    rnd = random.Random(3)
+    for values in ([5], [7, 7, 7], [rnd.randrange(10**6) for _ in range(3000)], [int(rnd.paretovariate(0.5)) for _ in range(2000)], [None, None, 3, 1], [-(10**12), 0, 10**12]):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        ordered = sorted(values, key=lambda v: (v is not None, v))
+        n = len(values)
+        got = evaluate.nearest_ranks(df, "v", {"a": (0.0, False), "b": (0.5, False), "c": (0.95, True), "d": (1.0, True)}).first()
+        assert (got.a, got.b, got.c, got.d) == tuple(ordered[min(n - 1, int(n * f))] for f in (0, 0.5, 0.95, 1)), values
+    assert evaluate.nearest_ranks(df.where("v > 1e15"), "v", {"a": (0.5, True)}).collect()[0].a is None
