@@ -36,7 +36,9 @@ def awkward(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_awkward_rows(spark, awkward, name):
     n = queries()[name](spark, awkward).count()
-    if name != "pipeline":
+    if name == "op11_source_divergence":  # a row for each two sources of a lang; no term is in 30 documents
+        assert n == 4 * 3 + 2
+    elif name != "pipeline":
         assert n == spark.read.parquet(f"{awkward}/{'pages' if name in ('op2_html_extract', 'op5_url_filter') else 'documents'}.parquet").count()
 
 
