@@ -138,3 +138,13 @@ def test_cycles_of_modules(spark):
     names = spark.createDataFrame([("src/a.ts", "src/b.ts"), ("src/b.ts", "src/c.ts"), ("src/c.ts", "src/a.ts"), ("src/d.ts", "src/a.ts")], "src string, dst string")
     assert [r.cycle for r in graph.cycles(names).collect()] == [["src/a.ts", "src/b.ts", "src/c.ts"]]
     assert graph.cycles(names.where("src <> 'src/c.ts'")).count() == 0
+
+
+def test_rounds_of_a_long_ring(spark, monkeypatch):
+    """A ring's rounds go by the logarithm of its length: 64 nodes took 64 rounds of colours, of ways back and of steps."""
+    calls, plain = [], graph.store
+    monkeypatch.setattr(graph, "store", lambda df, what: calls.append(what) or plain(df, what))
+    edges = spark.createDataFrame([(i, (i + 1) % 64) for i in range(64)] + [(5, 200), (200, 201)], "src long, dst long")
+    got = graph.edge_cycles(edges).collect()
+    assert {(r.src, r.dst) for r in got} == {(i, (i + 1) % 64) for i in range(64)}
+    assert {tuple(r.cycle) for r in got} == {tuple(range(64))} and len(calls) < 100
