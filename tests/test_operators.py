@@ -260,3 +260,18 @@ def test_floor_drops_findings_on_safe_idioms(spark):
     assert gate.floor(claimed).first().dropped_by == "benign"
     got = spark.range(1).select(text.type_assertion(F.lit("if (!x) eval(x.y as Foo<T>)")).alias("t")).first().t
     assert (got.type, got.sink, got.guarded, got.risk_level) == ("Foo<T>", "eval", True, "high")
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """A task's rows of a large table stay the same: more rows make more partitions, and the same result in the same order."""
+    from adjudica import bind, queries
+    from adjudica.plans import shared
+
+    d = "/root/testdata/sf0.001"
+    few, plain = bind.findings(spark, d), [tuple(r) for r in queries.nav_list(spark, d).collect()]
+    assert shared.parts(spark, 3_000_000) is None
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    many, got = bind.findings(spark, d), queries.nav_list(spark, d)
+    n = many.count()
+    assert many.rdd.getNumPartitions() == shared.parts(spark, n) == -(-n // 200) and not many.exceptAll(few).count() and few.count() == n
+    assert got.rdd.getNumPartitions() >= n // 400 and [tuple(r) for r in got.collect()] == plain
