@@ -275,3 +275,20 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     n = many.count()
     assert many.rdd.getNumPartitions() == shared.parts(spark, n) == -(-n // 200) and not many.exceptAll(few).count() and few.count() == n
     assert got.rdd.getNumPartitions() >= n // 400 and [tuple(r) for r in got.collect()] == plain
+
+
+def test_titles_in_one_pass(spark):
+    """Other characters and white space take one pass, with the values of two; words are looked at only where one can begin."""
+    from adjudica.functions import vocab
+
+    rnd = random.Random(4)
+    bits = ["null", "nil", "pointer", "check", "sql", "injection", "sqli", "xss", "rce", "memory", "leak", "path", "traversal", "Unclosed", "file", "cross", "site", "scripting", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", " ", "-", "_", "é", "9", "."]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.lower(F.coalesce("t", F.lit("")))
+    for alternatives, form in vocab.TITLE_SYNONYMS:
+        old = F.regexp_replace(old, f"(?<![A-Za-z0-9_])({alternatives})(?![A-Za-z0-9_])", form)
+    old = F.trim(F.regexp_replace(F.regexp_replace(old, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    assert df.where(~old.eqNullSafe(text.normalize_title(F.col("t")))).count() == 0
+    plan = df.select(text.normalize_title(F.col("t")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == len(vocab.TITLE_SYNONYMS) + 1 == plan.count("(?=[")  + 1
