@@ -3,6 +3,8 @@
 import pytest
 
 from adjudica import bind
+from adjudica.functions import text
+from adjudica.operators import evidence, gate, relevance
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,3 +25,33 @@ def test_findings_are_shuffled_by_part_and_by_order_once(spark, plain):
     """Lines, parts, joined lines, orders; lines went by order, by part and by order again before."""
     plan = plain(bind.with_evidence(bind.findings(spark, DATA)))
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_checks_of_the_gate_are_compiled(spark):
+    names = "severity category title message failure_mechanism impact trigger introduced_by_patch critic_decision suggested_disposition".split()
+    df = spark.createDataFrame([(*["x"] * len(names), 0.7, 1, 0, 1, True, 1, 0, True, 75, False)], ", ".join(f"{n} string" for n in names) + ", confidence double, start_line int, n_contradictions int, n_evidence long, v_valid boolean, v_n_valid long, v_n_invalid long, v_direct boolean, v_strength int, v_fabricated boolean")
+    got = gate.gated(df)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    row = got.first()
+    assert sorted([*row.passed_checks, *row.failed_checks]) == sorted(gate.CHECKS) and row.failed_checks
+
+
+def test_what_a_path_tells_is_made_once_for_each_path(spark, plain):
+    """The joins with changed files, files and hunks go by distinct paths, so items take part in one join by path."""
+    items = spark.createDataFrame([(1, "./src//a.ts", 1, 2, None, None), (2, "dist/b.ts", 1, 1, None, None), (3, None, 1, 1, None, None), (4, "/etc/x", 1, 1, None, None), (5, "src/a.ts", 9, 9, None, None)], "item long, path string, start int, end int, causal_link string, explanation string")
+    changed = spark.createDataFrame([("src/a.ts", "modified")], "path string, status string")
+    hunks = spark.createDataFrame([("src/a.ts", "+", 1, 2)], "path string, side string, r_start int, r_end int")
+    files = spark.createDataFrame([("src/a.ts", 5)], "path string, total_lines int")
+    flagged = relevance.evidence_flags(items, files, changed, hunks)
+    got = {r["item"]: r for r in evidence.validate_items(flagged).collect()}
+    assert {k: r.reason for k, r in got.items()} == {1: None, 2: "ignored file", 3: "file does not exist", 4: "path not permitted", 5: "start exceeds total lines"}
+    assert got[1].tier == "direct_changed" and got[1].hits_added and not got[5].hits_added
+    bare = {r["item"]: r.reason for r in evidence.validate_items(flagged.drop("path_reason")).collect()}
+    assert bare == {k: r.reason for k, r in got.items()}
+
+
+def test_plain_paths_stay(spark):
+    paths = ["a/b.ts", "./a", "././a/./b", "a//b", "/a", "a\\b", "", ".", "./", "a/.", "//./x", "a/../b", ".\\a"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    want = ["a/b.ts", "a", "a/b", "a/b", "a", "a/b", "", ".", "", "a/.", "x", "a/../b", "a"]
+    assert [r[0] for r in df.select(text.normalize_path(df.p)).collect()] == want
