@@ -12,6 +12,8 @@ Commits are rows (oid, parent, nth, …), one for each parent, nth from 1, a roo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,16 +95,23 @@ class CommitIndex:
         """(ref, oid) reachable from starts (ref, oid), starts included."""
         return self.reach(starts).join(self.nodes, "chain").where("pos <= upto").select("ref", "oid")
 
-    def merge_bases(self, pairs: DataFrame) -> DataFrame:
-        """(id, oid): all best common ancestors of pairs (id, a, b). What both reach is closed under parents, so its best are
-        those without a child in it."""
+    def common(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stored (id, side, chain, upto) that the sides of pairs (id, a, b) reach, and (id, chain, upto) that both do."""
         starts = pairs.select(F.struct("id", F.lit(0).alias("side")).alias("ref"), F.col("a").alias("oid")).unionAll(pairs.select(F.struct("id", F.lit(1).alias("side")).alias("ref"), F.col("b").alias("oid")))
         state = self.reach(starts.distinct()).select(F.col("ref.id").alias("id"), F.col("ref.side").alias("side"), "chain", "upto")
-        common = store(state.groupBy("id", "chain").agg(F.count("*").alias("k"), F.min("upto").alias("upto")).where("k = 2"), "common")
+        return state, store(state.groupBy("id", "chain").agg(F.count("*").alias("k"), F.min("upto").alias("upto")).where("k = 2"), "common")
+
+    def best(self, common: DataFrame) -> DataFrame:
+        """(id, oid) of common()'s commits without a child among them."""
         led = common.join(self.hops, "chain").where("pos <= upto").select("id", F.col("to_chain").alias("chain"), F.col("to_pos").alias("upto")).distinct()
         best = common.join(led, ["id", "chain", "upto"], "left_anti")
         return best.join(self.nodes, (best["chain"] == self.nodes["chain"]) & (best["upto"] == self.nodes["pos"])).select("id", "oid")
 
+    def merge_bases(self, pairs: DataFrame) -> DataFrame:
+        """(id, oid): all best common ancestors of pairs (id, a, b). What both reach is closed under parents, so its best are
+        those without a child in it."""
+        return self.best(self.common(pairs)[1])
+
     def log(self, oid: str, depth: int = 100) -> DataFrame:
         """(oid, at) of the latest ``depth`` commits reachable from oid. A commit so far down its chain has as many after it, so
         neither it nor what lies behind it is read."""
@@ -127,3 +136,58 @@ class CommitIndex:
         """(ref, oid) of the n-th parents of starts (ref, oid, n); n = 0 is the commit itself."""
         asked = starts.select("ref", "oid", F.col("n").alias("nth"))
         return asked.where("nth = 0").select("ref", "oid").unionAll(asked.join(self.edges, ["oid", "nth"]).select("ref", F.col("parent").alias("oid")))
+
+
+# Questions about a history's end, without an index of all of it.
+
+#: Rows of the first part of a history that is read, and how much larger each next one is.
+FIRST, WIDER = 4096, 8
+
+
+def _parts(commits: DataFrame, starts: DataFrame, order: str) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """Growing parts of a history that have all commits from some time on to the latest start (oid), starts included, each with
+    its edges (oid, parent) that lead out of it; at last the whole, with None.
+
+    No commit lies before its parents in the order, so a part has all ways between its commits that the starts have.
+    """
+    at = F.col(order)
+    span = commits.join(starts.select("oid").distinct(), "oid", "left_semi").agg(F.min(at), F.max(at)).first()
+    if span[1] is not None:
+        before = commits.where(at <= F.lit(span[1]))
+        n = before.count()
+        sizes = [s for s in (FIRST * WIDER**k for k in range(20)) if s * 2 < n]
+        lows = before.agg(F.percentile_approx(at, F.array(*[F.lit(1 - s / n) for s in sizes]), F.lit(100_000))).first()[0] if sizes else []
+        for low in lows:
+            part = store(before.where(at >= F.lit(min(low, span[0]))), "part")
+            yield part, part.where("parent is not null").join(part.select(F.col("oid").alias("parent")).distinct(), "parent", "left_anti").select("oid", "parent")
+    yield commits, None
+
+
+def merge_bases(commits: DataFrame, pairs: DataFrame, order: str = "time") -> DataFrame:
+    """CommitIndex.merge_bases of as late a part of the history as tells them. A best common ancestor before the part is reached
+    from both sides by ways that leave it at commits that aren't common; where a side has none, the part has all."""
+    starts = pairs.select(F.col("a").alias("oid")).unionAll(pairs.select("b"))
+    for part, out in _parts(commits, starts, order):
+        index = CommitIndex(part, order)
+        state, common = index.common(pairs)
+        if out is not None:
+            left = out.join(index.nodes, "oid").select("chain", "pos").join(state, "chain").where("pos <= upto").select("id", "side", "chain", "pos")
+            left = left.join(common.select("id", "chain", F.col("upto").alias("_both")), ["id", "chain"], "left").where("_both is null or pos > _both")
+            if left.groupBy("id").agg(F.countDistinct("side").alias("k")).where("k = 2").limit(1).count():
+                continue
+        return index.best(common)
+    raise AssertionError("the last part is the whole")
+
+
+def log(commits: DataFrame, oid: str, depth: int = 100, order: str = "time") -> DataFrame:
+    """CommitIndex.log of as late a part of the history as has that many commits, no two of one time: among those the depth in
+    the whole history would tell."""
+    start = commits.sparkSession.createDataFrame([(oid,)], "oid string")
+    for part, out in _parts(commits, start, order):
+        index = CommitIndex(part, order)
+        if out is not None:
+            got = index.log(oid, depth + 1).agg(F.count("*"), F.countDistinct("at")).first()
+            if got[0] <= depth or got[1] < got[0]:
+                continue
+        return index.log(oid, depth)
+    raise AssertionError("the last part is the whole")
