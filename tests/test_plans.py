@@ -1,10 +1,12 @@
 """What plans hold: shuffles and interpreted parts that large tables can't afford."""
 
+import random
+
 import pytest
 
 from adjudica import bind
 from adjudica.functions import text
-from adjudica.operators import evidence, gate, relevance
+from adjudica.operators import evidence, gate, history, linkage, relevance
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,3 +57,66 @@ def test_plain_paths_stay(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     want = ["a/b.ts", "a", "a/b", "a/b", "a", "a/b", "", ".", "", "a/.", "x", "a/../b", "a"]
     assert [r[0] for r in df.select(text.normalize_path(df.p)).collect()] == want
+
+
+def test_rows_are_consolidated_after_one_shuffle_by_file(spark, monkeypatch):
+    """All windows of a file share it, and what tasks have contracted needs no rounds; each window and round shuffled rows before."""
+    stored, plain_store = [], linkage.store
+    monkeypatch.setattr(linkage, "store", lambda df, what: stored.append((what, df._jdf.queryExecution().executedPlan().toString())) or plain_store(df, what))
+    rows = [(i, i % 3, 10 * i, 10 * i + (12 if i % 4 == 0 else 2), "ab"[i % 2], f"q{i // 20}" if i % 5 else None, f"t{i % 17}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, file long, start_line int, end_line int, category string, symbol string, norm_title string")
+    got = {r.id: r.cluster for r in linkage.consolidate(df, ["id"], ["id"]).collect()}
+    plans = dict(stored)
+    assert plans["consolidate"].count("Exchange hashpartitioning") == 1 and not any("edges" in what for what, _ in stored)
+    links = lambda a, b: a[1] == b[1] and (a[2] <= b[3] and b[2] <= a[3] or a[5] is not None and a[4:6] == b[4:6] or a[6] == b[6])
+    want = {r[0]: r[0] for r in rows}
+    while any(want[a[0]] > want[b[0]] and want.update({a[0]: want[b[0]]}) is None for a in rows for b in rows if links(a, b)):
+        pass
+    assert got == want
+
+
+def test_components_over_chunks(spark, monkeypatch):
+    """Components that lie in many chunks are joined by the rounds on roots."""
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    rnd.shuffle(edges)
+    label = {x: x for e in edges for x in e}
+    while True:
+        new = dict(label)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(7)
+    assert {r.id: r.label for r in linkage.components(df).collect()} == label
+
+
+def test_questions_of_a_history_read_its_end(spark, monkeypatch):
+    """Against walks of the whole; commits behind the part that tells aren't indexed."""
+    monkeypatch.setattr(history, "FIRST", 20)
+    monkeypatch.setattr(history, "WIDER", 4)
+    rnd = random.Random(8)
+    parents = {i: [p for p in dict.fromkeys((i - 1 - rnd.randrange(4), i - 1 - rnd.randrange(6) if i % 4 == 0 else -1)) if p >= 0] for i in range(400)}
+    parents[396], parents[397] = [395, 3], [394, 3]  # 3 is behind both and no later common commit's ancestor only if none has it
+    rows = [(f"c{i}", f"c{p}" if p is not None else None, k + 1, i) for i, ps in parents.items() for k, p in enumerate(ps or [None])]
+    commits = spark.createDataFrame(rows, "oid string, parent string, nth int, time long")
+
+    def reached(i):
+        seen, left = set(), [i]
+        while left:
+            if (x := left.pop()) not in seen:
+                seen.add(x)
+                left += parents[x]
+        return seen
+
+    sizes, index = [], history.CommitIndex
+    monkeypatch.setattr(history, "CommitIndex", lambda part, order: sizes.append(part.select("oid").distinct().count()) or index(part, order))
+    for a, b in ((399, 398), (397, 396)):
+        common = reached(a) & reached(b)
+        want = {f"c{x}" for x in common if not any(x in parents[y] for y in common)}
+        pairs = spark.createDataFrame([(1, f"c{a}", f"c{b}")], "id int, a string, b string")
+        assert {r.oid for r in history.merge_bases(commits, pairs).collect()} == want
+    assert sizes[0] < 40
+    assert [r.oid for r in history.log(commits, "c390", 12).collect()] == [f"c{x}" for x in sorted(reached(390), reverse=True)[:12]]
+    assert sizes[-1] < 400
