@@ -5,6 +5,7 @@ import random
 import pytest
 
 from adjudica import bind
+from adjudica import queries as core
 from adjudica.functions import text
 from adjudica.operators import evidence, gate, history, linkage, relevance
 
@@ -120,3 +121,10 @@ def test_questions_of_a_history_read_its_end(spark, monkeypatch):
     assert sizes[0] < 40
     assert [r.oid for r in history.log(commits, "c390", 12).collect()] == [f"c{x}" for x in sorted(reached(390), reverse=True)[:12]]
     assert sizes[-1] < 400
+
+
+def test_relevance_stores_what_it_asks(spark, monkeypatch):
+    stored, plain_store = {}, core.store
+    monkeypatch.setattr(core, "store", lambda df, what: stored.setdefault(what, plain_store(df, what)))
+    core.diff_relevance(spark, DATA)
+    assert not {"message", "brand"} & set(stored["findings"].columns)
