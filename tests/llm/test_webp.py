@@ -262,3 +262,44 @@ def test_several_files_for_a_long_payload(monkeypatch):
 def test_damaged_files_are_refused():
     with pytest.raises(ValueError):
         webp.decode(b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0")
+
+
+def kinds(blob):
+    """Transforms of a file, in order, and whether it has a colour cache and back-references."""
+    (width, height, data), _ = webp._stream(blob)
+    got = webp.Picture(webp.Bits(data), width, height, True)
+    return [t[0] for t in got.transforms], got.cache > 0, int(got.groups[0][0].symbol.max()) >= 256
+
+
+def test_encode_takes_each_step_of_the_method():
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[0:64, 0:192]
+    green = (x * 2 + y * 3 + rng.integers(0, 2, x.shape)) % 256
+    smooth = np.stack([green // 2 + 30, green, 200 - green // 2], -1).astype(np.uint8).tobytes()
+    noise = rng.integers(0, 256, (20, 192), dtype=np.uint8)
+    grey = np.stack([noise, noise, noise], -1).tobytes()
+    few = bytes(rng.integers(0, 256, (9, 3), dtype=np.uint8)[rng.integers(0, 9, 40 * 192)].reshape(-1))
+    words = rng.integers(97, 123, (150, 3), dtype=np.uint8)
+    drawn = bytes(words[rng.integers(0, 150, 3000)].reshape(-1)) + bytes(rng.integers(97, 123, 6000, dtype=np.uint8))
+    page = bytes(rng.integers(32, 127, 3000, dtype=np.uint8))
+    data = [webp.padded(t) for t in (smooth, grey, few, drawn, page * 3, b"", page)]
+    files = webp.encode(data)
+    assert webp.payloads(files) == data
+    assert kinds(files[0])[0][-2:] == [0, 1]
+    assert kinds(files[1])[0] == [2]
+    assert kinds(files[2])[0] == [3]
+    assert kinds(files[3])[1]
+    assert kinds(files[4])[2] and len(files[4]) < 1.2 * len(files[6])
+    assert webp.encode(data[4:5]) == files[4:5]
+
+
+def test_pictures_decoded_together_are_those_decoded_alone():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu,.E", k=rng.randrange(1, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(200, 900))).encode() for _ in range(webp.ALONE + 60)]
+    texts += [b"", bytes(range(256)) * 9, b"ab" * 4000]
+    data = [webp.padded(t) for t in texts]
+    files = webp.encode(data)
+    streams = [webp._stream(f)[0] for f in files]
+    assert sum(p is not None for p in webp.together(streams)) > 40
+    assert webp.payloads(files) == data == [webp.decode(f)[..., :3].tobytes() for f in files]
