@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import severity_level
-from ..plans.shared import store
+from ..plans.shared import dealt, parts, store
 
 
-def matched(findings: DataFrame, expected: DataFrame, tolerance: int = 1) -> DataFrame:
+def matched(findings: DataFrame, expected: DataFrame, tolerance: int = 1, n_rows: int | None = None) -> DataFrame:
     """(fixture, expected_id, finding_id) of pairs that agree: same file and category, lines within the tolerance, severity
-    and confidence high enough, and a keyword in title or message if any are given."""
+    and confidence high enough, and a keyword in title or message if any are given. ``n_rows``: about how many findings there
+    are, so that a task's share stays small."""
+    n, keys = None if n_rows is None else parts(findings.sparkSession, n_rows), ["fixture", "file", "category"]
     f = findings.select("fixture", "file", "category", F.col("id").alias("finding_id"), "start_line", "end_line", F.col("severity").alias("_s"), "confidence", F.lower(F.concat_ws(" ", "title", "message")).alias("_t"))
-    pairs = f.join(expected, ["fixture", "file", "category"])
+    pairs = dealt(f, n, *keys).join(dealt(expected, n, *keys), keys)
     word = F.when(F.coalesce(F.size("keywords"), F.lit(0)) <= 0, True).otherwise(F.exists("keywords", lambda k: F.contains(F.col("_t"), F.lower(k))))
     near = (F.col("start_line") <= F.col("e_end") + tolerance) & (F.col("end_line") >= F.col("e_start") - tolerance)
-    return pairs.where(near & (severity_level(F.col("_s")) >= severity_level(F.col("e_severity"))) & (F.col("confidence") >= F.col("min_confidence")) & word).select("fixture", "expected_id", "finding_id")
+    met = pairs.where(near & (severity_level(F.col("_s")) >= severity_level(F.col("e_severity"))) & (F.col("confidence") >= F.col("min_confidence")) & word)
+    return dealt(met.select("fixture", "expected_id", "finding_id"), n, "fixture")
 
 
 def fixture_metrics(findings: DataFrame, expected: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -128,3 +128,25 @@ def test_relevance_stores_what_it_asks(spark, monkeypatch):
     monkeypatch.setattr(core, "store", lambda df, what: stored.setdefault(what, plain_store(df, what)))
     core.diff_relevance(spark, DATA)
     assert not {"message", "brand"} & set(stored["findings"].columns)
+
+
+def test_tasks_stay_small_where_partitions_are_joined(spark, monkeypatch):
+    """Adaptive execution joins many partitions of the session down to one for each core; parts are stated then too, and rows stay."""
+    from adjudica import queries
+    from adjudica.plans import shared
+
+    d = "/root/testdata/sf0.001"
+    names = ("review_plan", "fixture_metrics", "finding_validation")
+    few = {n: sorted(map(tuple, getattr(queries, n)(spark, d).collect()), key=str) for n in names}
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert shared.parts(spark, 36_000_000) == 200
+        monkeypatch.setattr(shared, "TASK_ROWS", 200)
+        for n in names:
+            df = getattr(queries, n)(spark, d)
+            assert sorted(map(tuple, df.collect()), key=str) == few[n]
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("RepartitionByExpression") >= {"review_plan": 5, "fixture_metrics": 7, "finding_validation": 8}[n]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
