@@ -122,3 +122,24 @@ def test_linear(found):
     began = time.time()
     n = sum(1 for _ in tokens.scan("function f(a) { return /x/.test(`t${a}`); }\n" * 20_000))
     assert n > 300_000 and time.time() - began < 10
+
+
+def test_tokens_are_shuffled_once_and_without_comments(spark, found, monkeypatch):
+    """Code tokens go by path once, in as many tasks as their number asks for; no comment and no whole file is shuffled or stored."""
+    from adjudica.plans import shared
+
+    files, usual = found
+    plans, stored, plain = {}, {}, tokens.store
+
+    def keep(df, what):
+        plans[what] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored.setdefault(what, plain(df, what))
+
+    monkeypatch.setattr(tokens, "store", keep)
+    monkeypatch.setattr(shared, "TASK_ROWS", 20)
+    got = tokens.symbols(files, docs=False)
+    assert "doc" in stored["tokens"].columns and stored["tokens"].where("kind = 'comment' or doc is not null").count() == 0
+    assert plans["marks"].count("RepartitionByExpression") == 1 and "content" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert tokens.marks(stored["tokens"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.path, r.name, r.kind): r.asDict() | {"docstring": None} for r in got.collect()} == {k: r.asDict() | {"docstring": None} for k, r in usual.items()}
+    assert stored["marks"].count() < stored["tokens"].count() / 2
