@@ -13,9 +13,10 @@ from ..functions import text
 from ..plans.shared import store
 from . import graph, source, tokens
 
-def symbols(files: DataFrame) -> DataFrame:
-    """source.SYMBOLS of Python, TypeScript and JavaScript files (path, content); other files have none."""
-    return source.python_symbols(files).unionByName(tokens.symbols(files))
+def symbols(files: DataFrame, docs: bool = True) -> DataFrame:
+    """source.SYMBOLS of Python, TypeScript and JavaScript files (path, content); other files have none. docs: whether the
+    docstrings of scripts are asked for."""
+    return source.python_symbols(files).unionByName(tokens.symbols(files, docs))
 
 
 def heritage_edges(declared: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -38,9 +39,9 @@ def test_edges(files: DataFrame, resolved: DataFrame) -> DataFrame:
     return named.select("src", "dst").unionAll(plain.select("src", "dst")).withColumn("kind", F.lit("tests"))
 
 
-def build(files: DataFrame, aliases: dict[str, str] | None = None, packages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, symbols) of files (path, content). Every edge has its mirror."""
-    declared = store(symbols(files), "symbols")
+def build(files: DataFrame, aliases: dict[str, str] | None = None, packages: DataFrame | None = None, docs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, symbols) of files (path, content). Every edge has its mirror. docs as in symbols()."""
+    declared = store(symbols(files, docs), "symbols")
     at = text.layer(F.col("path")).alias("layer")
     nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), text.basename(F.col("path")).alias("name"), "path", at)
     ident = text.symbol_id(F.col("path"), F.col("name"), F.col("kind"))
