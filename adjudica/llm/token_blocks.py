@@ -47,13 +47,16 @@ _HEAD = struct.Struct("<4sIIQ")
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 #: So it does around a newline.
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
+#: Letters, digits and other characters are pieces of their own, but for endings after an apostrophe.
+_RUNS = re.compile("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 #: White space other than spaces and newlines, and what a plain split at spaces would cut wrongly.
-_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", " \n", "\n "]
+_ODD = ["  ", " \n", "\n "] + [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_ODD_ASCII = [x for x in _ODD if x.isascii()]
 
 
 def cut(text: str) -> list[str]:
     """The text's parts between seams; a plain split where the text has no odd white space."""
-    if text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, _ODD)):
+    if text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, _ODD_ASCII if text.isascii() else _ODD)):
         return _SEAM.split(text)
     return text.split(" ")
 
@@ -191,23 +194,27 @@ class Encoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = dict(zip([*shown, *hidden], map(chr, [*shown, *range(256, 256 + len(hidden))]), strict=True))
+        self.packed = [_u4([i]) for i in range(self.tokenizer.get_vocab_size())]
         self.one_piece = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tokenizer.normalizer is None
 
     def whole(self, text: str) -> bytes:
         return _u4(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def word(self, text: str) -> bytes:
-        """Of letters, after a space or not: always one piece, so the tokenizer's model can be asked at once."""
-        if not self.one_piece:
-            return self.whole(text)
-        shown = text if text.isascii() else text.encode().decode("latin-1")
-        return _u4([t.id for t in self.model.tokenize(shown.translate(self.letters))])
+    def word(self, text: str, before: str = "") -> bytes:
+        """Of letters, after a space (before: how the model shows it) or not: always one piece, so the model can be asked at once."""
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(before + shown)])
 
     def after_space(self, piece: str) -> bytes:
-        return self.word(" " + piece) if piece.isalpha() else self.parts(piece, self.spaced) or self.whole(" " + piece)
+        if self.one_piece and piece.isalpha():
+            return self.word(piece, "\u0120")
+        return self.parts(piece, self.spaced) or self.whole(" " + piece)
 
     def plain(self, piece: str) -> bytes:
-        return self.word(piece) if piece.isalpha() else self.parts(piece, self.bare) or self.whole(piece)
+        if self.one_piece and piece.isalpha():
+            return self.word(piece)
+        return self.parts(piece, self.bare) or self.whole(piece)
 
     def parts(self, piece: str, memo: Memo) -> bytes | None:
         """The ids of a piece from its parts' in the memos, or None if it has none. The piece neither begins nor ends with white space."""
@@ -219,6 +226,9 @@ class Encoder:
         stem = piece.rstrip(".,;:!?")
         if stem != piece and stem.isalpha():
             return memo[stem] + self.bare[piece[len(stem) :]]
+        if self.one_piece and piece.isascii() and "'" not in piece and piece.split() == [piece]:
+            first, *rest = _RUNS.findall(piece)
+            return memo[first] + b"".join(map(self.bare.__getitem__, rest)) if rest else None
         return None
 
     def line(self, text: str) -> bytes:
