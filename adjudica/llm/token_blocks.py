@@ -194,6 +194,7 @@ class Encoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = dict(zip([*shown, *hidden], map(chr, [*shown, *range(256, 256 + len(hidden))]), strict=True))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.packed = [_u4([i]) for i in range(self.tokenizer.get_vocab_size())]
         self.one_piece = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tokenizer.normalizer is None
 
@@ -238,7 +239,9 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Line by line where a single newline stands between other characters, so that words around it aren't remembered
-        in pairs."""
+        in pairs. An added token is an id of its own wherever it stands, so a text that has one isn't cut."""
+        if any(map(text.__contains__, self.added)):
+            return self.whole(text)
         return self.newline.join(map(self.line, _LINE.split(text))) if "\n" in text else self.line(text)
 
 
