@@ -150,3 +150,10 @@ def test_tasks_stay_small_where_partitions_are_joined(spark, monkeypatch):
             assert plan.count("RepartitionByExpression") >= {"review_plan": 5, "fixture_metrics": 7, "finding_validation": 8}[n]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
+def test_findings_are_merged_after_one_shuffle_by_file(spark, plain):
+    """Lines, parts, joined lines, orders, findings by file; windows and clusters went by file three times before, with all texts."""
+    plan = plain(core.merge_clusters(spark, DATA))
+    assert plan.count("Exchange hashpartitioning") == 5
+    assert "p_type" not in plan.split("hashpartitioning(l_orderkey")[0]
