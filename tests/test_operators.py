@@ -292,3 +292,35 @@ def test_titles_in_one_pass(spark):
     assert df.where(~old.eqNullSafe(text.normalize_title(F.col("t")))).count() == 0
     plan = df.select(text.normalize_title(F.col("t")).alias("n"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(") == len(vocab.TITLE_SYNONYMS) + 1 == plan.count("(?=[")  + 1
+
+
+def test_touching_matches_pairs(spark):
+    """Rows near ranges of their key by one sort are those that pairs show, also with lines reversed or null and keys null."""
+    rnd = random.Random(7)
+    key = lambda: rnd.choice(["a", "b", "c", None])
+    line = lambda: rnd.choice([None, *range(1, 60)]) if rnd.random() < 0.1 else rnd.randint(1, 200)
+    rows = [(i, key(), *((s := line()), None if s is None else s + rnd.randint(-2, 6))) for i in range(300)]
+    ranges = [(key(), (s := line()), None if s is None else s + rnd.randint(-1, 3), rnd.choice("+-")) for _ in range(60)]
+    near = lambda r, side, t: any(k is not None and k == r[1] and x == side and None not in (r[2], r[3], a, b) and r[2] <= b + t and r[3] >= a - t for k, a, b, x in ranges)
+    left, right = spark.createDataFrame(rows, "id long, k string, start int, end int"), spark.createDataFrame(ranges, "k string, r_start int, r_end int, side string")
+    for t, n in ((0, None), (2, 5)):
+        got = intervals.touching(left, right, "k", t, {"plus": F.col("side") == "+", "minus": F.col("side") == "-"}, n)
+        assert got.columns == ["id", "k", "start", "end", "plus", "minus"]
+        assert {tuple(x)[:4]: (x.plus, x.minus) for x in got.collect()} == {r: (near(r, "+", t), near(r, "-", t)) for r in rows}
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_texts_may_be_told_before(spark):
+    """gate and floor say the same of findings whose texts were judged earlier and left behind."""
+    texts = ["", "possible", "fixed null check in `x as y`", "may be unsafe", "docstring", "a real defect in the loop", "todo: later", "// @ts-ignore here"]
+    rows = [(i, a, b, c, f"replace {a}" if i % 3 else a) for i, (a, b, c) in enumerate((a, b, c) for a in texts for b in texts for c in (*texts, None))]
+    df = spark.createDataFrame(rows, "id long, title string, message string, trigger string, suggested_fix string").withColumns(
+        {"severity": F.lit("high"), "category": F.lit("security"), "confidence": F.lit(0.9), "start_line": F.lit(1), "n_evidence": F.lit(1), "failure_mechanism": F.col("trigger"), "impact": F.col("message"), "introduced_by_patch": F.lit(None).cast("string"), "critic_decision": F.lit(None).cast("string"),
+         "n_contradictions": F.lit(0), "v_valid": F.lit(True), "v_n_valid": F.lit(1), "v_n_invalid": F.lit(0), "v_direct": F.lit(True), "v_strength": F.lit(75), "v_fabricated": F.lit(False), "suggested_disposition": F.lit("blocking"), "path": F.lit("a.ts"), "in_diff": F.lit(True), "grounded": F.lit(True)}
+    )
+    c, plain = F.col, ("title", "message", "trigger", "suggested_fix", "failure_mechanism", "impact")
+    told = df.withColumns(gate.said(c("failure_mechanism"), c("impact"), c("trigger"))).drop(*plain)
+    pick = lambda x: {r.id: (tuple(r.failed_checks), r.final_disposition, r.downgraded) for r in gate.gated(x).collect()}
+    assert pick(told) == pick(df) and len({v for v in pick(df).values()}) > 3
+    drop = lambda x: {r.id: r.dropped_by for r in gate.floor(x).collect()}
+    assert drop(df.withColumns(gate.floor_said(c("suggested_fix"))).drop(*plain)) == drop(df) and len(set(drop(df).values())) > 3

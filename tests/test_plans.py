@@ -157,3 +157,21 @@ def test_findings_are_merged_after_one_shuffle_by_file(spark, plain):
     plan = plain(core.merge_clusters(spark, DATA))
     assert plan.count("Exchange hashpartitioning") == 5
     assert "p_type" not in plan.split("hashpartitioning(l_orderkey")[0]
+
+
+def stored_by(spark, monkeypatch, query):
+    """What a query stores, by name, and its result."""
+    stored, plain_store = {}, core.store
+    monkeypatch.setattr(core, "store", lambda df, what: stored.setdefault(what, plain_store(df, what)))
+    return stored, query(spark, DATA)
+
+
+@pytest.mark.parametrize("query", [core.decision_gate])
+def test_findings_go_through_the_gate_without_texts(spark, monkeypatch, plain, query):
+    """Texts are judged where parts are met; findings and evidence are shuffled once by path and once by id. All texts went along
+    before, and findings and evidence went by order again, by path, by line bucket and by id."""
+    stored, df = stored_by(spark, monkeypatch, query)
+    assert not {"title", "message", "brand"} & set(stored["findings"].columns) and "e_file" in stored["findings"].columns
+    plan = plain(df)
+    assert "explode" not in plan and "hashpartitioning(fixture" not in plan
+    assert plan.count("hashpartitioning(id") == 3 - (query is core.patch_attribution)
