@@ -175,3 +175,12 @@ def test_findings_go_through_the_gate_without_texts(spark, monkeypatch, plain, q
     plan = plain(df)
     assert "explode" not in plan and "hashpartitioning(fixture" not in plan
     assert plan.count("hashpartitioning(id") == 3 - (query is core.patch_attribution)
+
+
+def test_only_findings_that_pass_the_floor_so_far_ask_the_patch(spark, monkeypatch):
+    asked, whole = [], relevance.in_diff
+    monkeypatch.setattr(relevance, "in_diff", lambda df, *a, **k: asked.append(df.count()) or whole(df, *a, **k))
+    stored, df = stored_by(spark, monkeypatch, core.hard_floor)
+    assert not {"title", "message", "brand"} & set(stored["floor"].columns)
+    n = stored["floor"].count()
+    assert df.count() == n and 0 < asked[0] == stored["floor"].where("dropped_by is null").count() < n / 2
