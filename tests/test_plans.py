@@ -166,7 +166,7 @@ def stored_by(spark, monkeypatch, query):
     return stored, query(spark, DATA)
 
 
-@pytest.mark.parametrize("query", [core.decision_gate, core.exit_code, core.gate_summary])
+@pytest.mark.parametrize("query", [core.decision_gate, core.exit_code, core.gate_summary, core.patch_attribution])
 def test_findings_go_through_the_gate_without_texts(spark, monkeypatch, plain, query):
     """Texts are judged where parts are met; findings and evidence are shuffled once by path and once by id. All texts went along
     before, and findings and evidence went by order again, by path, by line bucket and by id."""
